@@ -81,6 +81,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _lower()[data]
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the two-byte Latin-1 letters lowered."""
+    low = _lower()[data]
+    if len(low):
+        wide = np.zeros(len(low), bool)
+        wide[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[wide] += 32
+    return low
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes other than ASCII white space, and each row's first word.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, media, packing, secrets, toxicity
+from . import decontaminate, language, media, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_quality": quality.op2_quality,
     "op4_language": language.op4_language,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media": media.op7_media,
     "op8_packing": packing.op8_packing,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
