@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, packing, quality, secrets, toxicity
+from . import decontaminate, language, media, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_language": language.op4_language,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media": media.op7_media,
