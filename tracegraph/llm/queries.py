@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, neardup, packing, quality, secrets, toxicity
+from . import decontaminate, language, media, neardup, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media": media.op7_media,
     "op8_packing": packing.op8_packing,
+    "op9_repeats": substrings.op9_repeats,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
