@@ -1,0 +1 @@
+"""Graphs, state hypergraphs and trace analytics as Spark DataFrame operations."""
