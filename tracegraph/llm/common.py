@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship_package
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured."""
@@ -30,26 +30,9 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once a context."""
-    context = spark.sparkContext
-    if getattr(context, "_tracegraph_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="tracegraph-src-"), "tracegraph_sources.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.join("tracegraph", os.path.relpath(path, top)))
-    context.addPyFile(target)
-    context._tracegraph_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Prepare a session for Python stages: sources on the executors, bounded Arrow batches."""
-    _ship_package(spark)
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
