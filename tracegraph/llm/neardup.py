@@ -27,6 +27,8 @@ COORDINATES = BANDS * ROWS
 PERCENT = 85
 #: Share of agreeing coordinates below which a pair is not verified: 4.6 standard deviations under PERCENT.
 AGREE = 0.73
+#: Signature length and least share for classes in buckets that the first stars left apart, as many deviations under it.
+LONG, LONG_AGREE = 768, 0.79
 #: Classes of a bucket up to which all its pairs are taken at once.
 SMALL_BUCKET = 24
 #: Classes of a larger bucket that a task compares at once; buckets beyond are split into such blocks.
@@ -45,15 +47,15 @@ def permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return x
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows x COORDINATES) minima; rows without shingles have the largest word everywhere."""
-    out = np.full((len(bounds) - 1, COORDINATES), 0xFFFFFFFF, U32)
+def signatures(values: np.ndarray, bounds: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """(rows x coordinates) minima; rows without shingles have the largest word everywhere."""
+    out = np.full((len(bounds) - 1, coordinates), 0xFFFFFFFF, U32)
     full = np.flatnonzero(np.diff(bounds))
     if not len(full):
         return out
     scattered = permuted((values >> np.uint64(32)).astype(U32), 0x7FEB352D, 0x846CA68B)
     starts = bounds[:-1][full]
-    for k in range(COORDINATES):
+    for k in range(coordinates):
         out[full, k] = np.minimum.reduceat(permuted(scattered + U32(k), 0x85EBCA6B, 0xC2B2AE35), starts)
     return out
 
@@ -91,6 +93,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), kernels.binary_rows(values, bounds)], names=["rep", "members"])
 
 
+def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, members) to (rep, sketch) of LONG coordinates."""
+    for batch in batches:
+        if len(batch):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            low = (signatures(np.concatenate(sets), bounds, LONG) & U32(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), kernels.binary_rows(low.reshape(-1), np.arange(len(sets) + 1) * LONG)], names=["rep", "sketch"])
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, na, nb, sa, sb) whose sizes and signatures allow a link, as (a, b)."""
     for batch in batches:
@@ -128,8 +140,8 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     for x in left:
         other = right[(comp[right] != comp[x]) & (rep[right] > rep[x])] if same_block else right[comp[right] != comp[x]]
         other = other[100 * np.minimum(n[other], n[x]) >= PERCENT * np.maximum(n[other], n[x])]
-        other = other[(sketch[other] == sketch[x]).mean(1) >= AGREE]
         other = other[(bands[other] == bands[x]).argmax(1) == here] if len(other) else other
+        other = other[(sketch[other] == sketch[x]).mean(1) >= LONG_AGREE]
         if len(other):
             out.append((np.full(len(other), rep[x]), rep[other]))
     a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -165,7 +177,9 @@ def class_links(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> Dat
     around = components.connected(spark, links).toDF("rep", "comp")
     placed = many.join(around, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    placed = placed.join(split, "key", "left_semi").join(classes, "rep")
+    placed = common.materialize(spark, placed.join(split, "key", "left_semi"), "apart")
+    longer = sets.join(placed.select("rep").distinct(), "rep", "left_semi").mapInArrow(_long_sketches, "rep long, sketch binary")
+    placed = placed.join(classes.drop("sketch").join(longer, "rep"), "rep")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
