@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt, common, kernels
+from .bloom import bloom, maybe
 
 LENGTH = 200
 GRAM = 41
@@ -36,7 +37,6 @@ STEP = 32  # (LENGTH - GRAM + 1) is a multiple of it
 FREQUENT = 4096
 #: Symbols that one transform covers, about.
 BLOCK_SYMBOLS = 400_000
-FILTER_BITS = 1 << 26
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -91,38 +91,6 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(rids[a + row]), pa.array(anchor_hash.view(np.int64)), pa.array(content.view(np.int64)), pa.array(place)], names=["rid", "anchor", "content", "place"])
 
 
-def _filter_slots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mixed = kernels.mix(values.view(np.uint64) + np.uint64(77))
-    return (mixed & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((mixed >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values to (word, bits) of a Bloom filter, one row per touched word and batch."""
-    for batch in batches:
-        slots = np.unique(np.concatenate(_filter_slots(batch.column(0).to_numpy().copy())))
-        if len(slots):
-            word, bit = slots >> 6, np.int64(1) << (slots & 63)
-            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(np.bitwise_or.reduceat(bit, edge))], names=["word", "bits"])
-
-
-def bloom(spark: SparkSession, values: DataFrame):
-    """A broadcast Bloom filter of a long column: FILTER_BITS bits, whatever the number of values."""
-    table = values.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS >> 6, np.int64)
-    words[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    return spark.sparkContext.broadcast(words)
-
-
-def _maybe(batches: Iterator[pa.RecordBatch], column: int, words, wanted: bool = True) -> Iterator[pa.RecordBatch]:
-    """Rows whose value may be in the filter, or with ``wanted`` false those whose value isn't in it."""
-    held = words.value
-    for batch in batches:
-        a, b = _filter_slots(batch.column(column).to_numpy().copy())
-        keep = ((held[a >> 6] >> (a & 63)) & (held[b >> 6] >> (b & 63)) & 1).astype(bool)
-        yield batch.filter(pa.array(keep == wanted))
-
-
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(text, rid, contexts (place, anchor, alone)) to pieces."""
     names = ["key", "rid", "at", "low", "high", "left", "right"]
@@ -235,7 +203,7 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH, g
         raise ValueError("the offsets of an anchor must be a multiple of STEP")
     runs = common.materialize(spark, rows.mapInArrow(partial(_runs, length=length, gram=gram), "rid long, anchor long, content long, place long"), "runs")
     twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = common.materialize(spark, runs.mapInArrow(partial(_maybe, column=1, words=bloom(spark, twice)), runs.schema), "runs-again")
+    runs = common.materialize(spark, runs.mapInArrow(partial(maybe, column=1, words=bloom(spark, twice)), runs.schema), "runs-again")
     contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("x"))
     contents = common.materialize(spark, contents.select("anchor", "content", "n", "x.rid", "x.place"), "contents")
 
@@ -246,7 +214,7 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH, g
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     mixed = contents.join(several, "anchor", "left_semi")
     lists = common.materialize(spark, mixed.groupBy("rid").agg(F.collect_list(F.struct("place", "anchor", (F.col("n") == 1).alias("alone"))).alias("contexts")), "contexts")
-    some = rows.mapInArrow(partial(_maybe, column=0, words=bloom(spark, lists.select("rid"))), rows.schema)
+    some = rows.mapInArrow(partial(maybe, column=0, words=bloom(spark, lists.select("rid"))), rows.schema)
     piece_schema = "key long, rid long, at long, low long, high long, left binary, right binary"
     pieces = common.materialize(spark, some.join(lists, "rid").select("text", "rid", "contexts").mapInArrow(partial(_cut, length=length), piece_schema), "pieces")
     sizes = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -302,8 +270,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     words = bloom(spark, spans.select("rid"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     finish = partial(_finish, keep_bytes=keep_bytes)
-    touched = rows.mapInArrow(partial(_maybe, column=0, words=words), rows.schema).join(spans, "rid", "left")
-    others = rows.mapInArrow(partial(_maybe, column=0, words=words, wanted=False), rows.schema)
+    touched = rows.mapInArrow(partial(maybe, column=0, words=words), rows.schema).join(spans, "rid", "left")
+    others = rows.mapInArrow(partial(maybe, column=0, words=words, wanted=False), rows.schema)
     return touched.select("doc_id", "text", "spans").mapInArrow(finish, schema).unionByName(others.select("doc_id", "text").mapInArrow(finish, schema))
 
 
