@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, neardup, packing, quality, secrets, substrings, toxicity
+from . import decontaminate, language, licenses, media, neardup, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_quality": quality.op2_quality,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_language": language.op4_language,
+    "op5_licenses": licenses.op5_licenses,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media": media.op7_media,
     "op8_packing": packing.op8_packing,
