@@ -17,4 +17,18 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+
+def _secret_kind(order: int, rule: secrets.Rule) -> str:
+    """Spans of one rule: the gaps between matches give the starts."""
+    pattern = rule.pattern.replace("'", "''")
+    start = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, '{rule.kind}' AS k, {order} AS o, {rule.least} AS least, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'a': CAST({start} AS BIGINT), 'n': length(w[i]), 'h': length(h[i])}})) AS s
+ FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS w, regexp_extract_all(t, '{pattern}', {rule.group}) AS h FROM d WHERE regexp_matches(t, '{pattern}')) q"""
+
+
+SQL: dict[str, str] = {
+    "op1_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(_secret_kind(k, r) for k, r in enumerate(secrets.RULES))}),
+ k AS (SELECT doc_id, o, s.a AS a, k || ':' || s.a || ':' || (s.a + s.n) AS span FROM m WHERE s.h >= least),
+ f AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, string_agg(span, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(span, ',' ORDER BY a, o) AS spans FROM k GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f ON d.doc_id = f.doc_id""",
+}
