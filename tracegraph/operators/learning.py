@@ -104,3 +104,110 @@ def logistic_report(rows: DataFrame) -> DataFrame:
     model = LogisticRegression(maxIter=30, regParam=0.01).fit(data.where("train"))
     test = model.transform(data.where("not train")).select(F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("x"), (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
     return test.agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy")).join(roc_auc(test))
+
+
+def gram_blocks(rows: DataFrame, vector: str) -> DataFrame:
+    """(i, j, g) with i <= j of X'X for wide vectors: a product per Arrow batch, the cells summed by key. Null vectors are skipped."""
+    import pandas as pd
+
+    def products(parts):
+        for part in parts:
+            if len(part):
+                x = np.vstack(part["x"].to_numpy()).astype(float)
+                i, j = np.triu_indices(x.shape[1])
+                yield pd.DataFrame({"i": i + 1, "j": j + 1, "g": (x.T @ x)[i, j]})
+
+    cells = rows.where(F.col(vector).isNotNull()).select(F.col(vector).alias("x")).mapInPandas(products, "i long, j long, g double")
+    return cells.groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def feature_spec(spec: str, lists: dict[str, int], scalars: tuple[str, ...] = ("degree",)) -> Column:
+    """The feature array a spec like 'low10+high10+degree' names: prefixes of array columns, log1p of scalar columns.
+
+    lists gives the length of each array column. An unknown part, or one longer than its column, raises ValueError.
+    """
+    import re
+
+    parts = []
+    for part in spec.split("+"):
+        name, width = re.fullmatch(r"([a-z_]+?)(\d*)", part.strip()).groups() if re.fullmatch(r"([a-z_]+?)(\d*)", part.strip()) else (part, "")
+        if name in scalars and not width:
+            parts.append(F.array(F.log1p(F.col(name).cast("double"))))
+        elif name in lists and width and 0 < int(width) <= lists[name]:
+            parts.append(F.slice(F.col(name).cast("array<double>"), 1, int(width)))
+        else:
+            raise ValueError(f"no feature {part!r} in {sorted(lists)} and {sorted(scalars)}")
+    return F.concat(*parts)
+
+
+def kept_classes(rows: DataFrame, label: str, least: int) -> DataFrame:
+    """Rows whose class has at least ``least`` training rows, with a dense class index by label. rows: (..., train)."""
+    sizes = rows.where("train").groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    w = Window.orderBy(label)  # a row a class
+    return rows.join(sizes.withColumn("y", (F.row_number().over(w) - 1).cast("double")), label)
+
+
+def classifier_report(rows: DataFrame, model: str = "logistic", hidden: int = 32, universe: str = "both") -> DataFrame:
+    """n, accuracy, top3, macro_f1 on the test side of (x array, y class index, train).
+
+    model: logistic (multinomial) or mlp (one hidden layer). universe: macro F1 over the classes of
+    either side ('both') or over all classes of the rows ('all'). Ties in top3 go to the lower class.
+    """
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = rows.select(array_to_vector(F.col("x").cast("array<double>")).alias("features"), F.col("y").cast("double").alias("label"), "train", F.size("x").alias("width"))
+    shape = data.agg(F.max("width").alias("width"), F.max("label").alias("last")).first()
+    classes = int(shape.last) + 1
+    if model == "logistic":
+        learner = LogisticRegression(maxIter=50, regParam=1e-3, family="multinomial")
+    elif model == "mlp":
+        learner = MultilayerPerceptronClassifier(layers=[shape.width, hidden, classes], maxIter=50, seed=0)
+    else:
+        raise ValueError(f"model is logistic or mlp, not {model}")
+    test = learner.fit(data.where("train")).transform(data.where("not train")).select("label", vector_to_array("probability").alias("prob"))
+    own = F.col("prob")[F.col("label").cast("int")]
+    above = F.size(F.filter("prob", lambda v: v > own)) + F.size(F.filter(F.slice("prob", F.lit(1), F.col("label").cast("int")), lambda v: v == own))
+    said = F.array_position("prob", F.array_max("prob")) - 1
+    marked = test.select(F.col("label").cast("int").alias("y"), said.cast("int").alias("p"), (above < 3).cast("double").alias("near"))
+    f1 = macro_f1(marked) if universe == "both" else macro_f1_over(marked, classes)
+    return marked.agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.avg("near").alias("top3")).join(f1)
+
+
+def macro_f1_over(rows: DataFrame, classes: int) -> DataFrame:
+    """macro_f1 of (y, p) over a fixed number of classes; one without rows on either side counts 0."""
+    c = rows.groupBy("y", "p").agg(F.count("*").alias("n"))
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    side = c.select(F.col("y").alias("c"), hit.alias("tp"), F.col("n").alias("both")).union(c.select("p", F.lit(0), "n"))
+    f = side.groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("both").alias("both"))
+    return f.agg((F.sum(2 * F.col("tp") / F.col("both")) / classes).alias("macro_f1"))
+
+
+def sampled_links(und: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(a, b, label): n edges in hash order, and up to n pairs of nodes drawn by hash that are no edges.
+
+    Nodes are repeated until n can be drawn twice; the ranks that pair the draws run over n rows each.
+    Pairs of a node with itself are dropped and not drawn again.
+    """
+    order = lambda salt, *c: F.xxhash64(*c, F.lit(seed), F.lit(salt))
+    linked = und.orderBy(order(0, "u", "v"), "u", "v").limit(n).select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1).alias("label"))
+    nodes = und.select(F.col("u").alias("node")).union(und.select("v")).distinct()
+    copies = -(-n // max(nodes.count(), 1))
+    many = nodes.select("node", F.explode(F.sequence(F.lit(1), F.lit(max(copies, 1)))).alias("copy"))
+    drawn = lambda salt, name: many.withColumn("h", order(salt, "node", "copy")).orderBy("h", "node", "copy").limit(n).select(F.col("node").alias(name), F.row_number().over(Window.orderBy("h", "node", "copy")).alias("rank"))
+    pairs = drawn(1, "a").join(drawn(2, "b"), "rank").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    free = pairs.join(und.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+    return linked.unionByName(free.select("a", "b", F.lit(0).alias("label")))
+
+
+def link_features(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, label, x): both vectors, product, absolute gap and log degrees. vectors: (name, x, degree)."""
+    of = lambda side: vectors.select(F.col("name").alias(side), F.col("x").alias(f"x_{side}"), F.log1p(F.col("degree").cast("double")).alias(f"d_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    x = F.concat("x_a", "x_b", F.zip_with("x_a", "x_b", lambda p, q: p * q), F.zip_with("x_a", "x_b", lambda p, q: F.abs(p - q)), F.array("d_a", "d_b"))
+    return both.select("a", "b", "label", x.alias("x"))
+
+
+def power_tail(x: Column, y0: float, least: float, alpha: float) -> Column:
+    """The tail line y0 * (x / least)^-(alpha - 1)."""
+    return F.lit(y0) * F.pow(x / F.lit(least), F.lit(1.0 - alpha))

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import declarations as D
 from ..operators import graphs as G
 from ..operators import learning as L
 from ..operators import mining as M
+from ..operators import spectral as S
+from ..operators import traces as R
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,21 +336,24 @@ def initial_states(s, d):
     return V.states(s, d).where("idx = 0").select("theorem", T.state_id(F.col("before")).alias("initial"))
 
 
-@query(f"WITH {V.STA} SELECT theorem, before AS state, head FROM sta WHERE idx = 0 AND theorem <= 10")
+@query(f"WITH {V.STA} SELECT c_custkey AS name, before AS state, head FROM customer LEFT JOIN (SELECT * FROM sta WHERE idx = 0) f ON theorem = c_custkey")
 def lookup_by_name(s, d):
-    return V.states(s, d).where("idx = 0 and theorem <= 10").select("theorem", F.col("before").alias("state"), "head")
+    names = V.table(s, d, "customer").select(F.col("c_custkey").alias("name"))
+    return names.join(V.states(s, d).where("idx = 0"), F.col("name") == F.col("theorem"), "left").select("name", F.col("before").alias("state"), "head")
 
 
 # ---- paths ----------------------------------------------------------------------------------
 
-_STARTS = "starts AS (SELECT DISTINCT source AS start FROM e WHERE source % 400 = 1)"
+_STARTS = "starts AS (SELECT source AS start FROM (SELECT DISTINCT source FROM e) x ORDER BY md5(CAST(source AS VARCHAR)), source LIMIT 200)"
 _BFS = f"""WITH RECURSIVE {V.SUC}, e AS (SELECT DISTINCT source, target FROM suc), {_STARTS},
  r AS (SELECT start, start AS node, 0 AS depth FROM starts UNION SELECT r.start, e.target, r.depth + 1 FROM r JOIN e ON r.node = e.source WHERE r.depth < 2),
  b AS (SELECT start, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1, 2)"""
 
 
 def _starts(e):
-    return e.where("source % 400 = 1").select(F.col("source").alias("start"), F.col("source").alias("node")).distinct()
+    """A hash-ordered sample of 200 starts, the operator's default."""
+    order = F.md5(F.col("source").cast("string").cast("binary"))
+    return e.select("source").distinct().orderBy(order, "source").limit(200).select(F.col("source").alias("start"), F.col("source").alias("node"))
 
 
 @query(f"{_BFS} SELECT start, node, depth FROM b")
@@ -371,24 +377,24 @@ def bfs_shortest_path(s, d):
     return G.walk_back(reached, goals, 2)
 
 
-@query(f"{_BFS}, p AS (SELECT a.start, z.start AS goal FROM starts a JOIN starts z ON a.start < z.start) SELECT p.start, p.goal, depth IS NOT NULL AS found, coalesce(depth, -1) AS depth FROM p LEFT JOIN b ON b.start = p.start AND b.node = p.goal")
+@query(f"{_BFS}, p AS (SELECT start, goal FROM (SELECT start, lead(start) OVER (ORDER BY md5(CAST(start AS VARCHAR)), start) AS goal FROM starts) x WHERE goal IS NOT NULL) SELECT p.start, p.goal, depth IS NOT NULL AS found, coalesce(depth, -1) AS depth FROM p LEFT JOIN b ON b.start = p.start AND b.node = p.goal")
 def pair_reachability(s, d):
     e = V.succession(s, d)
-    st = _starts(e).select("start")
-    pairs = st.join(st.withColumnRenamed("start", "goal"), F.col("start") < F.col("goal"))
+    w = Window.orderBy(F.md5(F.col("start").cast("string").cast("binary")), "start")  # 200 sampled starts
+    pairs = _starts(e).select("start", F.lead("start").over(w).alias("goal")).where("goal is not null")
     b = G.bfs(s, e, _starts(e), 2).select("start", F.col("node").alias("goal"), "depth")
     return pairs.join(b, ["start", "goal"], "left").select("start", "goal", F.col("depth").isNotNull().alias("found"), F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"))
 
 
 _OR = f"""WITH RECURSIVE {V.STA}, e AS (SELECT DISTINCT before AS source, after AS target FROM sta),
- r AS (SELECT before AS start, before AS node, 0 AS depth FROM sta WHERE idx = 0 AND theorem <= 5 UNION SELECT r.start, e.target, r.depth + 1 FROM r JOIN e ON r.node = e.source WHERE r.depth < 2)"""
+ r AS (SELECT before AS start, before AS node, 0 AS depth FROM sta WHERE idx = 0 UNION SELECT r.start, e.target, r.depth + 1 FROM r JOIN e ON r.node = e.source WHERE r.depth < 2)"""
 
 
 @query(f"{_OR} SELECT start, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1, 2")
 def or_reachability(s, d):
     t = V.states(s, d)
     e = t.select(F.col("before").alias("source"), F.col("after").alias("target"))
-    b = t.where("idx = 0 and theorem <= 5").select(F.col("before").alias("start"), F.col("before").alias("node")).distinct()
+    b = t.where("idx = 0").select(F.col("before").alias("start"), F.col("before").alias("node")).distinct()
     return M.text_bfs(s, e, b, 2)
 
 
@@ -441,9 +447,56 @@ def edges_by_kind(s, d):
     return V.tactics(s, d).groupBy(F.when(F.col("head").isin("click", "view"), "bundle").when(F.col("premise") % 2 == 0, "step").otherwise("structural").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {V.TRE}, e AS (SELECT theorem, edge, pos, label, unnest([2 * pos, 2 * pos + 1]) AS nxt FROM tre), p AS (SELECT DISTINCT a.theorem, a.edge AS start, a.pos AS root, b.edge AS e2, a.pos || a.label AS p1, b.pos || b.label AS p2, b.pos AS pos2, a.pos AS pos1 FROM e a JOIN tre b ON a.theorem = b.theorem AND a.nxt = b.pos AND a.edge <> b.edge),
+ q AS (SELECT DISTINCT p.theorem, p.start, p.root, least(e2, c.edge) AS x, greatest(e2, c.edge) AS y, p1, least(p2, c.pos || c.label) AS p2, greatest(p2, c.pos || c.label) AS p3 FROM p JOIN tre c ON p.theorem = c.theorem AND c.edge <> p.start AND c.edge <> p.e2 AND (c.pos // 2 = p.pos1 OR c.pos // 2 = p.pos2) AND c.pos > 1),
+ m AS (SELECT theorem, root, 2 AS edges, p1 || '+' || p2 AS shape FROM p UNION ALL SELECT theorem, root, 3, p1 || '+' || p2 || '+' || p3 FROM q)
+ SELECT root, CAST(edges AS BIGINT) AS edges, shape, count(*) AS support, count(DISTINCT theorem) AS theorems FROM m GROUP BY 1, 2, 3""")
 def branch_subtrees(s, d):
-    return M.subtree_motifs(s, V.table(s, d, "lineitem").where("l_orderkey % 20 = 1"), 3)
+    sets = R.branch_sets(s, V.tree(s, d), 3)
+    part = lambda p: F.concat(p["in_node"], p["label"]["head"])
+    root = F.element_at(F.col("parts"), 1)  # the branching edge a set grew from stays first
+    shape = F.concat_ws("+", part(root), F.array_join(F.array_sort(F.transform(F.slice("parts", 2, 9), part)), "+"))
+    per = sets.groupBy(F.col("root").cast("long").alias("root"), F.size("edges").cast("long").alias("edges"), shape.alias("shape"), "theorem").agg(F.count("*").alias("n"))
+    return per.groupBy("root", "edges", "shape").agg(F.sum("n").alias("support"), F.count("*").alias("theorems"))
+
+
+@query()
+def mined_motifs(s, d):
+    return R.mine(s, V.tree(s, d), max_edges=3, max_tree_edges=3).select("motif_kind", "signature", "edge_count", "node_count", "support", "distinct_theorems", "complexity_gain")
+
+
+@query(f"""WITH {V.TRE}, h AS (SELECT theorem, edge, pos, label, unnest([2 * pos, 2 * pos + 1]) AS nxt FROM tre), two AS (SELECT a.label || '>' || b.label AS labels, a.theorem FROM h a JOIN h b ON a.theorem = b.theorem AND a.nxt = b.pos AND a.edge <> b.edge)
+ SELECT labels, count(*) AS support, count(DISTINCT theorem) AS theorems FROM two GROUP BY 1""")
+def dag_path_labels(s, d):
+    labels = F.array_join(F.transform("labels", lambda x: x["head"]), ">")
+    per = R.dag_paths(s, V.tree(s, d), 2, 2).groupBy(labels.alias("labels"), "theorem").agg(F.count("*").alias("n"))
+    return per.groupBy("labels").agg(F.sum("n").alias("support"), F.count("*").alias("theorems"))
+
+
+@query()
+def tree_replay(s, d):
+    return R.tree_metrics(V.traces(s, d))
+
+
+_USES = f"{V.TAC}, u AS (SELECT 'T' || theorem AS source, 'P' || premise AS target, head, idx, ord FROM tac)"
+
+
+@query(f"WITH {_USES} SELECT source, target, min(idx) AS tactic_index, arg_min(head, idx) AS tactic_head, count(*) AS occurrences FROM u GROUP BY 1, 2")
+def traced_dependencies(s, d):
+    return R.dependency_edges(V.traces(s, d)).select("source", "target", F.col("tactic_index").cast("long").alias("tactic_index"), "tactic_head", "occurrences")
+
+
+@query(f"WITH {_USES} SELECT 'structural' AS kind, count(*) AS n FROM u")
+def traced_edge_kinds(s, d):
+    return R.trace_edges(V.traces(s, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, source || '.d' || doc_id AS full_name, CAST(2 AS BIGINT) AS line, 'theorem d' || doc_id || ' : P := by' AS header FROM documents")
+def decl_extract(s, d):
+    """One declaration in a namespace before each whole text."""
+    head = F.concat(F.lit("namespace "), F.col("source"), F.lit("\ntheorem d"), F.col("doc_id").cast("string"), F.lit(" : P := by\n"))
+    sources = V.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("content"))
+    return D.declarations(sources).select(F.col("file_path").cast("long").alias("doc_id"), "full_name", F.col("line").cast("long").alias("line"), F.col("declaration_header").alias("header"))
 
 
 # ---- learning -------------------------------------------------------------------------------
@@ -451,15 +504,15 @@ def branch_subtrees(s, d):
 _LONG = "x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM embeddings)"
 
 
-@query(f"WITH {_LONG}, m AS (SELECT j, avg(CAST(v AS DOUBLE)) AS mu, CASE WHEN stddev_pop(CAST(v AS DOUBLE)) < 1e-8 THEN 1 ELSE stddev_pop(CAST(v AS DOUBLE)) END AS sd FROM x GROUP BY j) SELECT vec_id, CAST(x.j AS BIGINT) AS j, round((CAST(v AS DOUBLE) - mu) / sd, 4) + 0.0 AS z FROM x JOIN m ON x.j = m.j WHERE x.j <= 3")
+@query(f"WITH {_LONG}, m AS (SELECT j, avg(CAST(v AS DOUBLE)) AS mu, CASE WHEN stddev_pop(CAST(v AS DOUBLE)) < 1e-8 THEN 1 ELSE stddev_pop(CAST(v AS DOUBLE)) END AS sd FROM x GROUP BY j) SELECT vec_id, CAST(x.j AS BIGINT) AS j, round((CAST(v AS DOUBLE) - mu) / sd, 4) + 0.0 AS z FROM x JOIN m ON x.j = m.j")
 def standardized_features(s, d):
-    x = L.long_form(V.table(s, d, "embeddings"), "vec_id", "embedding").where("j <= 3")
+    x = L.long_form(V.table(s, d, "embeddings"), "vec_id", "embedding")
     return L.standardize(x).select("vec_id", F.col("j").cast("long").alias("j"), (F.round("z", 4) + 0.0).alias("z"))
 
 
-@query(f"WITH {_LONG} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 4) + 0.0 AS g FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.j <= b.j WHERE a.j <= 4 AND b.j <= 4 GROUP BY 1, 2")
+@query(f"WITH {_LONG} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 4) + 0.0 AS g FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.j <= b.j GROUP BY 1, 2")
 def gram_matrix(s, d):
-    return L.gram(V.table(s, d, "embeddings").select(F.slice("embedding", 1, 4).alias("x")), "x", 4).select("i", "j", (F.round("g", 4) + 0.0).alias("g"))
+    return L.gram_blocks(V.table(s, d, "embeddings"), "embedding").select("i", "j", (F.round("g", 4) + 0.0).alias("g"))
 
 
 @query("WITH c AS (SELECT l_orderkey AS k, CAST(count(*) AS DOUBLE) AS x, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1), m AS (SELECT count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM c), f AS (SELECT sum((x - mx) / sx * (y - my)) / (sum((x - mx) / sx * (x - mx) / sx) + 1.0) AS w FROM c, m) SELECT round(w, 3) AS weight, round(1 - sum(pow(y - my - w * (x - mx) / sx, 2)) / sum(pow(y - my, 2)), 6) AS r2 FROM c, m, f GROUP BY w")
@@ -524,6 +577,37 @@ def logreg_metrics(s, d):
     return L.logistic_report(e)
 
 
+def _labelled(s, d):
+    e = V.table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), "label", (T.stable_bucket(F.col("vec_id").cast("string")) < 8).alias("train"))
+    return L.kept_classes(e, "label", 25)
+
+
+@query()
+def multinomial_metrics(s, d):
+    return L.classifier_report(_labelled(s, d))
+
+
+@query()
+def mlp_metrics(s, d):
+    return L.classifier_report(_labelled(s, d), "mlp")
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + CAST(embedding[3] AS DOUBLE) + ln(1 + label), 5) + 0.0 AS total, CAST(4 AS BIGINT) AS width FROM embeddings")
+def feature_spec(s, d):
+    x = L.feature_spec("low3+degree", {"low": 64})
+    e = V.table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("low"), F.col("label").alias("degree"))
+    return e.select("vec_id", (F.round(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v), 5) + 0.0).alias("total"), F.size(x).cast("long").alias("width"))
+
+
+@query()
+def link_prediction(s, d):
+    und = G.undirected(V.succession(s, d))
+    c, _ = S.coordinates(s, und, 4, 6)
+    pairs = L.link_features(L.sampled_links(und, 10_000), c.select("name", F.concat("low", "high").alias("x"), "degree"))
+    train = T.stable_bucket(F.concat_ws("::", F.col("a").cast("string"), F.col("b").cast("string"))) < 8
+    return L.logistic_report(pairs.select(F.col("x").alias("embedding"), F.col("label").cast("double").alias("label"), train.alias("train")))
+
+
 @query("SELECT event_type AS model, round(avg(value), 6) AS score FROM events GROUP BY 1 ORDER BY avg(value) DESC, 1 LIMIT 1")
 def argmax_model(s, d):
     return V.table(s, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("score")).orderBy(F.desc("score"), "model").limit(1).select("model", F.round("score", 6).alias("score"))
@@ -546,19 +630,36 @@ def two_hop_distance_matrix(s, d):
 @query()
 def ollivier_ricci_sample(s, d):
     u = G.undirected(V.succession(s, d))
-    return G.ollivier_ricci(u, u.orderBy(F.xxhash64("u", "v"), "u", "v").limit(30), 60)
+    return G.ollivier_ricci(u, u.orderBy(F.xxhash64("u", "v"), "u", "v").limit(500), 80)
 
 
 @query()
 def betweenness_sampled(s, d):
     u = _small(s, d)
-    src = G.symmetric(u).select(F.col("u").alias("node")).distinct().orderBy(F.xxhash64("node"), "node").limit(10)
+    src = G.symmetric(u).select(F.col("u").alias("node")).distinct().orderBy(F.xxhash64("node"), "node").limit(200)
     return G.betweenness(s, u, src)
 
 
 @query()
 def random_walks(s, d):
-    return G.random_walks(s, _small(s, d), 2, 5)
+    return G.random_walks(s, _small(s, d), 10, 8)
+
+
+@query()
+def spectral_coords(s, d):
+    return S.coordinates(s, _small(s, d), 4, 12)[0]
+
+
+@query()
+def effective_resistance(s, d):
+    c, laplacian = S.coordinates(s, _small(s, d), 4, 12)
+    hubs = c.orderBy(F.desc("degree"), "name").limit(15).select(F.col("name").alias("hub"))
+    return S.effective_resistance(c.select("name", F.concat("low", "high").alias("x")), hubs, laplacian)
+
+
+@query()
+def walk_embeddings(s, d):
+    return S.walk_embeddings(s, _small(s, d), 4, 6, size=16)
 
 
 @query(f"WITH {_SMALL}, g AS (SELECT u, count(*) AS n FROM sym GROUP BY u) SELECT sym.u AS node, round(sum(sym.v % 7 / sqrt(CAST(a.n * b.n AS DOUBLE))), 6) AS y FROM sym JOIN g a ON a.u = sym.u JOIN g b ON b.u = sym.v GROUP BY 1")
@@ -584,11 +685,11 @@ def resistance_to_hubs(s, d):
 # ---- evaluation books -----------------------------------------------------------------------
 
 
-@query("SELECT n.doc_id, n.source FROM documents n WHERE n.doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = n.text)")
+@query("SELECT n.doc_id, n.source FROM documents n WHERE NOT EXISTS (SELECT 1 FROM documents o JOIN labels USING (doc_id) WHERE o.text = n.text)")
 def new_decl_antijoin(s, d):
-    t = V.table(s, d, "documents").withColumn("key", F.sha2("text", 256))
-    old = t.where("doc_id % 2 = 0").select("key")
-    return t.where("doc_id % 2 = 1").join(old, "key", "left_anti").select("doc_id", "source")
+    t = V.table(s, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    base = t.join(V.table(s, d, "labels"), "doc_id", "left_semi").select("key").distinct()
+    return t.join(base, "key", "left_anti").select("doc_id", "source")
 
 
 @query("SELECT source AS category, count(*) AS n FROM documents GROUP BY 1")

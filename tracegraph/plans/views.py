@@ -43,6 +43,26 @@ def dag(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(q, "l_orderkey").where("l_partkey < other").groupBy(F.col("l_partkey").alias("source"), F.col("other").alias("target")).agg(F.count("*").alias("w")).where("w >= 2")
 
 
+def tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as labelled branching edges: line number n of an order leads from node n to 2n and 2n + 1."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    at, none = F.col("l_linenumber").cast("long"), F.array().cast("array<string>")
+    label = F.struct(F.lit("structural").alias("kind"), F.col("l_returnflag").alias("head"), none.alias("lemma_tuple"), none.alias("direction_tuple"))
+    key = F.col("l_orderkey").cast("string")
+    return table(spark, sf, "lineitem").select(key.alias("theorem"), key.alias("file_path"), F.format_string("%05d", F.row_number().over(w)).alias("edge"), at.cast("string").alias("in_node"), F.array((2 * at).cast("string"), (2 * at + 1).cast("string")).alias("out_nodes"), label.alias("label"))
+
+
+def traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as traced theorems: a tactic leaves k % 3 goals and uses premise k; one row per user."""
+    goals = F.col("premise") % 3
+    after = F.when(goals == 0, "no goals").when(goals == 1, "⊢ a").otherwise("case l\n⊢ a\n\ncase r\n⊢ b")
+    path = F.concat(F.lit("Mathlib/A"), (F.col("premise") % 7).cast("string"), F.lit("/X.lean"))
+    premise = F.struct(F.concat(F.lit("P"), F.col("premise").cast("string")).alias("full_name"), path.alias("def_path"))
+    tactic = F.struct(F.col("head").alias("tactic"), F.lit("⊢ a").alias("state_before"), after.alias("state_after"), F.struct(F.col("head").alias("text"), F.array(premise).alias("premises")).alias("annotated_tactic"))
+    t = tactics(spark, sf).select("theorem", F.struct("idx", tactic.alias("t")).alias("step")).groupBy("theorem").agg(F.transform(F.array_sort(F.collect_list("step")), lambda x: x["t"]).alias("traced_tactics"))
+    return t.select(F.concat(F.lit("T"), F.col("theorem").cast("string")).alias("full_name"), F.lit("Mathlib/Users/X.lean").alias("file_path"), F.lit("train").alias("split"), F.col("theorem").alias("ordinal"), "traced_tactics")
+
+
 TAC = """tac AS (SELECT user_id AS theorem, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
  event_type AS head, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS premise, event_id AS ord FROM events)"""
 CAT = "cat AS (SELECT c_custkey AS name, r_name AS category FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -51,3 +71,5 @@ STA = f"""{TAC}, sta AS (SELECT theorem, idx, head, before, coalesce(lead(before
  FROM (SELECT *, head || ':' || CAST(premise % 20 AS VARCHAR) AS before FROM tac) x)"""
 DAG = """lp AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), dag AS (SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS w
  FROM lp a JOIN lp b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2)"""
+TRE = """tre AS (SELECT l_orderkey AS theorem, CAST(l_linenumber AS BIGINT) AS pos, l_returnflag AS label,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS edge FROM lineitem)"""
