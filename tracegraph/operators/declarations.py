@@ -67,6 +67,7 @@ def manifest(new: DataFrame, base: DataFrame, limit: int) -> DataFrame:
 
 def prompts(rows: DataFrame) -> DataFrame:
     """Adds prompt: the statement in a code block between fixed texts."""
+    # fixed values: the texts around a statement
     opening = "Think about and solve the following problem step by step in Lean 4.\n# Formal statement:\n```lean4\nimport Mathlib\nimport Aesop\nset_option maxHeartbeats 0\n"
     closing = "\n\n```\nReturn exactly one Lean 4 code block containing a complete proof."
     return rows.withColumn("prompt", F.concat(F.lit(opening), F.col("declaration_header"), F.lit(closing)))

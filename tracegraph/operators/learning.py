@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,11 +128,10 @@ def feature_spec(spec: str, lists: dict[str, int], scalars: tuple[str, ...] = ("
 
     lists gives the length of each array column. An unknown part, or one longer than its column, raises ValueError.
     """
-    import re
-
     parts = []
     for part in spec.split("+"):
-        name, width = re.fullmatch(r"([a-z_]+?)(\d*)", part.strip()).groups() if re.fullmatch(r"([a-z_]+?)(\d*)", part.strip()) else (part, "")
+        found = re.fullmatch(r"([a-z_]+?)(\d*)", part.strip())
+        name, width = found.groups() if found else (part, "")
         if name in scalars and not width:
             parts.append(F.array(F.log1p(F.col(name).cast("double"))))
         elif name in lists and width and 0 < int(width) <= lists[name]:
