@@ -462,7 +462,7 @@ def branch_subtrees(s, d):
 
 @query()
 def mined_motifs(s, d):
-    return R.mine(s, V.tree(s, d), max_edges=3, max_tree_edges=3).select("motif_kind", "signature", "edge_count", "node_count", "support", "distinct_theorems", "complexity_gain")
+    return R.mine(s, V.tree(s, d), max_edges=6, max_tree_edges=5).select("motif_kind", "signature", "edge_count", "node_count", "support", "distinct_theorems", "complexity_gain")
 
 
 @query(f"""WITH {V.TRE}, h AS (SELECT theorem, edge, pos, label, unnest([2 * pos, 2 * pos + 1]) AS nxt FROM tre), two AS (SELECT a.label || '>' || b.label AS labels, a.theorem FROM h a JOIN h b ON a.theorem = b.theorem AND a.nxt = b.pos AND a.edge <> b.edge)
@@ -602,7 +602,7 @@ def feature_spec(s, d):
 @query()
 def link_prediction(s, d):
     und = G.undirected(V.succession(s, d))
-    c, _ = S.coordinates(s, und, 4, 6)
+    c, _ = S.coordinates(s, und)
     pairs = L.link_features(L.sampled_links(und, 10_000), c.select("name", F.concat("low", "high").alias("x"), "degree"))
     train = T.stable_bucket(F.concat_ws("::", F.col("a").cast("string"), F.col("b").cast("string"))) < 8
     return L.logistic_report(pairs.select(F.col("x").alias("embedding"), F.col("label").cast("double").alias("label"), train.alias("train")))
@@ -635,31 +635,31 @@ def ollivier_ricci_sample(s, d):
 
 @query()
 def betweenness_sampled(s, d):
-    u = _small(s, d)
+    u = G.undirected(V.succession(s, d))
     src = G.symmetric(u).select(F.col("u").alias("node")).distinct().orderBy(F.xxhash64("node"), "node").limit(200)
     return G.betweenness(s, u, src)
 
 
 @query()
 def random_walks(s, d):
-    return G.random_walks(s, _small(s, d), 10, 8)
+    return G.random_walks(s, G.undirected(V.succession(s, d)), 10, 40)
 
 
 @query()
 def spectral_coords(s, d):
-    return S.coordinates(s, _small(s, d), 4, 12)[0]
+    return S.coordinates(s, G.undirected(V.succession(s, d)))[0]
 
 
 @query()
 def effective_resistance(s, d):
-    c, laplacian = S.coordinates(s, _small(s, d), 4, 12)
+    c, laplacian = S.coordinates(s, G.undirected(V.succession(s, d)))
     hubs = c.orderBy(F.desc("degree"), "name").limit(15).select(F.col("name").alias("hub"))
     return S.effective_resistance(c.select("name", F.concat("low", "high").alias("x")), hubs, laplacian)
 
 
 @query()
 def walk_embeddings(s, d):
-    return S.walk_embeddings(s, _small(s, d), 4, 6, size=16)
+    return S.walk_embeddings(s, G.undirected(V.succession(s, d)), 10, 40)
 
 
 @query(f"WITH {_SMALL}, g AS (SELECT u, count(*) AS n FROM sym GROUP BY u) SELECT sym.u AS node, round(sum(sym.v % 7 / sqrt(CAST(a.n * b.n AS DOUBLE))), 6) AS y FROM sym JOIN g a ON a.u = sym.u JOIN g b ON b.u = sym.v GROUP BY 1")
