@@ -124,27 +124,33 @@ def windows_of(template: np.ndarray, slot: np.ndarray, first: np.ndarray) -> Win
 
 @dataclass
 class Block:
-    """Sorted distinct window hashes of some items, and for each the (item, position) pairs and slot values."""
+    """Sorted distinct window hashes of some texts, and for each the (text, position) pairs and slot values.
+
+    A text's number in the block is its key, so that texts of one item_id stay apart.
+    """
 
     hashes: np.ndarray
     entries: list[list[tuple[int, int]]]
-    words: dict[int, tuple[np.ndarray, np.ndarray]]  # item -> values, placeholder flags
-    totals: dict[int, int]  # item -> distinct windows
+    words: list[tuple[np.ndarray, np.ndarray]]  # by text: values, placeholder flags
+    totals: list[int]  # by text: distinct windows
+    ids: list[int]  # by text: its item_id
 
 
 def build_block(items: list[tuple[int, str]]) -> Block:
     held: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    words, totals = {}, {}
-    for item, text in items:
+    words, totals, ids = [], [], []
+    for key, (item, text) in enumerate(items):
         data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
         offsets = np.array([0, len(data)])
         template, value, slot, first = tokens_of(data, offsets)
         found = windows_of(template, slot, first)
-        words[item], totals[item] = (value, slot), len(np.unique(found.hash))
+        words.append((value, slot))
+        totals.append(len(np.unique(found.hash)))
+        ids.append(item)
         for h, s in zip(found.hash.tolist(), found.start.tolist(), strict=True):
-            held[h].append((item, s))
+            held[h].append((key, s))
     hashes = np.array(sorted(held), np.uint64)
-    return Block(hashes, [held[h] for h in hashes.tolist()], words, totals)
+    return Block(hashes, [held[h] for h in hashes.tolist()], words, totals, ids)
 
 
 def matches(block: Block, data: np.ndarray, offsets: np.ndarray, containment: float) -> dict[int, list[tuple[int, float, bool]]]:
@@ -175,10 +181,18 @@ def matches(block: Block, data: np.ndarray, offsets: np.ndarray, containment: fl
     for (row, item), positions in covered.items():
         share = min(1.0, len(positions) / max(1, block.totals[item]))
         if share >= containment:
-            out[row].append((item, share, (row, item) in changed))
+            out[row].append((block.ids[item], share, (row, item) in changed))
     return out
 
 
+def best_of(found: list[dict]) -> list[dict]:
+    """One entry per item_id, in its order: the text of largest share, of equal ones the unchanged."""
+    best = {}
+    for x in sorted(found, key=lambda x: (x["item_id"], -x["containment"], x["changed"])):
+        best.setdefault(x["item_id"], x)
+    return list(best.values())
+
+
 FOUND = "array<struct<item_id:long,containment:double,changed:boolean>>"
 
 
@@ -188,7 +202,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block, containment: float) -> Itera
         found: list[list[dict]] = [x or [] for x in batch.column(batch.num_columns - 1).to_pylist()]
         for a, _, data, offsets in kernels.pieces(batch.column(batch.num_columns - 2)):
             for row, items in matches(block.value, data, offsets, containment).items():
-                found[a + row] = sorted(found[a + row] + [{"item_id": i, "containment": s, "changed": c} for i, s, c in items], key=lambda x: x["item_id"])
+                found[a + row] = best_of(found[a + row] + [{"item_id": i, "containment": s, "changed": c} for i, s, c in items])
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=batch.schema.names)
 
 
@@ -200,7 +214,7 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, conta
 
     Null or empty texts hold nothing; items without words or with placeholders only are never
     found; an item shorter than five words is one window. Null item_id: not searched. Repeated
-    items of one id are searched apart and reported under their id. Rows that share a doc_id are
+    items of one id are searched apart and reported under their id, once, by the text of largest share. Rows that share a doc_id are
     judged apart; null doc_id is kept. Empty tables give no rows or no findings. Columns named
     found or _text in ``docs`` are replaced.
     """
@@ -209,12 +223,12 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, conta
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     out = docs.select(*[F.col(f"`{c}`") for c in columns], common.text_column(docs).alias("_text"), F.expr(f"cast(array() as {FOUND})").alias("found"))
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "_text string", f"found {FOUND}"])
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), common.text_column(benchmark).alias("text"))
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), common.text_column(benchmark).alias("text")).distinct()
     # a text of n characters has fewer than n windows: blocks of a bounded size, one pass each
     chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-chars // block_windows))
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
         block = spark.sparkContext.broadcast(build_block(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))))
         out = out.mapInArrow(partial(_scan, block=block, containment=containment), schema)
     return out.drop("_text")
