@@ -6,7 +6,7 @@ that lie on one diagonal of (document position, item position) must fill the ite
 consistently: one value of the item stands for one value of the document. That finds benchmark
 questions as they are and with other numbers or names.
 
-The benchmark's windows are the build side, sent to the tasks in blocks of a bounded size; the
+The benchmark's windows, and whole items that have too few literal words for one, are the build side, sent to the tasks in blocks of a bounded size; the
 documents are read once a block and never shuffled.
 """
 
@@ -27,6 +27,8 @@ from . import common, kernels
 WINDOW = 5
 #: Template words of a window that are not placeholders, at least.
 LITERALS = 3
+#: Words of a whole item that are not placeholders, at least, for it to be found with other values.
+WHOLE_LITERALS = 2
 #: Share of an item's windows that a document must hold.
 CONTAINMENT = 0.8
 #: Benchmark windows that are sent to the tasks at once, at most.
@@ -122,6 +124,21 @@ def windows_of(template: np.ndarray, slot: np.ndarray, first: np.ndarray) -> Win
     return Windows(np.concatenate(hashes), np.concatenate(starts), np.concatenate(rows))
 
 
+def whole_windows(words: np.ndarray, first: np.ndarray, size: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and row of each run of ``size`` words within a row, in time linear in the words; of whole rows only if ``alone``."""
+    counts = np.diff(first)
+    if len(words) < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    up, down = kernels.powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    start = np.arange(len(words) - size + 1)
+    row, last = row[: len(start)], row[size - 1 :]
+    keep = np.flatnonzero((row == last) & ((counts[row] == size) if alone else True))
+    return kernels.mix((total[size:] - total[:-size])[keep] * down[keep]), keep, row[keep]
+
+
 @dataclass
 class Block:
     """Sorted distinct window hashes of some texts, and for each the (text, position) pairs and slot values.
@@ -134,11 +151,13 @@ class Block:
     words: list[tuple[np.ndarray, np.ndarray]]  # by text: values, placeholder flags
     totals: list[int]  # by text: distinct windows
     ids: list[int]  # by text: its item_id
+    whole: dict[tuple[int, bool, bool], tuple[np.ndarray, list[list[int]]]]  # (words, by values, alone) -> sorted hashes, texts
 
 
 def build_block(items: list[tuple[int, str]]) -> Block:
     held: dict[int, list[tuple[int, int]]] = defaultdict(list)
     words, totals, ids = [], [], []
+    whole: dict[tuple[int, bool, bool], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for key, (item, text) in enumerate(items):
         data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
         offsets = np.array([0, len(data)])
@@ -149,18 +168,21 @@ def build_block(items: list[tuple[int, str]]) -> Block:
         ids.append(item)
         for h, s in zip(found.hash.tolist(), found.start.tolist(), strict=True):
             held[h].append((key, s))
+        n, literals = len(value), int((~slot).sum())
+        if n and (not len(found.hash) or (n < WINDOW and slot.any())):
+            exact, alone = literals < WHOLE_LITERALS, not literals and n < WINDOW
+            for h in whole_windows(value if exact else template, first, n, alone)[0].tolist():
+                whole[(n, exact, alone)][h].append(key)
     hashes = np.array(sorted(held), np.uint64)
-    return Block(hashes, [held[h] for h in hashes.tolist()], words, totals, ids)
+    return Block(hashes, [held[h] for h in hashes.tolist()], words, totals, ids, {k: (np.array(sorted(v), np.uint64), [v[h] for h in sorted(v)]) for k, v in whole.items()})
 
 
 def matches(block: Block, data: np.ndarray, offsets: np.ndarray, containment: float) -> dict[int, list[tuple[int, float, bool]]]:
     """row -> (item, contained share, with other slot values) for the items that a row holds."""
     template, value, slot, first = tokens_of(data, offsets)
     found = windows_of(template, slot, first)
-    if not len(found.hash) or not len(block.hashes):
-        return {}
-    at = np.minimum(np.searchsorted(block.hashes, found.hash), len(block.hashes) - 1)
-    hit = np.flatnonzero(block.hashes[at] == found.hash)
+    at = np.minimum(np.searchsorted(block.hashes, found.hash), max(0, len(block.hashes) - 1))
+    hit = np.flatnonzero(block.hashes[at] == found.hash) if len(block.hashes) else np.zeros(0, np.int64)
     diagonals: dict[tuple[int, int, int], list[int]] = defaultdict(list)
     for w in hit:
         for item, position in block.entries[at[w]]:
@@ -177,11 +199,25 @@ def matches(block: Block, data: np.ndarray, offsets: np.ndarray, containment: fl
             covered[(row, item)].update(positions)
             if any(a != b for a, b in pairs):
                 changed.add((row, item))
+    whole: dict[tuple[int, int], bool] = {}
+    for (size, exact, alone), (hashes, texts) in block.whole.items():
+        grams, starts, rows = whole_windows(value if exact else template, first, size, alone)
+        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        for w in np.flatnonzero(hashes[at] == grams):
+            row, start = int(rows[w]), int(starts[w])
+            for item in texts[at[w]]:
+                own, own_slot = block.words[item]
+                pairs = set(zip(own[own_slot].tolist(), value[start : start + size][own_slot].tolist(), strict=True))
+                if len(pairs) == len({a for a, _ in pairs}):
+                    other = any(a != b for a, b in pairs)
+                    whole[(row, item)] = whole.get((row, item), True) and other
     out: dict[int, list[tuple[int, float, bool]]] = defaultdict(list)
     for (row, item), positions in covered.items():
         share = min(1.0, len(positions) / max(1, block.totals[item]))
         if share >= containment:
             out[row].append((block.ids[item], share, (row, item) in changed))
+    for (row, item), other in whole.items():
+        out[row].append((block.ids[item], 1.0, other))
     return out
 
 
@@ -212,8 +248,11 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, conta
     An item's entry has item_id, containment (share of its distinct windows found on consistent
     diagonals, at least the threshold) and changed (slot values differ from the item's).
 
-    Null or empty texts hold nothing; items without words or with placeholders only are never
-    found; an item shorter than five words is one window. Null item_id: not searched. Repeated
+    An item without a window of LITERALS words is searched as a whole: by its template, or by its
+    values where it has fewer than WHOLE_LITERALS words that are not placeholders. Null or empty
+    texts hold nothing; items without words are never found. An item shorter than five words is
+    one window, found in texts as short, and as a whole in longer ones if it has a placeholder and
+    another word. Null item_id: not searched. Repeated
     items of one id are searched apart and reported under their id, once, by the text of largest share. Rows that share a doc_id are
     judged apart; null doc_id is kept. Empty tables give no rows or no findings. Columns named
     found or _text in ``docs`` are replaced.
