@@ -31,7 +31,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def tokenizer(path: str):
     """An encoder with the vocabulary of the tokenizers file ``path`` (byte-level BPE, ids in merge order).
 
-    The same ids as ``tokenizers`` gives with encode_special_tokens set, at four times the speed.
+    ``tokens_of`` gives the same ids as ``tokenizers`` with add_special_tokens=False, at four times the speed.
     """
     import json
 
@@ -43,9 +43,16 @@ def tokenizer(path: str):
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in white space or need word borders are not supported")
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def tokens_of(encoder, text: str) -> list[int]:
+    """The ids of a text; the file's added tokens in it are cut out first and stand for themselves."""
+    return encoder.encode(text, allowed_special="all")
 
 
 def default_tokenizer() -> str:
@@ -150,8 +157,8 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, segme
 
     for batch in batches:
         for key, text, prompt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = np.array([*encoder.encode_ordinary(text), 0], dtype="<u4")
-            waiting.append((key, ids, max(0, len(ids) - 1 - (len(encoder.encode_ordinary(prompt)) if prompt else 0))))
+            ids = np.array([*tokens_of(encoder, text), 0], dtype="<u4")
+            waiting.append((key, ids, max(0, len(ids) - 1 - (len(tokens_of(encoder, prompt)) if prompt else 0))))
             if len(waiting) >= window:
                 yield flush()
     yield flush()
