@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tracegraph.llm import common, decontaminate, neardup, packing, secrets, toxicity
 
+#: Jaccard similarity, in hundredths, from which the stage takes documents as near-duplicates; op3 has a figure of its own.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
@@ -20,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id stays."""
-    gone = neardup.near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id").distinct()
+    """Of each group of near-duplicates (similarity 0.80 and more) the document of smallest doc_id stays."""
+    gone = neardup.near_duplicates(spark, docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -10,7 +10,10 @@ are dropped; the others are verified on full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,14 +24,16 @@ from pyspark.sql import functions as F
 from . import common, components, kernels
 
 WORDS = 5
-BANDS, ROWS = 32, 6
-COORDINATES = BANDS * ROWS
-#: Link when 100 * intersection >= PERCENT * union.
+#: Coordinates of a signature, at most; banding uses as many as its rows divide.
+COORDINATES = 192
+#: Chance, at most, that a pair of exactly the threshold's similarity shares no band.
+MISS = 3e-7
+#: op3's figure: link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Share of agreeing coordinates below which a pair is not verified: 4.6 standard deviations under PERCENT.
-AGREE = 0.73
-#: Signature length and least share for classes in buckets that the first stars left apart, as many deviations under it.
-LONG, LONG_AGREE = 768, 0.79
+#: Standard deviations that a signature's agreement may lie under the threshold before a pair is dropped unverified.
+DEVIATIONS = 4.6
+#: Signature length for classes in buckets that the first stars left apart.
+LONG = 768
 #: Classes of a bucket up to which all its pairs are taken at once.
 SMALL_BUCKET = 24
 #: Classes of a larger bucket that a task compares at once; buckets beyond are split into such blocks.
@@ -37,6 +42,31 @@ BLOCK = 1024
 U32 = np.uint32
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What follows from a threshold: the longest bands that keep MISS, and the bounds of agreement."""
+
+    percent: int
+
+    @property
+    def rows(self) -> int:
+        t = self.percent / 100
+        return max((r for r in range(2, 13) if (1 - t**r) ** (COORDINATES // r) <= MISS), default=1)
+
+    @property
+    def bands(self) -> int:
+        return COORDINATES // self.rows
+
+    @property
+    def coordinates(self) -> int:
+        return self.bands * self.rows
+
+    def least(self, coordinates: int) -> float:
+        """Share of agreeing coordinates below which a pair is not verified, in hundredths."""
+        t = self.percent / 100
+        return math.floor(100 * (t - DEVIATIONS * math.sqrt(t * (1 - t) / coordinates))) / 100
+
+
 def permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
     """A permutation of 32-bit words."""
     x = x ^ (x >> U32(16))
@@ -47,7 +77,7 @@ def permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return x
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+def signatures(values: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
     """(rows x coordinates) minima; rows without shingles have the largest word everywhere."""
     out = np.full((len(bounds) - 1, coordinates), 0xFFFFFFFF, U32)
     full = np.flatnonzero(np.diff(bounds))
@@ -60,16 +90,16 @@ def signatures(values: np.ndarray, bounds: np.ndarray, coordinates: int = COORDI
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """(rows x BANDS) 64-bit keys of the bands; the band's number is part of the key."""
-    rows = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
-    for k in range(ROWS):
+def band_keys(signature: np.ndarray, plan: Plan) -> np.ndarray:
+    """(rows x bands) 64-bit keys of the bands; the band's number is part of the key."""
+    rows = signature.reshape(len(signature), plan.bands, plan.rows).astype(np.uint64)
+    acc = np.broadcast_to(np.arange(1, plan.bands + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for k in range(plan.rows):
         acc = kernels.mix(acc * kernels.BASE + rows[:, :, k])
     return acc.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "k1", "k2", "sketch", "bands"]
     for batch in batches:
         for a, b, data, offsets in kernels.pieces(batch.column(1)):
@@ -80,9 +110,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 for k, salt in enumerate((1, 2)):
                     keys[k, full] = np.add.reduceat(kernels.mix(values + np.uint64(salt) * kernels.BASE), bounds[:-1][full])
-            signature = signatures(values, bounds)
-            sketch = kernels.binary_rows((signature & U32(255)).astype(np.uint8).reshape(-1), np.arange(b - a + 1) * COORDINATES)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(band_keys(signature).reshape(-1)))
+            signature = signatures(values, bounds, plan.coordinates)
+            sketch = kernels.binary_rows((signature & U32(255)).astype(np.uint8).reshape(-1), np.arange(b - a + 1) * plan.coordinates)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * plan.bands), pa.array(band_keys(signature, plan).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), sketch, bands], names=names)
 
 
@@ -103,31 +133,31 @@ def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([batch.column(0), kernels.binary_rows(low.reshape(-1), np.arange(len(sets) + 1) * LONG)], names=["rep", "sketch"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, na, nb, sa, sb) whose sizes and signatures allow a link, as (a, b)."""
     for batch in batches:
         if not len(batch):
             continue
         na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (4, 5))
-        keep = ((sa == sb).mean(1) >= AGREE) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+        sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, plan.coordinates) for k in (4, 5))
+        keep = ((sa == sb).mean(1) >= plan.least(plan.coordinates)) & (100 * np.minimum(na, nb) >= plan.percent * np.maximum(na, nb))
         kept = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, ma, mb) that are links on their full sets, as (a, b)."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common_size = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * common_size >= PERCENT * (len(p) + len(q) - common_size))
+            keep.append(100 * common_size >= plan.percent * (len(p) + len(q) - common_size))
         kept = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(rows: pd.DataFrame, plan: Plan) -> pd.DataFrame:
     """Pairs of one bucket's block (i, j): of different components, not met in an earlier band, alike enough."""
     bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
     sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
@@ -139,22 +169,22 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for x in left:
         other = right[(comp[right] != comp[x]) & (rep[right] > rep[x])] if same_block else right[comp[right] != comp[x]]
-        other = other[100 * np.minimum(n[other], n[x]) >= PERCENT * np.maximum(n[other], n[x])]
+        other = other[100 * np.minimum(n[other], n[x]) >= plan.percent * np.maximum(n[other], n[x])]
         other = other[(bands[other] == bands[x]).argmax(1) == here] if len(other) else other
-        other = other[(sketch[other] == sketch[x]).mean(1) >= LONG_AGREE]
+        other = other[(sketch[other] == sketch[x]).mean(1) >= plan.least(LONG)]
         if len(other):
             out.append((np.full(len(other), rep[x]), rep[other]))
     a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n (distinct shingles), k1, k2 (the set's address), sketch, bands of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    return rows.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sketch binary, bands array<long>")
+    return rows.mapInArrow(partial(_sketch, plan=plan), "doc_id long, n long, k1 long, k2 long, sketch binary, bands array<long>")
 
 
-def class_links(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def class_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between classes (rep, n, sketch, bands), enough to connect what is connected."""
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -168,11 +198,11 @@ def class_links(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> Dat
     centre = many.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("pivot"))
     star = many.join(centre, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
-    pairs = common.materialize(spark, _plausible(few.union(star).distinct(), classes), "pairs")
+    pairs = common.materialize(spark, _plausible(few.union(star).distinct(), classes, plan), "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).union(many.select("rep")).distinct().toDF("rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), common.text_column(docs).alias("text"))
     sets = common.materialize(spark, texts.join(wanted, "rep", "left_semi").mapInArrow(_sets, "rep long, members binary").dropDuplicates(["rep"]), "sets")
-    links = common.materialize(spark, _verified(pairs, sets), "links")
+    links = common.materialize(spark, _verified(pairs, sets, plan), "links")
 
     around = components.connected(spark, links).toDF("rep", "comp")
     placed = many.join(around, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -185,38 +215,43 @@ def class_links(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> Dat
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", other)
     placed = placed.select("key", "rep", "comp", "n", "sketch", "bands", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    rest = placed.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
-    return links.union(_verified(rest, sets))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        return _block_pairs(part, plan)
+
+    rest = placed.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return links.union(_verified(rest, sets, plan))
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     side = classes.select("rep", "n", "sketch")
     rows = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-    return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
+    return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(_agreeing, plan=plan), "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     rows = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
-    return rows.select("a", "b", "ma", "mb").mapInArrow(_verify, "a long, b long")
+    return rows.select("a", "b", "ma", "mb").mapInArrow(partial(_verify, plan=plan), "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Shingles: five words (runs of bytes other than ASCII white space, A-Z lowered), as a set; a text
     of fewer words is one shingle. component_id: the smallest doc_id reachable over links of Jaccard
-    similarity 0.85 and more, the row's own included; kept: doc_id = component_id.
+    similarity ``percent`` / 100 and more, the row's own included; kept: doc_id = component_id.
 
     Null text, or text without words: n_shingles 0, linked with nothing. Null doc_id: component_id
     null and kept, linked with nothing. Repeated rows: each gets the result of its set. Ties need no
     rule. Empty table: no rows. Other columns are ignored.
     """
     common.small_batches(spark, 500)
-    rows = common.materialize(spark, sketches(docs), "sketches")
+    plan = Plan(percent)
+    rows = common.materialize(spark, sketches(docs, plan), "sketches")
     usable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     least = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch", "bands")).alias("x"))
     classes = common.materialize(spark, least.select("k1", "k2", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch", "x.bands"), "classes")
-    links = class_links(spark, docs, classes.select("rep", "n", "sketch", "bands"))
+    links = class_links(spark, docs, classes.select("rep", "n", "sketch", "bands"), plan)
     around = components.connected(spark, links).toDF("rep", "component")
     owner = classes.select("k1", "k2", "rep").join(around, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "k1", "k2").join(owner, ["k1", "k2"], "left")
@@ -225,6 +260,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, common.read_table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, common.read_table(spark, sf_dir, "documents"), PERCENT)
 
 
