@@ -3,8 +3,8 @@
 A word is a maximal run of non-space characters of the lower-cased text, closed by a boundary
 symbol on either side. A gram packs up to ORDER symbols, BITS bits each, into one long: the
 predicted symbol lowest, before it as much context as the word has. Dropping the top symbols of a
-gram gives its lower orders. All counts cover the whole corpus they are asked for; only what is
-shipped to the tasks is bounded, by leaving out the grams that carry least.
+gram gives its lower orders. All counts cover the whole corpus they are asked for, and no gram is left
+out of what is sent to the tasks: a model grows with the corpus' distinct grams.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from . import kernels
 ORDER, BITS = 5, 10
 BOUNDARY = 1
 DISCOUNT = 0.75
-#: Rows of a model that are sent to the tasks, at most, for each of its tables.
-MODEL_ROWS = 1 << 20
 #: Entries that a counting task holds before it sends them on.
 HELD_ENTRIES = 3 << 20
 
@@ -141,22 +139,6 @@ def interpolated(grams: DataFrame, order: int, keys: list[str]) -> DataFrame:
     return joined.select(*keys, "gram", (own + F.col("kinds") * DISCOUNT / F.col("total") * F.col("p_low")).alias("p"))
 
 
-def strongest(rows: DataFrame, weight: str, limit: int = MODEL_ROWS) -> DataFrame:
-    """The rows of largest weight, about ``limit`` of them: those above the weight's quantile sketch."""
-    n = rows.count()
-    if n <= limit:
-        return rows
-    cut = rows.agg(F.percentile_approx(weight, 1 - limit / n, 10000)).first()[0]
-    return rows.where(F.col(weight) > cut)
-
-
-def bounded(table: pa.Table, limit: int) -> pa.Table:
-    """Checks the size of what is about to be sent to every task."""
-    if len(table) > limit * 1.2 + 1000:
-        raise ValueError(f"a model table has {len(table)} rows; its bound is {limit}")
-    return table
-
-
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ``wanted`` in the sorted array ``keys``, and whether they are there."""
     if not len(keys):

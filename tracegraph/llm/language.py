@@ -35,28 +35,28 @@ class Model:
     weight: list[np.ndarray]  # log of the share left to lower orders
 
 
-def fit(counts: DataFrame, limit: int = charlm.MODEL_ROWS) -> Model:
-    """counts: (grp, gram, n). Smoothing and marginals run in Spark over all counts; each table ends bounded."""
+def fit(counts: DataFrame) -> Model:
+    """counts: (grp, gram, n). Smoothing and marginals run in Spark over all counts; every gram and context is in the model."""
     levels, frame = {}, counts
     for order in range(charlm.ORDER, 0, -1):
         levels[order] = frame = frame.persist()
         frame = charlm.lower_order(frame, order - 1, ["grp"]) if order > 1 else None
     languages = sorted(r[0] for r in counts.select("grp").distinct().collect())
-    place = {g: k for k, g in enumerate(languages)}
+    place = pa.array(languages, pa.string())
     model = Model(languages, [], [], [], [])
     for order in range(1, charlm.ORDER + 1):
         rows = charlm.with_context(levels[order], ["grp"])
-        table = charlm.bounded(charlm.strongest(rows, "n", limit).select("grp", "gram", "n", "total").toArrow(), limit)
+        table = rows.select("grp", "gram", "n", "total").toArrow()
         sums = rows.groupBy("grp", "ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"))
-        ctx = charlm.bounded(charlm.strongest(sums, "total", limit).toArrow(), limit)
+        ctx = sums.toArrow()
         d = charlm.DISCOUNT
-        lang = np.array([place[g] for g in ctx.column("grp").to_pylist()], np.int64)
+        lang = pc.index_in(ctx.column("grp"), place).to_numpy().astype(np.int64)
         keys, at = np.unique(ctx.column("ctx").to_numpy(), return_inverse=True)
         weight = np.zeros((len(keys), len(languages)), np.float32)
         weight[at, lang] = np.log(d * ctx.column("kinds").to_numpy() / ctx.column("total").to_numpy())
         model.contexts.append(keys)
         model.weight.append(weight)
-        lang = np.array([place[g] for g in table.column("grp").to_pylist()], np.int64)
+        lang = pc.index_in(table.column("grp"), place).to_numpy().astype(np.int64)
         keys, at = np.unique(table.column("gram").to_numpy(), return_inverse=True)
         own = np.zeros((len(keys), len(languages)))
         own[at, lang] = np.maximum(table.column("n").to_numpy() - d, 0) / table.column("total").to_numpy()

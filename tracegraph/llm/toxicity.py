@@ -36,8 +36,8 @@ class Model:
     unseen: np.ndarray
 
 
-def fit(counts: DataFrame, limit: int = charlm.MODEL_ROWS) -> Model:
-    """counts: (grp, gram, n) with grp '1' toxic and '0' ordinary. Smoothing runs in Spark, the tables end bounded."""
+def fit(counts: DataFrame) -> Model:
+    """counts: (grp, gram, n) with grp '1' toxic and '0' ordinary. Smoothing runs in Spark; every gram and context is in the model."""
     both = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("grp") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in "01"])
     pooled = both.select("gram", (F.col("n0") + F.col("n1")).alias("n"))
     shared = charlm.interpolated(pooled, charlm.ORDER, []).withColumnRenamed("p", "p_low")
@@ -48,14 +48,11 @@ def fit(counts: DataFrame, limit: int = charlm.MODEL_ROWS) -> Model:
     own = {g: F.when(F.col(f"t{g}") > 0, F.greatest(F.col(f"n{g}") - d, F.lit(0.0)) / F.col(f"t{g}")).otherwise(0.0) for g in "01"}
     p = {g: own[g] + weight[g] * F.col("p_low") for g in "01"}
     backoff = F.log(weight["1"]) - F.log(weight["0"])
-    seen = rows.join(sums, "ctx").join(shared, "gram").select("gram", (F.log(p["1"]) - F.log(p["0"])).alias("ratio"), backoff.alias("off"), (F.col("n0") + F.col("n1")).alias("n"))
-    seen = seen.select("gram", "ratio", (F.abs(F.col("ratio") - F.col("off")) * F.sqrt("n")).alias("weight"))
-    unseen = sums.select("ctx", backoff.alias("ratio"), (F.abs(backoff) * F.sqrt(F.col("t0") + F.col("t1"))).alias("weight"))
+    seen = rows.join(sums, "ctx").join(shared, "gram").select("gram", (F.log(p["1"]) - F.log(p["0"])).alias("ratio"))
+    unseen = sums.select("ctx", backoff.alias("ratio"))
     tables = []
     for frame, key in ((seen, "gram"), (unseen, "ctx")):
-        frame = frame.persist()
-        table = charlm.bounded(charlm.strongest(frame, "weight", limit).select(key, F.col("ratio").cast("float")).toArrow(), limit)
-        frame.unpersist()
+        table = frame.select(key, F.col("ratio").cast("float")).toArrow()
         keys = table.column(0).to_numpy()
         at = np.argsort(keys)
         tables += [keys[at], table.column(1).to_numpy()[at]]
