@@ -1,19 +1,43 @@
-"""Bounded frontier loops over written tables."""
+"""Lineage ends in tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset a temporary folder, on a single machine only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="tracegraph-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table into the shared folder and read it back; lineage ends there."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tracegraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here.
+
+    The files outlive executors, so a lost executor never forces the work before this point.
+    """
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` returned and that no later plan reads."""
+    for frame in frames:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
