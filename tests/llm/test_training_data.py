@@ -120,6 +120,10 @@ def test_repeats(spark, docs, texts, frequent, monkeypatch):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark, docs).collect()}
     assert got == brute_repeats(texts, 200)
+    again = substrings.remove_repeats(spark, docs.repartition(3).join(docs.select("doc_id"), "doc_id").repartition(5))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in again.collect()} == got
+    for r in again.where("kept is not null").collect():
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
     assert substrings.remove_repeats(spark, empty(spark)).count() == 0
 
 

@@ -33,7 +33,8 @@ from .bloom import bloom, maybe
 LENGTH = 200
 GRAM = 41
 STEP = 32  # (LENGTH - GRAM + 1) is a multiple of it
-#: Pieces with one shared part that a task compares at once, at most.
+#: Pieces with one shared part that a task compares at once, at most; those of a hotter part are cut
+#: down to single strings, which Spark groups by hash: the same result, in any number of tasks.
 FREQUENT = 4096
 #: Symbols that one transform covers, about.
 BLOCK_SYMBOLS = 400_000
@@ -198,46 +199,49 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(rid, start, end) spans over all repeated strings of rows (rid, text); a text may have many."""
+    """(rid, spans (start, end)) over all repeated strings of a written table of rows (rid, text); spans may overlap."""
     if (length - gram + 1) % STEP:
         raise ValueError("the offsets of an anchor must be a multiple of STEP")
     runs = common.materialize(spark, rows.mapInArrow(partial(_runs, length=length, gram=gram), "rid long, anchor long, content long, place long"), "runs")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = common.materialize(spark, runs.mapInArrow(partial(maybe, column=1, words=bloom(spark, twice)), runs.schema), "runs-again")
-    contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("x"))
+    twice = common.materialize(spark, runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    thin = common.materialize(spark, runs.where(maybe("anchor", bloom(spark, twice))), "runs-again")
+    common.forget(spark, runs, twice)
+    contents = thin.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("x"))
     contents = common.materialize(spark, contents.select("anchor", "content", "n", "x.rid", "x.place"), "contents")
 
-    whole = runs.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"])
+    whole = common.hot_join(thin, contents.where("n > 1").select("anchor", "content", "n"), ["anchor", "content"], "n")
     at = F.shiftright("place", 16)
     whole = whole.select("rid", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("start"), (at - F.col("place").bitwiseAND(255) + length).alias("end"))
 
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     mixed = contents.join(several, "anchor", "left_semi")
     lists = common.materialize(spark, mixed.groupBy("rid").agg(F.collect_list(F.struct("place", "anchor", (F.col("n") == 1).alias("alone"))).alias("contexts")), "contexts")
-    some = rows.mapInArrow(partial(maybe, column=0, words=bloom(spark, lists.select("rid"))), rows.schema)
+    some = rows.where(maybe("rid", bloom(spark, lists.select("rid"))))
     piece_schema = "key long, rid long, at long, low long, high long, left binary, right binary"
     pieces = common.materialize(spark, some.join(lists, "rid").select("text", "rid", "contexts").mapInArrow(partial(_cut, length=length), piece_schema), "pieces")
-    sizes = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = pieces.join(sizes, "key")
-    usual = live.where(F.col("n") <= FREQUENT).drop("n").repartition("key").sortWithinPartitions("key")
+    sizes = common.materialize(spark, pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "piece-keys")
+    usual = pieces.join(sizes.where(F.col("n") <= FREQUENT).select("key"), "key").repartition("key").sortWithinPartitions("key")
     few = usual.mapInArrow(partial(_compare, length=length), "rid long, start long, end long")
 
-    strings = live.where(F.col("n") > FREQUENT).drop("n").mapInArrow(_strings, "string long, o long, rid long, at long")
+    strings = common.hot_join(pieces, sizes.where(F.col("n") > FREQUENT), ["key"], "n").select(*pieces.columns)
+    strings = common.materialize(spark, strings.mapInArrow(_strings, "string long, o long, rid long, at long"), "strings")
     # a string seen in two pieces is repeated; pieces of contents that occur twice are settled above
-    pairs = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    frequent = strings.join(pairs, "string").where(F.col("rid").isNotNull())
+    pairs = common.materialize(spark, strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "string-pairs")
+    frequent = common.hot_join(strings.where(F.col("rid").isNotNull()), pairs, ["string"], "n")
     frequent = frequent.select("rid", (F.col("at") - F.col("o")).alias("start"), (F.col("at") - F.col("o") + length).alias("end"))
-    return whole.unionByName(few).unionByName(frequent)
+    spans = whole.unionByName(few).unionByName(frequent).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = common.materialize(spark, spans, "spans")
+    common.forget(spark, thin, contents, lists, pieces, sizes, strings, pairs)
+    return spans
 
 
 def _finish(batches: Iterator[pa.RecordBatch], keep_bytes: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text[, spans]) to the kept bytes and their figures."""
+    """(doc_id, text, spans) to the kept bytes and their figures."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_bytes]
     types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
     for batch in batches:
         out: dict[str, list] = {k: [] for k in names}
-        lists = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists, strict=True):
+        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode("utf-8")
             united: list[list[int]] = []
             for start, end in sorted((x["start"], x["end"]) for x in spans or ()):
@@ -261,18 +265,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
 
     Null or empty texts: 0 bytes. Texts shorter than ``length`` stay whole. Null doc_id: judged and
     kept in the result. Repeated rows count as occurrences: both are removed. Empty table: no rows.
-    Other columns are ignored.
+    Other columns are ignored, whatever their names. ``docs`` is read once and may be any frame.
     """
     common.small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), common.text_column(docs).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = common.materialize(spark, rows, "rows")  # the ids of a written table stay, however often it is read
     spans = repeated_spans(spark, rows.select("rid", "text"), length, gram)
-    spans = common.materialize(spark, spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     words = bloom(spark, spans.select("rid"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    finish = partial(_finish, keep_bytes=keep_bytes)
-    touched = rows.mapInArrow(partial(maybe, column=0, words=words), rows.schema).join(spans, "rid", "left")
-    others = rows.mapInArrow(partial(maybe, column=0, words=words, wanted=False), rows.schema)
-    return touched.select("doc_id", "text", "spans").mapInArrow(finish, schema).unionByName(others.select("doc_id", "text").mapInArrow(finish, schema))
+    touched = rows.where(maybe("rid", words)).join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(partial(_finish, keep_bytes=keep_bytes), schema)
+    zero = F.lit(0).cast("long")
+    others = rows.where(~maybe("rid", words)).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.encode("text", "utf-8").alias("kept")] * keep_bytes)
+    return touched.unionByName(others)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
