@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import common, kernels
 
 ORDER, BITS = 5, 10
 BOUNDARY = 1
@@ -128,15 +128,22 @@ def with_context(grams: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(sums, [*keys, "ctx"])
 
 
-def interpolated(grams: DataFrame, order: int, keys: list[str]) -> DataFrame:
-    """(keys, gram, p): interpolated Kneser-Ney probabilities of all grams seen at ``order``."""
-    rows = with_context(grams, keys)
-    if order == 1:
-        return rows.select(*keys, "gram", (F.col("n") / F.col("total") * 0.999 + 0.001 / (1 << BITS)).alias("p"))
-    below = interpolated(lower_order(grams, order - 1, keys), order - 1, keys).withColumnRenamed("gram", "low").withColumnRenamed("p", "p_low")
-    joined = rows.withColumn("low", F.col("gram").bitwiseAND(F.lit(mask(order - 1)))).join(below, [*keys, "low"])
-    own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
-    return joined.select(*keys, "gram", (own + F.col("kinds") * DISCOUNT / F.col("total") * F.col("p_low")).alias("p"))
+def levels(spark: SparkSession, counts: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Written tables (keys, gram, n, ctx, total, kinds) of the orders 1 to ORDER; counts are those of ORDER."""
+    out = [common.materialize(spark, with_context(counts, keys), f"grams-{ORDER}")]
+    for order in range(ORDER - 1, 0, -1):
+        out.insert(0, common.materialize(spark, with_context(lower_order(out[0], order, keys), keys), f"grams-{order}"))
+    return out
+
+
+def interpolated(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, gram, p): interpolated Kneser-Ney probabilities of all grams seen at the highest order of ``levels``."""
+    out = tables[0].select(*keys, "gram", (F.col("n") / F.col("total") * 0.999 + 0.001 / (1 << BITS)).alias("p"))
+    for order, rows in enumerate(tables[1:], 2):
+        joined = rows.withColumn("low", F.col("gram").bitwiseAND(F.lit(mask(order - 1)))).join(out.withColumnsRenamed({"gram": "low", "p": "p_low"}), [*keys, "low"])
+        own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
+        out = joined.select(*keys, "gram", (own + F.col("kinds") * DISCOUNT / F.col("total") * F.col("p_low")).alias("p"))
+    return out
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,5 +161,3 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, first[full], axis=0)
     return out
-
-
