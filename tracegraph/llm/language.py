@@ -3,14 +3,13 @@
 Counts come from the whole training part of the corpus. Each order's grams lie in one sorted array
 with a column of log-probabilities per language; a gram that is not there backs off through the
 sorted arrays of its contexts' weights. The language of lowest cross-entropy per symbol is chosen;
-documents whose cross-entropy exceeds what that language's training documents show are rejected.
+documents whose cross-entropy exceeds what a left-out fold of that language's training documents
+shows are rejected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,11 @@ from pyspark.sql import functions as F
 
 from . import charlm, common, kernels
 
-#: Training documents whose cross-entropy may lie above the rejection threshold, as a share.
+#: Left-out training documents whose cross-entropy may lie above the rejection threshold, as a share.
 REJECT_SHARE = 0.005
+#: One in so many training rows is kept out of the counts; rejection is calibrated on these.
+CALIBRATION_FOLDS = 16
+UNKNOWN = "und"
 #: Sharpness of the score: nats of cross-entropy per symbol are multiplied by it.
 SHARPNESS = 8.0
 
@@ -35,36 +37,29 @@ class Model:
     weight: list[np.ndarray]  # log of the share left to lower orders
 
 
-def fit(counts: DataFrame) -> Model:
+def fit(spark: SparkSession, counts: DataFrame) -> Model:
     """counts: (grp, gram, n). Smoothing and marginals run in Spark over all counts; every gram and context is in the model."""
-    levels, frame = {}, counts
-    for order in range(charlm.ORDER, 0, -1):
-        levels[order] = frame = frame.persist()
-        frame = charlm.lower_order(frame, order - 1, ["grp"]) if order > 1 else None
     languages = sorted(r[0] for r in counts.select("grp").distinct().collect())
-    place = pa.array(languages, pa.string())
+    tables = charlm.levels(spark, counts, ["grp"])
+    d = charlm.DISCOUNT
+    lang = (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("grp")) - 1).cast("int").alias("lang")
     model = Model(languages, [], [], [], [])
-    for order in range(1, charlm.ORDER + 1):
-        rows = charlm.with_context(levels[order], ["grp"])
-        table = rows.select("grp", "gram", "n", "total").toArrow()
+    for order, rows in enumerate(tables if languages else [], 1):
         sums = rows.groupBy("grp", "ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"))
-        ctx = sums.toArrow()
-        d = charlm.DISCOUNT
-        lang = pc.index_in(ctx.column("grp"), place).to_numpy().astype(np.int64)
-        keys, at = np.unique(ctx.column("ctx").to_numpy(), return_inverse=True)
+        table = sums.select(lang, "ctx", F.log(d * F.col("kinds") / F.col("total")).cast("float")).toArrow()
+        keys, at = np.unique(table.column(1).to_numpy(), return_inverse=True)
         weight = np.zeros((len(keys), len(languages)), np.float32)
-        weight[at, lang] = np.log(d * ctx.column("kinds").to_numpy() / ctx.column("total").to_numpy())
+        weight[at, table.column(0).to_numpy()] = table.column(2).to_numpy()
         model.contexts.append(keys)
         model.weight.append(weight)
-        lang = pc.index_in(table.column("grp"), place).to_numpy().astype(np.int64)
-        keys, at = np.unique(table.column("gram").to_numpy(), return_inverse=True)
+        table = rows.select(lang, "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")).cast("float")).toArrow()
+        keys, at = np.unique(table.column(1).to_numpy(), return_inverse=True)
         own = np.zeros((len(keys), len(languages)))
-        own[at, lang] = np.maximum(table.column("n").to_numpy() - d, 0) / table.column("total").to_numpy()
+        own[at, table.column(0).to_numpy()] = table.column(2).to_numpy()
         lower = lookup(model, keys & charlm.mask(order - 1), order - 1) if order > 1 else np.full((len(keys), len(languages)), -np.log(1 << charlm.BITS))
         model.keys.append(keys)
         model.logp.append(np.log(own + np.exp(backoff(model, keys, order) + lower)).astype(np.float32))
-    for frame in levels.values():
-        frame.unpersist()
+    common.forget(spark, *tables)
     return model
 
 
@@ -108,43 +103,53 @@ def cross_entropies(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndar
     return out, letters
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m = model.value
-    names = np.array([*m.languages, "und"], dtype=object)
-    for batch in batches:
-        ce, letters = cross_entropies(batch.column(batch.num_columns - 1), m)
+def _predictor(model):
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64())])
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,cross_entropy:double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        m = model.value
+        names = np.array([*m.languages, UNKNOWN], dtype=object)
+        ce, letters = cross_entropies(texts, m)
         if m.languages:
             best = ce.argmin(1)
             soft = np.exp(-SHARPNESS * (ce - ce.min(1, keepdims=True)))
             score, low = 1 / soft.sum(1), ce.min(1)
         else:
-            best, score, low, letters = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), bool)
+            best, score, low, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
         best = np.where(letters, best, len(names) - 1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(low)], names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy"])
+        columns = [pa.array(names[best].tolist(), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(low)]
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+    return predict.asNondeterministic()  # evaluated once a row, wherever the plan uses it
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected for every row of ``docs``.
 
     Learnt from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1; lang, source
-    and doc_id never enter a prediction. ``rejected``: cross_entropy above the REJECT_SHARE upper
-    quantile of that language's training rows.
+    and doc_id never enter a prediction. One in CALIBRATION_FOLDS of these rows is not counted.
+    ``rejected``: cross_entropy above the REJECT_SHARE upper quantile of the rows that were left out
+    and named right; a language without such rows rejects nothing.
 
     Null text or one without letters: `und`, score 0, rejected. Null doc_id: predicted and, as the
     empty key, learnt from. Ties take the first language by name. Repeated rows are each predicted.
-    Without training rows all are `und`. Empty table: no rows.
+    Without training rows all are `und`. Empty table: no rows. Other columns are ignored.
     """
     common.small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), common.text_column(docs).alias("text"))
     held = F.pmod(common.key_crc(), F.lit(3)) == 1
-    train = docs.where(~held & F.col("lang").isNotNull()).select(F.col("lang").alias("grp"), common.text_column(docs).alias("text"))
+    known = ~held & F.col("lang").isNotNull()
+    left_out = F.pmod(F.floor(common.key_crc() / 3), F.lit(CALIBRATION_FOLDS)) == 0
+    train = rows.where(known & ~left_out).select(F.col("lang").alias("grp"), "text")
     counts = common.materialize(spark, charlm.count_grams(train), "language-counts")
-    model = spark.sparkContext.broadcast(fit(counts))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("lang").alias("_lang"), common.text_column(docs).alias("_text"))
-    raw = common.materialize(spark, rows.mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, _lang string, lang_pred string, score double, cross_entropy double"), "language-scores")
-    right = raw.where(~F.col("held_out") & (F.col("_lang") == F.col("lang_pred")))
-    limits = right.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - REJECT_SHARE, 10000).alias("limit"))
+    predict = _predictor(spark.sparkContext.broadcast(fit(spark, counts)))
+    raw = rows.select("doc_id", held.alias("held_out"), F.when(known & left_out, F.col("lang")).alias("checked"), predict("text").alias("p"))
+    raw = common.materialize(spark, raw.select("doc_id", "held_out", "checked", "p.*"), "language-scores")
+    limits = raw.where(F.col("checked") == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - REJECT_SHARE, 10000).alias("limit"))
     joined = raw.join(F.broadcast(limits), "lang_pred", "left")  # a row per language
-    return joined.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") > F.col("limit"), F.lit(True)).alias("rejected"))
+    rejected = F.when(F.col("lang_pred") == UNKNOWN, True).otherwise(F.coalesce(F.col("cross_entropy") > F.col("limit"), F.lit(False)))
+    return joined.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
