@@ -18,7 +18,7 @@ def counts(spark, many, few):
 
 def test_language(spark):
     rows = counts(spark, "aa", "bb")
-    model = language.fit(rows)
+    model = language.fit(spark, rows)
     assert len(model.keys[charlm.ORDER - 1]) == MANY + FEW
     rare = np.sort(np.array([r.gram for r in rows.where("grp = 'bb'").collect()], np.int64))
     assert charlm.find(model.keys[charlm.ORDER - 1], rare)[1].all()
@@ -27,6 +27,6 @@ def test_language(spark):
 
 def test_toxicity(spark):
     rows = counts(spark, "0", "1")
-    model = toxicity.fit(rows)
+    model = toxicity.fit(spark, rows)
     assert len(model.grams) == MANY + FEW
     assert len(model.contexts) == len(np.unique(model.grams >> charlm.BITS))
