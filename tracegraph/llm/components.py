@@ -31,7 +31,9 @@ def connected(spark: SparkSession, links: DataFrame, name: str = "links") -> Dat
     edges = common.materialize(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
-        edges = common.materialize(spark, _small_star(_large_star(edges)), name)
+        last = edges
+        edges = common.materialize(spark, _small_star(_large_star(last)), name)
+        common.forget(spark, last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

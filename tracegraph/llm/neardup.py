@@ -2,10 +2,10 @@
 
 Two permutations of the 32-bit hash space make all signature coordinates: the first scatters a
 document's shingles once, the second is read at positions shifted circularly by the coordinate's
-number. Bands of coordinates give buckets. Equal sets are one class from the start; buckets of a
-few classes give all their pairs, larger ones first a star around their most central class, then
-the pairs between what the verified stars left apart. Pairs whose signatures rule out the threshold
-are dropped; the others are verified on full shingle sets.
+number. Bands of coordinates give buckets. Equal sets are one class from the start; a bucket gives
+first a star around its most central class, then the pairs of what the verified stars left outside
+its largest component. Pairs whose signatures rule out the threshold are dropped; the others are
+verified on full shingle sets.
 """
 
 from __future__ import annotations
@@ -34,9 +34,7 @@ PERCENT = 85
 DEVIATIONS = 4.6
 #: Signature length for classes in buckets that the first stars left apart.
 LONG = 768
-#: Classes of a bucket up to which all its pairs are taken at once.
-SMALL_BUCKET = 24
-#: Classes of a larger bucket that a task compares at once; buckets beyond are split into such blocks.
+#: Classes of a bucket that a task compares at once with as many strays, about; larger buckets are split into such blocks.
 BLOCK = 1024
 
 U32 = np.uint32
@@ -86,7 +84,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.n
     scattered = permuted((values >> np.uint64(32)).astype(U32), 0x7FEB352D, 0x846CA68B)
     starts = bounds[:-1][full]
     for k in range(coordinates):
-        out[full, k] = np.minimum.reduceat(permuted(scattered + U32(k), 0x85EBCA6B, 0xC2B2AE35), starts)
+        out[full, k] = np.minimum.reduceat(permuted(scattered + np.full(1, k, U32), 0x85EBCA6B, 0xC2B2AE35), starts)
     return out
 
 
@@ -158,17 +156,18 @@ def _verify(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
 
 
 def _block_pairs(rows: pd.DataFrame, plan: Plan) -> pd.DataFrame:
-    """Pairs of one bucket's block (i, j): of different components, not met in an earlier band, alike enough."""
+    """Pairs of a stray class (side 0) and a class of another component in one block of one bucket.
+
+    Only pairs that share no earlier bucket, and are alike enough on the long signatures.
+    """
     bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
     sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
-    rep, comp, n, key = (rows[c].to_numpy() for c in ("rep", "comp", "n", "key"))
-    same_block = rows["i"].iloc[0] == rows["j"].iloc[0]
-    left = np.arange(len(rows)) if same_block else np.flatnonzero(rows["side"].to_numpy() == 0)
-    right = np.arange(len(rows)) if same_block else np.flatnonzero(rows["side"].to_numpy() == 1)
-    here = int(np.flatnonzero((bands == key[0]).all(0))[0])
+    rep, comp, n, side = (rows[c].to_numpy() for c in ("rep", "comp", "n", "side"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    here = int(np.flatnonzero((bands == rows["key"].iloc[0]).all(0))[0])
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for x in left:
-        other = right[(comp[right] != comp[x]) & (rep[right] > rep[x])] if same_block else right[comp[right] != comp[x]]
+        other = right[comp[right] != comp[x]]
         other = other[100 * np.minimum(n[other], n[x]) >= plan.percent * np.maximum(n[other], n[x])]
         other = other[(bands[other] == bands[x]).argmax(1) == here] if len(other) else other
         other = other[(sketch[other] == sketch[x]).mean(1) >= plan.least(LONG)]
@@ -185,42 +184,49 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def class_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) between classes (rep, n, sketch, bands), enough to connect what is connected."""
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = common.materialize(spark, keyed.join(shared, "key"), "buckets")
-
-    few = buckets.where(F.col("m") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-    few = few.select(F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-
-    many = buckets.where(F.col("m") > SMALL_BUCKET)
-    weight = many.groupBy("rep").agg(F.sum("m").alias("w"))
-    centre = many.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("pivot"))
-    star = many.join(centre, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    """Links (a, b) between classes (rep, n, sketch, bands), enough to connect what is connected.
 
-    pairs = common.materialize(spark, _plausible(few.union(star).distinct(), classes, plan), "pairs")
+    Every bucket gives a star around its most central class. Where verified stars leave a bucket in
+    several components, each class outside the bucket's largest one is compared with all of the bucket.
+    """
+    keyed = common.materialize(spark, classes.select("rep", F.explode("bands").alias("key")), "keyed")
+    shared = common.materialize(spark, keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    buckets = common.materialize(spark, common.hot_join(keyed, shared.withColumn("size", F.col("m")), ["key"], "size"), "buckets")
+    weight = buckets.groupBy("rep").agg(F.sum("m").alias("w"))
+    weighed = buckets.join(weight, "rep")
+    centre = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("minus"))).alias("c"), F.first("m").alias("size"))
+    centre = common.materialize(spark, centre.select("key", (-F.col("c.minus")).alias("pivot"), "size"), "centres")
+    star = common.hot_join(buckets, centre, ["key"], "size").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+
+    pairs = common.materialize(spark, _plausible(star.distinct(), classes, plan), "pairs")
+    many = buckets.where("m > 2")  # of two classes the star leaves nothing to compare
     wanted = pairs.select("a").union(pairs.select("b")).union(many.select("rep")).distinct().toDF("rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), common.text_column(docs).alias("text"))
     sets = common.materialize(spark, texts.join(wanted, "rep", "left_semi").mapInArrow(_sets, "rep long, members binary").dropDuplicates(["rep"]), "sets")
     links = common.materialize(spark, _verified(pairs, sets, plan), "links")
 
     around = components.connected(spark, links).toDF("rep", "comp")
-    placed = many.join(around, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    placed = common.materialize(spark, placed.join(split, "key", "left_semi"), "apart")
-    longer = sets.join(placed.select("rep").distinct(), "rep", "left_semi").mapInArrow(_long_sketches, "rep long, sketch binary")
-    placed = placed.join(classes.drop("sketch").join(longer, "rep"), "rep")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", other)
-    placed = placed.select("key", "rep", "comp", "n", "sketch", "bands", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    placed = common.materialize(spark, many.join(around, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    split = common.materialize(spark, split.select("key", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.n")).alias("strays"), "size"), "split")
+    apart = common.materialize(spark, common.hot_join(placed, split, ["key"], "size"), "apart")
+    longer = sets.join(apart.select("rep").distinct(), "rep", "left_semi").mapInArrow(_long_sketches, "rep long, sketch binary")
+    apart = apart.join(classes.drop("sketch").join(longer, "rep"), "rep")
+    across, down = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("strays", "m"))
+    block = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ("key", "rep", "comp", "n", "sketch", "bands", "i", "j", "side")
+    strays = apart.where("comp <> main").withColumn("i", block(0, across)).withColumn("j", every(down)).withColumn("side", F.lit(0)).select(*columns)
+    whole = apart.withColumn("i", every(across)).withColumn("j", block(1, down)).withColumn("side", F.lit(1)).select(*columns)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         return _block_pairs(part, plan)
 
-    rest = placed.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    return links.union(_verified(rest, sets, plan))
+    rest = common.materialize(spark, strays.union(whole).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "rest")
+    found = common.materialize(spark, links.union(_verified(rest, sets, plan)), "all-links")
+    common.forget(spark, keyed, shared, buckets, centre, pairs, sets, links, placed, split, rest)
+    return found
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
@@ -242,8 +248,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     similarity ``percent`` / 100 and more, the row's own included; kept: doc_id = component_id.
 
     Null text, or text without words: n_shingles 0, linked with nothing. Null doc_id: component_id
-    null and kept, linked with nothing. Repeated rows: each gets the result of its set. Ties need no
-    rule. Empty table: no rows. Other columns are ignored.
+    null and kept, linked with nothing. Repeated rows: each gets the result of its set. doc_id is taken
+    to name one text; of several texts with one id each is counted and classed by its own set, but one
+    of them, any, stands for the id where sets are compared. Ties need no rule. Empty table: no rows.
+    Other columns are ignored, whatever their names.
     """
     common.small_batches(spark, 500)
     plan = Plan(percent)
@@ -255,11 +263,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     around = components.connected(spark, links).toDF("rep", "component")
     owner = classes.select("k1", "k2", "rep").join(around, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "k1", "k2").join(owner, ["k1", "k2"], "left")
+    common.forget(spark, links)
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, common.read_table(spark, sf_dir, "documents"), PERCENT)
-
-
