@@ -20,8 +20,7 @@ from . import common
 class Rule:
     """A kind of secret: what to match, leftmost and non-overlapping, and which matches to keep.
 
-    ``group`` of a match must have ``least`` characters. ``probe`` is a cheaper pattern found in
-    every text that has a match.
+    ``group`` of a match must have ``least`` characters.
     """
 
     kind: str
@@ -44,6 +43,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 )
 BASE = ("assign", "access", "hex")
+#: Parts in which the registered query takes its table, each scanned against the ledger of those before.
+DELIVERIES = 2
 FOUND = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
@@ -84,7 +85,39 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | No
     return blobs.select("blob", "rules", F.concat(*found).alias("spans"))
 
 
-def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def addressed(versions: DataFrame, columns: tuple[str, str]) -> DataFrame:
+    """The versions without columns of these names, plus the first: the address of the text."""
+    kept = [F.col(f"`{c}`") for c in versions.columns if c.lower() not in {x.lower() for x in columns}]
+    return versions.select(*kept, F.sha2(common.text_column(versions), 256).alias(columns[0]))
+
+
+def scan_unseen(spark: SparkSession, versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """New rows of the ledger, a written table (blob, rules, spans): what ``ledger`` lacks of the versions' blobs and the rules."""
+    rows = versions.select(common.text_column(versions).alias("text")).withColumn("blob", F.sha2("text", 256))
+    return common.materialize(spark, scan_blobs(blobs_of(rows), rules, ledger), "ledger")
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, columns: tuple[str, str] = ("blob", "spans")) -> DataFrame:
+    """Every row and column of ``versions`` plus blob and spans (start, order, kind, end; by start, then rule) from the ledger.
+
+    A blob that has a hot share of all rows gets its findings by a broadcast, where its rows lie.
+    """
+    blob, spans = columns
+    wanted = F.array(*[F.lit(r.kind) for r in rules])
+    hits = ledger.where(F.size("spans") > 0).select("blob", F.filter("spans", lambda s: F.array_contains(wanted, s["kind"])).alias("spans"))
+    hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a blob has a row for each scan that had unseen rules
+    hits = hits.select(F.col("blob").alias(blob), F.array_sort(F.array_distinct("spans")).alias(spans))
+    rows = addressed(versions, columns)
+    copies = rows.groupBy(blob).agg(F.count("*").alias("n"))
+    hot = copies.where(F.col("n") > versions.count() * common.HOT_SHARE).select(blob)  # fewer than 1 / HOT_SHARE rows
+    hot = common.materialize(versions.sparkSession, hot, "hot-blobs")
+    here = rows.join(F.broadcast(hot), blob, "left_semi").join(F.broadcast(hits.join(F.broadcast(hot), blob, "left_semi")), blob, "left")
+    there = rows.join(F.broadcast(hot), blob, "left_anti").join(hits, blob, "left")
+    out = here.unionByName(there)
+    return out.withColumn(spans, F.coalesce(spans, F.expr(f"cast(array() as {FOUND})"))).select(*rows.columns, spans)
+
+
+def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, columns: tuple[str, str] = ("blob", "spans")) -> tuple[DataFrame, DataFrame]:
     """Scan versions (doc_id, text, ...) against a ledger: (findings per row, new ledger rows).
 
     Findings keep every row and column of ``versions`` and add ``blob`` and ``spans`` (start, order,
@@ -93,18 +126,20 @@ def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger:
 
     Null text counts as empty. Null doc_id and repeated rows are kept, each with its findings. An
     empty table gives empty frames. Ties (spans of two kinds at one start) follow the rules' order.
-    Columns named blob or spans in the input are replaced.
+    ``columns`` names the two added columns; input columns of these names are replaced, no other is touched.
     """
-    versions = versions.drop("blob", "spans").withColumn("text", common.text_column(versions)).withColumn("blob", F.sha2(F.col("text"), 256))
-    fresh = scan_blobs(blobs_of(versions), rules, ledger)
-    known = fresh if ledger is None else fresh.unionByName(ledger)
-    wanted = F.array(*[F.lit(r.kind) for r in rules])
-    hits = known.where(F.size("spans") > 0).select("blob", F.filter("spans", lambda s: F.array_contains(wanted, s["kind"])).alias("spans"))
-    if ledger is not None:  # a blob may have rows from several scans
-        hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    hits = hits.select("blob", F.array_sort(F.array_distinct("spans")).alias("spans"))
-    joined = versions.join(hits, "blob", "left")
-    return joined.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {FOUND})"))), fresh
+    fresh = scan_unseen(versions.sparkSession, versions, rules, ledger)
+    return findings(versions, fresh if ledger is None else fresh.unionByName(ledger), rules, columns), fresh
+
+
+def scan_deliveries(spark: SparkSession, versions: DataFrame, rules: tuple[Rule, ...] = RULES, deliveries: int = DELIVERIES) -> tuple[DataFrame, DataFrame]:
+    """``scan_versions`` of all versions, which arrive in parts by a hash of doc_id: each part is scanned
+    against the ledger that the parts before it left, so that a blob is scanned once."""
+    part, ledger = F.pmod(F.xxhash64("doc_id"), F.lit(deliveries)), None
+    for k in range(deliveries):
+        fresh = scan_unseen(spark, versions.where(part == k), rules, ledger)
+        ledger = fresh if ledger is None else ledger.unionByName(fresh)
+    return findings(versions, ledger, rules), ledger
 
 
 def joined_spans(spans: Column) -> Column:
@@ -129,6 +164,6 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = scan_versions(docs)
+    found, _ = scan_deliveries(spark, docs)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined_spans(base_spans(F.col("spans"))), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
