@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RATE, UP, DOWN = 8000, 1, 2
-FRAME, HOP, MELS, TENSOR_FRAMES = 256, 128, 20, 64
+RATE, UP, DOWN = 8000, 3, 4
+FRAME, HOP, MELS, TENSOR_FRAMES = 256, 128, 20, 16
 TAPS = 24
+#: Frames that are transformed at once: a long text takes no more memory for its spectrum than this many.
+FRAME_RUN = 4096
 SCHEMA = "n_bytes long, payload_bytes long, media binary, payload binary, frames long, n_tensors long, tensors binary, spans array<struct<start_s:double,end_s:double>>, feature string"
 
 
@@ -80,17 +82,25 @@ def mel_bank(rate: int, frame: int, mels: int) -> np.ndarray:
     bins = np.arange(frame // 2 + 1) * rate / frame
     rise = (bins[None] - hz[:-2, None]) / (hz[1:-1] - hz[:-2])[:, None]
     fall = (hz[2:, None] - bins[None]) / (hz[2:] - hz[1:-1])[:, None]
-    return np.clip(np.minimum(rise, fall), 0, None).T.astype(np.float32)
+    return np.ascontiguousarray(np.clip(np.minimum(rise, fall), 0, None).T)
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames (n x MELS) of a signal and each frame's log energy; the last frame is padded."""
+    """Log-mel frames (n x MELS) of a signal and each frame's log energy; the last frame is padded.
+
+    Computed in double precision and rounded, so that equal signals give equal values on any worker.
+    """
     count = max(1, -(-(len(x) - FRAME) // HOP) + 1)
     x = np.pad(x, (0, max(0, (count - 1) * HOP + FRAME - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:count] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    mel = power.astype(np.float32) @ mel_bank(rate, FRAME, MELS)
-    return np.log(mel + 1e-6), np.log((frames**2).mean(1) + 1e-8)
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:count]
+    window, bank = np.hanning(FRAME), mel_bank(rate, FRAME, MELS)
+    mel, energy = np.zeros((count, MELS), np.float32), np.zeros(count)
+    for a in range(0, count, FRAME_RUN):
+        run = frames[a : a + FRAME_RUN] * window
+        half = np.fft.rfft(run, axis=1)
+        mel[a : a + FRAME_RUN] = np.round(np.log((half.real**2 + half.imag**2) @ bank + 1e-6), 4)
+        energy[a : a + FRAME_RUN] = np.round(np.log((run**2).mean(1) + 1e-8), 6)
+    return mel, energy
 
 
 def hysteresis(energy: np.ndarray, high: float, low: float) -> list[tuple[int, int]]:
@@ -149,11 +159,11 @@ def audio_columns(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] =
 
     Columns: doc_id and those of ``keep``: n_bytes, payload_bytes, media (the file), payload (read
     back), frames, n_tensors, tensors (an Arrow IPC stream of fixed-shape log-mel tensors), spans
-    (seconds at 4 kHz), feature (mean log-mel bands, frame and span counts).
+    (seconds of the resampled signal), feature (mean log-mel bands, frame and span counts).
 
     Bytes are padded with 0 to a positive multiple of 64. Null or empty text: 64 zero bytes. Rows
     are independent: repeated rows and ties give equal values, an empty table no rows, null doc_id
-    is kept, other columns are ignored.
+    is kept, other columns are ignored, whatever their names.
     """
     common.small_batches(spark, 256)
     kinds = dict(x.split(" ", 1) for x in SCHEMA.split(", "))
@@ -162,7 +172,7 @@ def audio_columns(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] =
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio_columns(spark, common.read_table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "media", "payload", "frames", "spans", "feature"))
+    rows = audio_columns(spark, common.read_table(spark, sf_dir, "documents"), ("n_bytes", "payload_bytes", "media", "payload", "frames", "n_tensors", "tensors", "spans", "feature"))
     return rows.select(
         "doc_id",
         "n_bytes",
@@ -173,7 +183,9 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
         "frames",
-        F.size("spans").cast("long").alias("n_segments"),
+        "n_tensors",
+        "tensors",
+        "spans",
     )
 
 
