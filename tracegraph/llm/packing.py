@@ -23,6 +23,8 @@ from . import common
 
 SEQUENCE = 1024
 SEGMENTS = 64
+#: Loss-bearing tokens of a sequence in the registered query, at most; its documents' first words count as the prompt.
+LOSS, PROMPT_WORDS = 1016, 16
 WINDOW = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,7 +64,10 @@ def default_tokenizer() -> str:
 
 
 class Packer:
-    """Open-sequence state of one task. Capacities: tokens, segments, loss-bearing tokens."""
+    """Open-sequence state of one task. Capacities: tokens, segments, loss-bearing tokens.
+
+    An example is (ids, prompt): all ids from number ``prompt`` on bear loss, but for the last one.
+    """
 
     def __init__(self, size: int, segments: int, loss: int):
         self.capacity = np.array([size, segments, loss], np.float64)
@@ -78,46 +83,45 @@ class Packer:
         self.placed.append((example, start, length, self.sequence, int(self.size - self.free[0])))
         self.free -= (length, 1, loss)
 
-    def pack(self, lengths: np.ndarray, starts: np.ndarray, losses: np.ndarray, examples: np.ndarray) -> None:
-        """Place every item; items are cut where no whole one fits."""
-        lengths, starts, losses = lengths.astype(np.int64), starts.astype(np.int64), losses.astype(np.int64)
-        waiting = lengths > 0
+    def room(self, left: int, start: int, prompt: int) -> int:
+        """Ids of the rest of an example that the open sequence can take."""
+        take = int(min(left, self.free[0], max(0, prompt - start) + self.free[2]))
+        return take + (take == left - 1 and take < self.free[0])  # the last id bears no loss
+
+    def pack(self, total: np.ndarray, prompt: np.ndarray) -> None:
+        """Place every example: whole sequences of long ones directly, the rest by the heuristic, cut where no whole one fits."""
+        total, prompt = total.astype(np.int64), np.minimum(prompt.astype(np.int64), total.astype(np.int64) - 1)
+        start = np.zeros(len(total), np.int64)
+        bearing = lambda k, n: int(max(0, min(start[k] + n, total[k] - 1) - max(start[k], prompt[k])))
+        if self.free[0] < self.size:
+            self.close()
+        for k in np.flatnonzero(total >= self.size):
+            while total[k] - start[k] >= self.size:
+                take = self.room(int(total[k] - start[k]), int(start[k]), int(prompt[k]))
+                self.put(int(k), int(start[k]), take, bearing(k, take))
+                self.close()
+                start[k] += take
+        left, losses = total - start, np.maximum(0, total - 1 - np.maximum(start, prompt))
+        waiting = left > 0
         while waiting.any():
             if self.free.min() < 1:
                 self.close()
             at = np.flatnonzero(waiting)
-            demand = np.stack([lengths[at], np.ones(len(at)), losses[at]], 1) / self.capacity
+            demand = np.stack([left[at], np.ones(len(at)), losses[at]], 1) / self.capacity
             weight = demand.mean(0)
             fits = (demand * self.capacity <= self.free).all(1)
             value = (demand * (weight * self.free / self.capacity)).sum(1)
             if fits.any():
                 best = at[np.flatnonzero(fits)[np.argmax(value[fits])]]
-                length = int(lengths[best])
+                length = int(left[best])
             else:
                 best = at[np.argmax(value)]
-                length = int(min(lengths[best], self.free[0], self.free[2]))
-            loss = min(int(losses[best]), length)
-            self.put(int(examples[best]), int(starts[best]), length, loss)
-            lengths[best] -= length
-            starts[best] += length
-            losses[best] -= loss
-            waiting[best] = lengths[best] > 0
-
-
-def _place(lengths: list[int], losses: list[int], size: int, packer: Packer) -> None:
-    """Whole sequences of long examples directly, the remainders by the heuristic."""
-    left, start, loss = np.array(lengths), np.zeros(len(lengths), np.int64), np.array(losses)
-    full = size if packer.capacity[2] >= size else int(packer.capacity[2])
-    if packer.free[0] < size:
-        packer.close()
-    for k in np.flatnonzero(left >= full):
-        while left[k] >= full:
-            packer.put(int(k), int(start[k]), full, min(full, int(loss[k])))
-            packer.close()
-            left[k] -= full
-            start[k] += full
-            loss[k] = max(0, loss[k] - full)
-    packer.pack(left, start, loss, np.arange(len(left)))
+                length = self.room(int(left[best]), int(start[best]), int(prompt[best]))
+            self.put(int(best), int(start[best]), length, bearing(best, length))
+            start[best] += length
+            left[best] = total[best] - start[best]
+            losses[best] = max(0, total[best] - 1 - max(start[best], prompt[best]))
+            waiting[best] = left[best] > 0
 
 
 def _tail(pieces: list[tuple]) -> list[tuple]:
@@ -139,7 +143,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, segme
     encoder, packer = tokenizer(path), Packer(size, segments, loss)
     base = TaskContext.get().partitionId() << 40
     names = [x.split()[0] for x in PIECES.split(", ")]
-    waiting: list[tuple] = []  # (doc_id, ids, loss-bearing ids)
+    waiting: list[tuple] = []  # (doc_id, ids, ids of the prompt)
     opened: list[tuple] = []  # pieces of the open sequence
 
     def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
@@ -148,7 +152,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, segme
 
     def flush() -> pa.RecordBatch:
         nonlocal opened
-        _place([len(x[1]) for x in waiting], [x[2] for x in waiting], size, packer)
+        packer.pack(np.array([len(x[1]) for x in waiting], np.int64), np.array([x[2] for x in waiting], np.int64))
         pieces = opened + [(waiting[e][:2], s, n, q, o) for e, s, n, q, o in packer.placed]
         packer.placed.clear()
         waiting.clear()
@@ -158,7 +162,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, size: int, segme
     for batch in batches:
         for key, text, prompt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids = np.array([*tokens_of(encoder, text), 0], dtype="<u4")
-            waiting.append((key, ids, max(0, len(ids) - 1 - (len(tokens_of(encoder, prompt)) if prompt else 0))))
+            waiting.append((key, ids, len(tokens_of(encoder, prompt)) if prompt else 0))
             if len(waiting) >= window:
                 yield flush()
     yield flush()
@@ -182,5 +186,11 @@ def pack_documents(spark: SparkSession, docs: DataFrame, *, tokenizer_path: str
     return rows.mapInArrow(run, PIECES)
 
 
+def with_prompt(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus the column ``name``: the first PROMPT_WORDS words of a text, which bear no loss."""
+    return docs.withColumn(name, F.regexp_extract(common.text_column(docs), rf"^\s*(\S+\s+){{0,{PROMPT_WORDS - 1}}}\S*", 0))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark, common.read_table(spark, sf_dir, "documents"))
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(spark, with_prompt(docs, "prompt"), prompt="prompt", loss_tokens=LOSS)
