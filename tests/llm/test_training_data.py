@@ -55,6 +55,11 @@ def test_secrets(spark, docs, texts):
     assert {tuple(r.rules) for r in fresh.select("rules").distinct().collect()} == {("hex@2",)}
     assert {r.doc_id: len(r.spans) for r in again.collect()} == {i: len(x) for i, x in got.items()}
     assert secrets.scan_versions(empty(spark))[0].count() == 0
+    parts, ledger = secrets.scan_deliveries(spark, docs.union(docs), deliveries=3)
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in parts.collect()} == got and parts.count() == 2 * len(texts)
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for _, t in texts})  # no blob is scanned twice
+    named, _ = secrets.scan_versions(docs, columns=("address", "hits"))
+    assert named.columns == [*docs.columns, "address", "hits"] and {r.spans for r in named.collect()} == {7}
     clean = found.select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t")).where("doc_id = 15").first().t
     assert clean == "[access] é [hex]"
 
@@ -77,8 +82,9 @@ def test_near_duplicates(spark, docs, texts):
     assert neardup.near_duplicates(spark, empty(spark)).count() == 0
 
 
-def test_near_duplicates_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_duplicates_large_bucket(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(200)]
     rows = []
@@ -175,7 +181,7 @@ def test_media(spark, docs, texts):
 
 def test_resample_keeps_low_tones():
     t = np.arange(4000)
-    y = media.resample(np.sin(2 * np.pi * t / 80).astype(np.float32))
+    y = media.resample(np.sin(2 * np.pi * t / 80).astype(np.float32), 1, 2)
     assert len(y) == 2000 and abs(np.abs(np.fft.rfft(y)).argmax() - 50) <= 1
 
 
