@@ -37,11 +37,11 @@ def bfs(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_edges: int
     starts: (key, node). The parent is the least predecessor on the level before. Every level is a
     written table; visited nodes are removed by an anti join.
     """
-    adjacency = cut(spark, edges.select("source", "target").distinct(), "adjacency")
-    seen = cut(spark, starts.select(key, "node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent")).distinct(), "bfs")
+    adjacency = cut(spark, edges.select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct(), "adjacency")
+    seen = cut(spark, starts.select(key, "node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(edges.schema["source"].dataType).alias("parent")).distinct(), "bfs")
     frontier = seen
     for depth in range(1, max_edges + 1):
-        step = frontier.join(adjacency, frontier.node == adjacency.source).groupBy(key, F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+        step = frontier.join(adjacency, F.col("node") == F.col("_from")).groupBy(key, F.col("_to").alias("node")).agg(F.min("_from").alias("parent"))
         fresh = cut(spark, step.join(seen.select(key, "node"), [key, "node"], "left_anti").select(key, "node", F.lit(depth).cast("long").alias("depth"), "parent"), "bfs")
         if fresh.isEmpty():
             break
@@ -89,10 +89,10 @@ def weak_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return label
 
 
-def neighbourhood_distance(und: DataFrame) -> DataFrame:
-    """(u, v, x, y, d) for x around u and y around v of each edge: d is 0, 1, 2 or 3."""
+def neighbourhood_distance(und: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(u, v, x, y, d) for x around u and y around v of each edge (of all, or of ``edges``): d is 0, 1, 2 or 3."""
     s = symmetric(und)
-    pairs = und.join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v")
+    pairs = (und if edges is None else edges).join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v")
     want = pairs.select("x", "y").distinct()
     two = want.join(s.toDF("x", "m"), "x").join(s.toDF("m", "y2"), "m").where("y = y2").select("x", "y").distinct().withColumn("two", F.lit(True))
     one = s.toDF("x", "y").withColumn("one", F.lit(True))
@@ -148,13 +148,7 @@ def ollivier_ricci(und: DataFrame, sample: DataFrame, max_neighbourhood: int) ->
     ship_package(und.sparkSession)
     deg = symmetric(und).groupBy("u").agg(F.count("*").alias("deg"))
     small = sample.join(deg, "u").join(deg.toDF("v", "deg_v"), "v").where(F.greatest("deg", "deg_v") <= max_neighbourhood).select("u", "v")
-    s = symmetric(und)
-    pairs = small.join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v")
-    want = pairs.select("x", "y").distinct()
-    two = want.join(s.toDF("x", "m"), "x").join(s.toDF("m", "y2"), "m").where("y = y2").select("x", "y").distinct().withColumn("two", F.lit(1))
-    one = s.toDF("x", "y").withColumn("one", F.lit(1))
-    d = F.when(F.col("x") == F.col("y"), 0).when(F.col("one") == 1, 1).when(F.col("two") == 1, 2).otherwise(3)
-    rows = pairs.join(one, ["x", "y"], "left").join(two, ["x", "y"], "left").select("u", "v", "x", "y", d.cast("double").alias("d"))
+    rows = neighbourhood_distance(und, small).withColumn("d", F.col("d").cast("double"))
 
     def kappa(part: pd.DataFrame) -> pd.DataFrame:
         cost = part.pivot(index="x", columns="y", values="d").to_numpy()

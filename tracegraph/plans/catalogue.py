@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +12,11 @@ from ..operators import learning as L
 from ..operators import mining as M
 from ..operators import spectral as S
 from ..operators import traces as R
+from . import files, models, reports, searches  # noqa: F401  (they register their queries)
 from . import views as V
+from .registry import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 def _occurrences(s: SparkSession, d: str) -> DataFrame:

@@ -36,6 +36,19 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("before", state).withColumn("after", F.coalesce(F.lead("before").over(w), F.lit("no goals"))).select("theorem", "idx", "head", "before", "after", "ord")
 
 
+def hyper(spark: SparkSession, sf: str) -> DataFrame:
+    """theorem, idx, ord, tactic, input, outputs: a step leads from one state to none (no goals), one or two others.
+
+    States are S00 to S99; what a tactic leaves depends on the state and on the tactic, so that states
+    have alternatives (OR) and steps with two outputs (AND).
+    """
+    k, n = F.col("premise"), F.length("head")
+    name = lambda x: F.format_string("S%02d", x % 100)
+    one, two = name(7 * k + 3 * n), F.array(name(3 * k + n + 1), name(5 * k + 2))
+    outputs = F.when((k + n) % 3 == 0, F.array(F.lit("no goals"))).when((k + n) % 3 == 1, F.array(one)).otherwise(two)
+    return tactics(spark, sf).select("theorem", "idx", "ord", F.col("head").alias("tactic"), name(k).alias("input"), outputs.alias("outputs"))
+
+
 def dag(spark: SparkSession, sf: str) -> DataFrame:
     """source < target: parts ordered together at least twice."""
     p = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
@@ -73,3 +86,5 @@ DAG = """lp AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), dag AS (SE
  FROM lp a JOIN lp b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2)"""
 TRE = """tre AS (SELECT l_orderkey AS theorem, CAST(l_linenumber AS BIGINT) AS pos, l_returnflag AS label,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS edge FROM lineitem)"""
+HYP = f"""{TAC}, hyp AS (SELECT theorem, idx, ord, head AS tactic, printf('S%02d', premise % 100) AS input, CASE (premise + length(head)) % 3 WHEN 0 THEN ['no goals']
+ WHEN 1 THEN [printf('S%02d', (7 * premise + 3 * length(head)) % 100)] ELSE [printf('S%02d', (3 * premise + length(head) + 1) % 100), printf('S%02d', (5 * premise + 2) % 100)] END AS outputs FROM tac)"""
