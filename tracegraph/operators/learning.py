@@ -8,12 +8,34 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import cut
+
+
+def prefix_sums(rows: DataFrame, order: str, value: Column, name: str = "before") -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before this one by ``order``, which is unique.
+
+    Rows are dealt by ranges of ``order`` and summed within each; the offsets, a row a partition, are
+    broadcast. So no task sees more than its range.
+    """
+    spark = rows.sparkSession
+    dealt = cut(spark, rows.withColumn("_value", value).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = dealt.groupBy("_part").agg(F.sum("_value").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_offset"))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("_own", F.coalesce(F.sum("_value").over(w), F.lit(0)))
+    return own.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_own") + F.col("_offset")).drop("_part", "_value", "_own", "_offset")
+
+
+def dense_ids(names: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column with their places in sorted order, from 0."""
+    return prefix_sums(names.select(column).distinct(), column, F.lit(1).cast("long"), "id").select(column, "id")
+
 
 def ccdf(counts: DataFrame, x: str, n: str) -> DataFrame:
     """(x, p): share of mass at x and above. counts has one row per distinct value."""
     total = counts.agg(F.sum(n).alias("total"))
-    w = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("above", F.sum(n).over(w)).join(F.broadcast(total)).select(x, (F.col("above") / F.col("total")).alias("p"))  # one row
+    below = prefix_sums(counts, x, F.col(n), "below")
+    return below.join(F.broadcast(total)).select(x, ((F.col("total") - F.col("below")) / F.col("total")).alias("p"))  # one row
 
 
 def stratified_share(rows: DataFrame, key: str, n: int, order: Column, tie: str) -> DataFrame:
@@ -21,7 +43,8 @@ def stratified_share(rows: DataFrame, key: str, n: int, order: Column, tie: str)
     w = Window.partitionBy(key).orderBy(order, tie)
     sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
     share = sizes.join(F.broadcast(rows.agg(F.count("*").alias("total")))).select(key, F.greatest(F.lit(1), F.bround(F.col("size") * F.lit(float(n)) / F.col("total"))).alias("share"))  # one row
-    return rows.withColumn("rn", F.row_number().over(w)).join(share, key).where("rn <= share").drop("rn", "share")
+    few = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(1, n))  # no share is larger: sorted partitions keep n rows a class
+    return few.join(share, key).where("rn <= share").drop("rn", "share")
 
 
 def round_robin(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
@@ -41,14 +64,6 @@ def standardize(x: DataFrame) -> DataFrame:
     return x.join(m, "j").withColumn("z", (F.col("v") - F.col("mu")) / F.col("sd"))
 
 
-def gram(rows: DataFrame, vector: str, k: int) -> DataFrame:
-    """(i, j, g) with i <= j of X'X, in one aggregate without exploding."""
-    x = F.col(vector).cast("array<double>")
-    sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    cells = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("i"), F.lit(j + 1).cast("long").alias("j"), F.col(f"g{i}_{j}").alias("g")) for i in range(k) for j in range(i, k)])
-    return rows.agg(*sums).select(F.explode(cells).alias("c")).select("c.*")
-
-
 def ridge_report(spark: SparkSession, rows: DataFrame, k: int, penalty: float) -> DataFrame:
     """n, weights (on standardised columns), r2, rmse of ridge with a free intercept. rows: (x array, y).
 
@@ -68,15 +83,82 @@ def ridge_report(spark: SparkSession, rows: DataFrame, k: int, penalty: float) -
     return spark.createDataFrame([(n, [float(v) for v in w], r2, float(np.sqrt(max(sse, 0) / n)))], "n long, weights array<double>, r2 double, rmse double")
 
 
-def nearest_centroids(rows: DataFrame, key: str, vector: str, label: str, top: int) -> DataFrame:
-    """(key, predicted, rk): the nearest class means, ties by label. The means, a row a class, are broadcast."""
-    x = rows.select(key, label, F.col(vector).cast("array<double>").alias("x"))
-    means = x.select(label, F.posexplode("x").alias("j", "v")).groupBy(label, "j").agg(F.avg("v").alias("m")).groupBy(label).agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("c"))
-    means = means.select(F.col(label).alias("predicted"), F.transform("c", lambda c: c["m"]).alias("m"))
-    d2 = F.aggregate(F.zip_with("x", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    near = x.join(F.broadcast(means)).select(key, F.struct(F.round(d2, 6).alias("d2"), "predicted").alias("p"))  # a row a class
-    best = near.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("p")), 1, top).alias("best"))
-    return best.select(key, F.posexplode("best").alias("rk", "p")).select(key, "p.predicted", (F.col("rk") + 1).cast("long").alias("rk"))
+def regression_sets(rows: DataFrame, sets: dict[str, list[int]], penalty: float = 1.0) -> DataFrame:
+    """feature_set, side, n_features, n, r2, pearson, rmse of ridge with a free intercept on each set of columns of x.
+
+    rows: (x array, y, train). Columns are standardised by the training side's mean and population
+    deviation (1 where it vanishes), and fitted on it. One pass gives the second moments of (1, x, y) on
+    either side; every model and every figure follows from them. A set without columns predicts the
+    mean, with r2 and pearson 0.
+    """
+    spark = rows.sparkSession
+    wide = rows.select("train", F.concat(F.array(F.lit(1.0)), F.col("x").cast("array<double>"), F.array(F.col("y").cast("double"))).alias("v"))
+    cells = {side: gram_blocks(wide.where(F.col("train") == (side == "train")), "v").toPandas() for side in ("train", "test")}
+    moments = {}
+    for side, c in cells.items():
+        k = int(c["i"].max()) if len(c) else 2
+        m = np.zeros((k, k))
+        m[c["i"] - 1, c["j"] - 1] = c["g"]
+        moments[side] = m + np.triu(m, 1).T
+    out = []
+    for name, columns in sets.items():
+        m = moments["train"]
+        n, at, last = m[0, 0], [c + 1 for c in columns], m.shape[0] - 1
+        if not n:
+            continue
+        mean = m[0] / n
+        cov = m - n * np.outer(mean, mean)
+        spread = np.sqrt(np.maximum(cov[at, at] / n, 0))
+        spread = np.where(spread < 1e-8, 1.0, spread)
+        a = cov[np.ix_(at, at)] / np.outer(spread, spread)
+        weight = np.linalg.solve(a + penalty * np.eye(len(at)), cov[at, last] / spread) / spread if at else np.zeros(0)
+        bias = mean[last] - weight @ mean[at]
+        for side, m in moments.items():
+            n = m[0, 0]
+            if not n:
+                continue
+            total = m[last, last] - m[0, last] ** 2 / n
+            p = weight @ m[at, 0] + n * bias  # sum of the predictions
+            pp = weight @ m[np.ix_(at, at)] @ weight + 2 * bias * (weight @ m[at, 0]) + n * bias**2
+            py = weight @ m[at, last] + bias * m[0, last]
+            sse = max(0.0, pp - 2 * py + m[last, last])
+            spread_p = pp - p**2 / n
+            r2 = (1 - sse / total if total > 0 else float("nan")) if at else 0.0
+            pearson = (py - p * m[0, last] / n) / np.sqrt(spread_p * total) if at and spread_p > 0 and total > 0 else 0.0
+            out.append((name, side, len(at), int(n), float(r2), float(pearson), float(np.sqrt(sse / n))))
+    return spark.createDataFrame(out, "feature_set string, side string, n_features long, n long, r2 double, pearson double, rmse double")
+
+
+def class_means(rows: DataFrame, vector: str, label: str) -> DataFrame:
+    """One row with ``classes``: an array of (label, mean vector), by label. Its size is classes x columns."""
+    means = rows.select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("j", "v")).groupBy(label, "j").agg(F.avg("v").alias("m")).groupBy(F.col(label).alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda c: c["m"]).alias("mean"))
+    return means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("classes"))
+
+
+def nearest_centroids(rows: DataFrame, key: str, vector: str, label: str, top: int, train: str | None = None) -> DataFrame:
+    """(key, predicted, rk): the nearest class means, ties by label. Means are those of the rows where ``train`` holds, if named.
+
+    Every row sorts the classes on its own, against the broadcast means: no shuffle of rows.
+    """
+    means = class_means(rows.where(train) if train else rows, vector, label)
+    gap = lambda c: F.aggregate(F.zip_with("x", c["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    ranked = F.array_sort(F.transform("classes", lambda c: F.struct(F.round(gap(c), 6).alias("d2"), c["label"].alias("predicted"))))
+    near = rows.select(key, F.col(vector).cast("array<double>").alias("x")).join(F.broadcast(means)).select(key, F.slice(ranked, 1, top).alias("best"))  # one row
+    return near.select(key, F.posexplode("best").alias("rk", "p")).select(key, "p.predicted", (F.col("rk") + 1).cast("long").alias("rk"))
+
+
+def majority(rows: DataFrame, label: str) -> DataFrame:
+    """One row (label, n): the most frequent value, of equally frequent ones the least."""
+    c = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return c.agg(F.min(F.struct((-F.col("n")).alias("minus"), "label")).alias("best")).select("best.label", (-F.col("best.minus")).alias("n"))
+
+
+def prefix_majority(rows: DataFrame, prefix: str, label: str, train: str) -> DataFrame:
+    """rows plus ``guess``: the most frequent training label of a row's prefix, of all training rows where the prefix has none."""
+    c = rows.where(train).groupBy(prefix, label).agg(F.count("*").alias("n"))
+    own = c.groupBy(prefix).agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col(label).alias("label"))).alias("best")).select(prefix, F.col("best.label").alias("own"))
+    general = majority(rows.where(train), label).select(F.col("label").alias("general"))
+    return rows.join(own, prefix, "left").join(F.broadcast(general)).withColumn("guess", F.coalesce("own", "general")).drop("own", "general")  # one row
 
 
 def macro_f1(rows: DataFrame) -> DataFrame:
@@ -89,10 +171,9 @@ def macro_f1(rows: DataFrame) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """auc of (y 0/1, x) from mean ranks; counts per distinct x are ranked, not rows."""
+    """auc of (y 0/1, x) from mean ranks; distinct values of x are ranked by ranges, in many tasks."""
     c = rows.groupBy("x").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    r = c.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    r = prefix_sums(c, "x", F.col("n"), "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     s = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

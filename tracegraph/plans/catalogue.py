@@ -536,8 +536,9 @@ def namespace_prior(s, d):
 
 @query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT lang FROM c ORDER BY n DESC, lang LIMIT 1) SELECT m.lang AS guess, round(avg(CAST(d.lang = m.lang AS DOUBLE)), 6) AS accuracy FROM documents d, m GROUP BY 1")
 def majority_baseline(s, d):
-    c = V.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return c.agg(F.max_by("lang", F.struct("n", (-F.ascii("lang")).alias("t"))).alias("guess"), F.round(F.max("n") / F.sum("n"), 6).alias("accuracy"))
+    docs = V.table(s, d, "documents")
+    best = L.majority(docs, "lang")
+    return best.join(F.broadcast(docs.agg(F.count("*").alias("total")))).select(F.col("label").alias("guess"), F.round(F.col("n") / F.col("total"), 6).alias("accuracy"))  # one row
 
 
 @query("WITH p AS (SELECT quality AS y, CAST(n_chars > 500 AS INT) AS g FROM labels JOIN documents USING (doc_id)), k AS (SELECT y AS c FROM p UNION SELECT g FROM p), f AS (SELECT c, count_if(y = c AND g = c) AS tp, count_if(y <> c AND g = c) AS fp, count_if(y = c AND g <> c) AS fn FROM p, k GROUP BY c) SELECT round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), 6) AS macro_f1 FROM f")
