@@ -127,8 +127,9 @@ def split_top_commas(c: Column) -> Column:
 
 
 def suggested_lemmas(message: Column) -> Column:
-    """Lemmas of the first bracketed list after 'Try this:' on its line; null without a closed list."""
-    line = F.regexp_extract(message, r"Try this:\s*(.+)", 1)
+    """Lemmas of the first bracketed list after 'Try this:', on its line or indented lines after it; null without a closed list."""
+    # fixed value: what a suggestion is
+    line = F.regexp_extract(message, r"Try this:\s*([^\n]+(?:\n\s+[^\n]+)*)", 1)
     opened = F.substring_index(line, "[", 1)
     rest = F.substring(line, F.length(opened) + F.lit(2), F.length(line))
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("held"))
@@ -141,6 +142,11 @@ def suggested_lemmas(message: Column) -> Column:
     return F.when(line.contains("[") & (inner["depth"] == 0), split_top_commas(inner["held"]))
 
 
+def has_brackets(tactic: Column) -> Column:
+    """Whether a tactic names its lemmas in brackets; null: no."""
+    return F.coalesce(tactic.contains("["), F.lit(False))
+
+
 def replay_tactic(tactic: Column, head: Column, lemma: Column, direction: Column) -> Column:
     """One lemma of a rewriting tactic as a tactic of its own; what follows 'at' is kept."""
     at = F.regexp_extract(F.coalesce(tactic, F.lit("")), r"(?s)(\sat(?:\s.*)?)$", 1)

@@ -18,9 +18,9 @@ def state_nodes(steps: DataFrame) -> DataFrame:
 
 
 def hyperedges(steps: DataFrame) -> DataFrame:
-    """input, head, outputs, theorems, occurrences: unique on (input, head, sorted outputs)."""
+    """input, head, outputs, theorems (how many), occurrences: unique on (input, head, sorted outputs)."""
     rows = steps.withColumn("outputs", F.array_sort(T.split_state(F.col("after"))))
-    return rows.groupBy(F.col("before").alias("input"), "head", "outputs").agg(F.collect_set("theorem").alias("theorems"), F.count("*").alias("occurrences"))
+    return rows.groupBy(F.col("before").alias("input"), "head", "outputs").agg(F.count_distinct("theorem").alias("theorems"), F.count("*").alias("occurrences"))
 
 
 def text_bfs(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_edges: int) -> DataFrame:
@@ -50,16 +50,3 @@ def path_motifs(steps: DataFrame, edges: int) -> DataFrame:
 def path_examples(steps: DataFrame, edges: int, most: int) -> DataFrame:
     w = Window.partitionBy("motif").orderBy("theorem", "idx")
     return _paths(steps, edges).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("motif", "theorem", "idx")
-
-
-def subtree_motifs(spark: SparkSession, lines: DataFrame, most: int) -> DataFrame:
-    """Support of the connected edge sets of size 2..``most`` below an order: sets grown edge by edge, deduplicated."""
-    edges = cut(spark, lines.select(F.col("l_orderkey").alias("name"), F.col("l_linenumber").cast("long").alias("edge"), F.col("l_returnflag").alias("label")).dropDuplicates(["name", "edge"]), "tree-edges")
-    sets = edges.select("name", F.array("edge").alias("held"), F.array("label").alias("labels"))
-    out = None
-    for _ in range(2, most + 1):
-        grown = sets.join(edges, "name").where(~F.array_contains("held", F.col("edge")))
-        sets = grown.select("name", F.array_sort(F.array_append("held", F.col("edge"))).alias("held"), F.array_sort(F.array_append("labels", F.col("label"))).alias("labels")).dropDuplicates(["name", "held"])
-        part = sets.groupBy(F.sha2(F.concat_ws("+", "labels"), 256).substr(1, 24).alias("signature"), F.size("held").alias("edges")).agg(F.count("*").alias("support"), F.count_distinct("name").alias("theorems"))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -304,7 +304,7 @@ _HYPER = f"WITH {V.STA} SELECT before AS input, head, after AS output, count(*)
 
 @query(_HYPER)
 def state_hyperedges(s, d):
-    return M.hyperedges(V.states(s, d)).select("input", "head", F.col("outputs")[0].alias("output"), "occurrences", F.size("theorems").cast("long").alias("theorems"))
+    return M.hyperedges(V.states(s, d)).select("input", "head", F.col("outputs")[0].alias("output"), "occurrences", "theorems")
 
 
 @query(f"WITH h AS ({_HYPER}), g AS (SELECT input, head, count(*) AS outs FROM h GROUP BY 1, 2) SELECT outs, count(*) AS n FROM g GROUP BY 1")
@@ -402,12 +402,10 @@ def reach_rate_by_head(s, d):
     return V.states(s, d).groupBy("head").agg(F.count("*").alias("n"), F.count_if(done).alias("found"), F.round(F.avg(done.cast("double")), 6).alias("rate")).where("n >= 5")
 
 
-_DAGX = "e AS (SELECT source, target FROM dag WHERE w >= 3)"
-
-
-@query(f"""WITH RECURSIVE {V.DAG}, {_DAGX}, sy AS (SELECT source AS u, target AS v FROM e UNION SELECT target, source FROM e), r AS (SELECT u AS name, u AS node FROM sy UNION SELECT r.name, sy.v FROM r JOIN sy ON r.node = sy.u) SELECT name, min(node) AS component FROM r GROUP BY name""")
+@query(f"""WITH RECURSIVE {_UND}, root AS (SELECT u FROM sym GROUP BY u HAVING min(v) > u), r AS (SELECT u AS root, u AS node FROM root UNION SELECT r.root, sym.v FROM r JOIN sym ON r.node = sym.u) SELECT node AS name, min(root) AS component FROM r GROUP BY node""")
 def wcc(s, d):
-    return G.weak_components(s, V.dag(s, d).where("w >= 3"))
+    """Of the whole succession graph. The twin starts from local minima, among which every component's least node is."""
+    return G.weak_components(s, V.succession(s, d))
 
 
 # ---- mining ---------------------------------------------------------------------------------
@@ -605,16 +603,17 @@ def argmax_model(s, d):
 
 # ---- geometry -------------------------------------------------------------------------------
 
-_SMALL = f"{V.DAG}, und AS (SELECT source AS u, target AS v FROM dag WHERE w >= 3), sym AS (SELECT u, v FROM und UNION ALL SELECT v, u FROM und)"
-
+#: Edges whose neighbourhoods are compared: a sampling operator.
+_NEAR = 30
 
-def _small(s, d):
-    return V.dag(s, d).where("w >= 3").select(F.col("source").alias("u"), F.col("target").alias("v"))
 
-
-@query(f"WITH {_SMALL}, p AS (SELECT und.u, und.v, a.v AS x, b.v AS y FROM und JOIN sym a ON a.u = und.u JOIN sym b ON b.u = und.v) SELECT u, v, x, y, CAST(CASE WHEN x = y THEN 0 WHEN EXISTS (SELECT 1 FROM sym q WHERE q.u = x AND q.v = y) THEN 1 WHEN EXISTS (SELECT 1 FROM sym q JOIN sym t ON q.v = t.u WHERE q.u = x AND t.v = y) THEN 2 ELSE 3 END AS BIGINT) AS d FROM p")
+@query(f"""WITH {_UND}, few AS (SELECT u, v FROM und ORDER BY md5(u || ':' || v), u, v LIMIT {_NEAR}), p AS (SELECT few.u, few.v, a.v AS x, b.v AS y FROM few JOIN sym a ON a.u = few.u JOIN sym b ON b.u = few.v), want AS (SELECT DISTINCT x, y FROM p),
+ two AS (SELECT DISTINCT x, y FROM want JOIN sym a ON a.u = x JOIN sym b ON b.u = a.v AND b.v = y) SELECT p.u, p.v, p.x, p.y, CAST(CASE WHEN p.x = p.y THEN 0 WHEN one.u IS NOT NULL THEN 1 WHEN two.x IS NOT NULL THEN 2 ELSE 3 END AS BIGINT) AS d
+ FROM p LEFT JOIN sym one ON one.u = p.x AND one.v = p.y LEFT JOIN two ON two.x = p.x AND two.y = p.y""")
 def two_hop_distance_matrix(s, d):
-    return G.neighbourhood_distance(_small(s, d))
+    und = G.undirected(V.succession(s, d))
+    order = F.md5(F.concat_ws(":", F.col("u").cast("string"), F.col("v").cast("string")).cast("binary"))
+    return G.neighbourhood_distance(und, und.orderBy(order, "u", "v").limit(_NEAR))
 
 
 @query()
@@ -652,9 +651,9 @@ def walk_embeddings(s, d):
     return S.walk_embeddings(s, G.undirected(V.succession(s, d)), 10, 40)
 
 
-@query(f"WITH {_SMALL}, g AS (SELECT u, count(*) AS n FROM sym GROUP BY u) SELECT sym.u AS node, round(sum(sym.v % 7 / sqrt(CAST(a.n * b.n AS DOUBLE))), 6) AS y FROM sym JOIN g a ON a.u = sym.u JOIN g b ON b.u = sym.v GROUP BY 1")
+@query(f"WITH {_UND}, g AS (SELECT u, count(*) AS n FROM sym GROUP BY u) SELECT sym.u AS node, round(sum(sym.v % 7 / sqrt(CAST(a.n * b.n AS DOUBLE))), 6) AS y FROM sym JOIN g a ON a.u = sym.u JOIN g b ON b.u = sym.v GROUP BY 1")
 def spmv_normalized(s, d):
-    u = _small(s, d)
+    u = G.undirected(V.succession(s, d))
     x = G.symmetric(u).select(F.col("u").alias("node"), (F.col("u") % 7).cast("double").alias("x")).distinct()
     return G.normalized_product(u, x).select("node", F.round("y", 6).alias("y"))
 
