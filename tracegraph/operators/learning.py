@@ -229,7 +229,7 @@ def kept_classes(rows: DataFrame, label: str, least: int) -> DataFrame:
     return rows.join(sizes.withColumn("y", (F.row_number().over(w) - 1).cast("double")), label)
 
 
-def classifier_report(rows: DataFrame, model: str = "logistic", hidden: int = 32, universe: str = "both") -> DataFrame:
+def classifier_report(rows: DataFrame, model: str = "logistic", hidden: int = 32, universe: str = "both", iterations: int = 50) -> DataFrame:
     """n, accuracy, top3, macro_f1 on the test side of (x array, y class index, train).
 
     model: logistic (multinomial) or mlp (one hidden layer). universe: macro F1 over the classes of
@@ -242,9 +242,9 @@ def classifier_report(rows: DataFrame, model: str = "logistic", hidden: int = 32
     shape = data.agg(F.max("width").alias("width"), F.max("label").alias("last")).first()
     classes = int(shape.last) + 1
     if model == "logistic":
-        learner = LogisticRegression(maxIter=50, regParam=1e-3, family="multinomial")
+        learner = LogisticRegression(maxIter=iterations, regParam=1e-3, family="multinomial")
     elif model == "mlp":
-        learner = MultilayerPerceptronClassifier(layers=[shape.width, hidden, classes], maxIter=50, seed=0)
+        learner = MultilayerPerceptronClassifier(layers=[shape.width, hidden, classes], maxIter=iterations, seed=0)
     else:
         raise ValueError(f"model is logistic or mlp, not {model}")
     test = learner.fit(data.where("train")).transform(data.where("not train")).select("label", vector_to_array("probability").alias("prob"))

@@ -208,7 +208,7 @@ def classifier_sweep(s, d):
     for spec in SPECS:
         x = rows.withColumn("x", L.feature_spec(spec, {"low": 32, "high": 32}))
         for model in ("logistic", "mlp"):
-            part = L.classifier_report(x, model).select(F.lit(spec).alias("spec"), F.lit(model).alias("model"), "n", "accuracy", "top3", "macro_f1")
+            part = L.classifier_report(x, model, iterations=15).select(F.lit(spec).alias("spec"), F.lit(model).alias("model"), "n", "accuracy", "top3", "macro_f1")
             out = part if out is None else out.unionByName(part)
     return out
 
