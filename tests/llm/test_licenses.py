@@ -7,7 +7,9 @@ from tracegraph.llm import licenses
 
 def brute(text):
     found = {}
-    for s in {*re.split(r"\n", text or ""), *re.split(r"\n\s*\n", text or "")}:
+    parts = re.split(r"\n\s*\n", text or "")
+    runs = {"\n".join(parts[i : i + n]) for i in range(len(parts)) for n in range(1, licenses.RUN + 1)}
+    for s in {text or "", *re.split(r"\n", text or ""), *re.split(r"[.!?]\s+", text or ""), *runs}:
         a = set(licenses.bigrams_of(s))
         for name, t in licenses.TEMPLATES.items():
             b = set(licenses.bigrams_of(t))
@@ -25,3 +27,14 @@ def test_scan(spark):
     assert got == {**{i: brute(x) for i, x in enumerate(texts)}, None: brute(t["MIT"])}
     assert got[3] and got[4] and got[6] and got[9]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_whole_texts(spark):
+    """A licence file, one inside other paragraphs, a notice that shares its line, and a torn text."""
+    t = licenses.TEMPLATES
+    texts = ["MIT License\n\nCopyright (c) 2020 Acme\n\n" + t["MIT-text"], "About\n\nSome words here.\n\n" + t["BSD-2-Clause-text"] + "\n\nMore words.", "Copyright 2020 Acme. Released under the MIT License. And more.", t["Zlib-text"][:200], "/* " + t["MPL-2.0-header"].replace(". ", ".\n * ") + " */", t["GPL-3.0-header"]]
+    got = {r.doc_id: {m.license: m.dice for m in r.licenses} for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute(x) for i, x in enumerate(texts)}
+    for i, name in ((0, "MIT-text"), (0, "MIT-paragraph"), (1, "BSD-2-Clause-text"), (2, "MIT"), (4, "MPL-2.0-header"), (5, "GPL-3.0-header")):
+        assert name in got[i]
+    assert "Zlib-text" not in got[3]

@@ -31,7 +31,7 @@ SQL: dict[str, str] = {
  k AS (SELECT doc_id, o, s.a AS a, k || ':' || s.a || ':' || (s.a + s.n) AS span FROM m WHERE s.h >= least),
  f AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, string_agg(span, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(span, ',' ORDER BY a, o) AS spans FROM k GROUP BY doc_id)
  SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f ON d.doc_id = f.doc_id""",
-    "op5_licenses": f"""WITH seg AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n\\s*\\n'))) AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) q),
+    "op5_licenses": f"""WITH seg AS (SELECT DISTINCT doc_id, unnest(list_concat([t], list_concat(string_split(t, chr(10)), list_concat(string_split_regex(t, '[.!?]\\s+'), flatten(list_transform(range(1, {licenses.RUN + 1}), lambda n: list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[i:i + n - 1], chr(10))))))))) AS s FROM (SELECT doc_id, t, string_split_regex(t, '\\n\\s*\\n') AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) q) q),
  w AS (SELECT doc_id, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+') AS w FROM seg),
  g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
  t AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT license, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+') AS w FROM (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in kv) + ")" for kv in licenses.TEMPLATES.items())}) v(license, s)) q),
