@@ -11,8 +11,10 @@ from ..plans.ship import ship_package
 
 __all__ = ["forget", "fresh", "hot_join", "key_crc", "materialize", "read_table", "shared_dir", "small_batches", "text_column"]
 
-#: Seconds without a byte from a Python worker after which the task is given to another one.
-IDLE_SECONDS = 60
+#: Seconds without a byte from a Python worker after which the task is given to another one. The slowest
+#: stage (audio features) takes a text of some 100 MB in that time; for longer ones set
+#: spark.python.worker.idleTimeoutSeconds, which then holds.
+IDLE_SECONDS = 100
 #: A key is hot if it has more than this share of all rows; so there are fewer than 1 / share hot keys.
 HOT_SHARE = 1 / 1024
 
@@ -22,8 +24,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.pyspark.udf.idleTimeoutSeconds", str(IDLE_SECONDS))
-    spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")
+    if not spark.sparkContext.getConf().contains("spark.python.worker.idleTimeoutSeconds"):
+        spark.conf.set("spark.sql.execution.pyspark.udf.idleTimeoutSeconds", str(IDLE_SECONDS))
+        spark.conf.set("spark.sql.execution.pyspark.udf.killOnIdleTimeout", "true")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
