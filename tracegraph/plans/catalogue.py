@@ -460,9 +460,14 @@ def dag_path_labels(s, d):
     return per.groupBy("labels").agg(F.sum("n").alias("support"), F.count("*").alias("theorems"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.TAC}, r AS (SELECT theorem, 0 AS i, [0] AS held, [0] AS layers, 0 AS leaves, 0 AS steps, 0 AS widest FROM tac WHERE idx = 0
+ UNION ALL SELECT r.theorem, i + 1, CASE WHEN premise % 3 = 0 THEN held[2:] ELSE list_concat(list_transform(range(premise % 3), lambda x: held[1] + 1), held[2:]) END, list_concat(layers, list_transform(range(greatest(premise % 3, 1)), lambda x: held[1] + 1)),
+ leaves + CAST(premise % 3 = 0 AS INTEGER), CAST(steps + greatest(premise % 3, 1) AS INTEGER), CAST(greatest(widest, premise % 3, 1) AS INTEGER) FROM r JOIN tac ON tac.theorem = r.theorem AND tac.idx = r.i WHERE len(held) > 0),
+ f AS (SELECT theorem, arg_max(layers, i) AS layers, arg_max(leaves, i) AS leaves, arg_max(steps, i) AS steps, arg_max(widest, i) AS widest FROM r GROUP BY 1), w AS (SELECT theorem, max(n) AS width FROM (SELECT theorem, d, count(*) AS n FROM (SELECT theorem, unnest(layers) AS d FROM f) q GROUP BY 1, 2) q GROUP BY 1)
+ SELECT 'T' || f.theorem AS theorem, CAST(list_max(layers) AS BIGINT) AS depth, width, CAST(steps AS BIGINT) AS n_tactic_steps, CAST(greatest(leaves, 1) AS BIGINT) AS n_leaves, CAST(widest AS BIGINT) AS max_branching FROM f JOIN w USING (theorem)""")
 def tree_replay(s, d):
-    return R.tree_metrics(V.traces(s, d))
+    m = R.tree_metrics(V.traces(s, d))
+    return m.select("theorem", *[F.col(c).cast("long").alias(c) for c in ("depth", "width", "n_tactic_steps", "n_leaves", "max_branching")])
 
 
 _USES = f"{V.TAC}, u AS (SELECT 'T' || theorem AS source, 'P' || premise AS target, head, idx, ord FROM tac)"
