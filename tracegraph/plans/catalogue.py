@@ -169,7 +169,7 @@ def grouping_sets_counts(s, d):
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM events GROUP BY 1")
 def depth_percentiles(s, d):
     n = V.table(s, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), "n").alias("p")
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n")).alias("p")
     g = n.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("mean"), p, F.max("value").alias("most"))
     return g.select("event_type", "mean", *[F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate(("median", "p90", "p99"))], "most")
 
