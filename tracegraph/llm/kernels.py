@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

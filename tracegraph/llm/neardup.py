@@ -107,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
             full = np.flatnonzero(sizes)
             if len(full):
                 for k, salt in enumerate((1, 2)):
-                    keys[k, full] = np.add.reduceat(kernels.mix(values + np.uint64(salt) * kernels.BASE), bounds[:-1][full])
+                    keys[k, full] = np.add.reduceat(kernels.mix(values + np.array([salt], np.uint64) * kernels.BASE), bounds[:-1][full])
             signature = signatures(values, bounds, plan.coordinates)
             sketch = kernels.binary_rows((signature & U32(255)).astype(np.uint8).reshape(-1), np.arange(b - a + 1) * plan.coordinates)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * plan.bands), pa.array(band_keys(signature, plan).reshape(-1)))
