@@ -143,19 +143,27 @@ def dag_paths(spark: SparkSession, dag: DataFrame, low: int, high: int) -> DataF
 def branch_sets(spark: SparkSession, dag: DataFrame, high: int) -> DataFrame:
     """theorem, root, start, edges (sorted), parts of connected edge sets of 2 to high edges grown from a branching edge.
 
-    parts are the sorted (in_node, label, out_nodes) of the set's edges. Sets are deduplicated at every size.
+    parts are the (in_node, label, out_nodes) of the set's edges, the start's first. A set carries its open
+    edges in order and all edges ever seen from it: taking one leaves those before it out for good, and
+    only edges not yet seen are opened. So each set is made in one way only and nothing is deduplicated;
+    a size is one join by (theorem, edge). An edge that follows itself is not opened.
     """
     tuple_of = F.struct("in_node", "label", "out_nodes")
-    all_edges = cut(spark, dag.select("theorem", "edge", "in_node", "out_nodes", tuple_of.alias("part")), "dag")
-    at = all_edges.where(F.size("out_nodes") > 1).select("theorem", F.col("in_node").alias("root"), F.col("edge").alias("start"), F.array("edge").alias("edges"), F.array("part").alias("parts"))
-    step = all_edges.select(F.col("theorem").alias("t"), F.col("edge").alias("next"), "in_node", F.col("part").alias("next_part"))
+    own = dag.select("theorem", "edge", "in_node", tuple_of.alias("part"))
+    follow = dag.select("theorem", F.col("edge").alias("from"), F.explode(F.array_distinct("out_nodes")).alias("in_node")).join(own.select("theorem", "in_node", "edge"), ["theorem", "in_node"]).where(F.col("from") != F.col("edge"))
+    after = follow.groupBy("theorem", F.col("from").alias("edge")).agg(F.array_sort(F.collect_set("edge")).alias("after"))
+    none = F.array().cast(after.schema["after"].dataType)
+    table = cut(spark, own.join(after, ["theorem", "edge"], "left").select("theorem", "edge", "part", F.coalesce("after", none).alias("after")), "dag")
+    at = table.where(F.size("part.out_nodes") > 1).select("theorem", F.col("part.in_node").alias("root"), F.col("edge").alias("start"), F.array("edge").alias("edges"), F.array("part").alias("parts"), F.col("after").alias("open"), F.array_append("after", F.col("edge")).alias("seen"))
+    step = table.withColumnRenamed("edge", "next")
     found = []
-    for _ in range(2, high + 1):
-        reach = at.select("*", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda p: p["out_nodes"])))).alias("reach"))
-        grown = reach.join(step, (F.col("theorem") == F.col("t")) & (F.col("reach") == F.col("in_node"))).where(~F.array_contains("edges", F.col("next")))
-        wider = grown.select("theorem", "root", "start", F.array_sort(F.array_append("edges", F.col("next"))).alias("edges"), F.array_append("parts", F.col("next_part")).alias("parts"))
-        at = cut(spark, wider.dropDuplicates(["theorem", "start", "edges"]), "sets")
-        found.append(at)
+    for size in range(2, high + 1):
+        taken = at.select("*", F.posexplode("open").alias("at", "next")).withColumn("open", F.slice("open", F.col("at") + 2, F.size("open")))
+        grown = taken.join(step, ["theorem", "next"]).withColumn("fresh", F.array_except("after", "seen"))
+        kept = [F.array_append("edges", F.col("next")).alias("edges"), F.array_append("parts", F.col("part")).alias("parts")]
+        wider = [F.concat("open", "fresh").alias("open"), F.concat("seen", "fresh").alias("seen")] if size < high else []
+        at = cut(spark, grown.select("theorem", "root", "start", *kept, *wider), "sets")
+        found.append(at.select("theorem", "root", "start", F.array_sort("edges").alias("edges"), "parts"))
     return reduce(DataFrame.unionByName, found)
 
 
