@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut
+from ..plans.iterate import cut, forget
 from ..plans.ship import ship_package
+from .adjacency import Adjacency, indexed
 
 
 def first_edges(occurrences: DataFrame, order: str) -> DataFrame:
@@ -31,30 +34,39 @@ def symmetric(und: DataFrame) -> DataFrame:
     return und.select("u", "v").union(und.select(F.col("v"), F.col("u")))
 
 
-def bfs(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_edges: int, key: str = "start") -> DataFrame:
+def bfs(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_edges: int, key: str | list[str] = "start", stop: Column | None = None) -> DataFrame:
     """(key, node, depth, parent) of all nodes within ``max_edges`` of each start, batched over starts.
 
-    starts: (key, node). The parent is the least predecessor on the level before. Every level is a
-    written table; visited nodes are removed by an anti join.
+    starts: (key, node), where key may be several columns. Nodes where ``stop`` (of key and node) holds are
+    reached, not gone on from. The parent is the least predecessor on the level before. Every level is a
+    written table; visited nodes are removed by an anti join. Hubs are expanded in chunks by many tasks.
     """
-    adjacency = cut(spark, edges.select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct(), "adjacency")
-    seen = cut(spark, starts.select(key, "node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(edges.schema["source"].dataType).alias("parent")).distinct(), "bfs")
-    frontier = seen
+    keys = [key] if isinstance(key, str) else key
+    around = Adjacency(spark, edges)
+    none = F.lit(None).cast(edges.schema["source"].dataType)
+    first = starts.select(*keys, "node").distinct()
+    frontier = cut(spark, around.start(first).select(*keys, "node", F.lit(0).cast("long").alias("depth"), none.alias("parent"), "chunks"), "bfs")
+    seen = frontier.drop("chunks")
     for depth in range(1, max_edges + 1):
-        step = frontier.join(adjacency, F.col("node") == F.col("_from")).groupBy(key, F.col("_to").alias("node")).agg(F.min("_from").alias("parent"))
-        fresh = cut(spark, step.join(seen.select(key, "node"), [key, "node"], "left_anti").select(key, "node", F.lit(depth).cast("long").alias("depth"), "parent"), "bfs")
-        if fresh.isEmpty():
+        going = frontier if stop is None else frontier.where(~stop)
+        step = around.expand(going.select(*keys, "node", "chunks"), *keys, F.col("node").alias("parent")).groupBy(*keys, F.col("to").alias("node")).agg(F.min("parent").alias("parent"), F.first("chunks").alias("chunks"))
+        frontier = cut(spark, step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").select(*keys, "node", F.lit(depth).cast("long").alias("depth"), "parent", "chunks"), "bfs")
+        if frontier.isEmpty():
             break
-        seen, frontier = seen.unionByName(fresh), fresh
+        seen = seen.unionByName(frontier.drop("chunks"))
+    around.drop()
     return seen
 
 
-def walk_back(reached: DataFrame, goals: DataFrame, max_edges: int, key: str = "start") -> DataFrame:
-    """(key, step, node) along the found path to each goal (key, node), step 0 at the start."""
-    at = goals.join(reached, [key, "node"]).select(key, F.col("depth").alias("step"), "node", "parent")
-    out = at
+def walk_back(spark: SparkSession, reached: DataFrame, goals: DataFrame, max_edges: int, key: str = "start") -> DataFrame:
+    """(key, step, node) along the found path to each goal (key, node), step 0 at the start. Each step is a written table."""
+    found = goals.join(reached, [key, "node"]).select(key, F.col("depth").alias("step"), "node", "parent")
+    at = out = cut(spark, found, "back")
     for _ in range(max_edges):
-        at = at.where("parent is not null").select(key, (F.col("step") - 1).alias("step"), F.col("parent").alias("node")).join(reached.select(key, "node", "parent"), [key, "node"]).select(key, "step", "node", "parent")
+        up = at.where("parent is not null").select(key, (F.col("step") - 1).alias("step"), F.col("parent").alias("node"))
+        at = cut(spark, up.join(reached.select(key, "node", "parent"), [key, "node"]).select(key, "step", "node", "parent"), "back")
+        if at.isEmpty():
+            break
         out = out.unionByName(at)
     return out.select(key, "step", "node")
 
@@ -158,37 +170,46 @@ def ollivier_ricci(und: DataFrame, sample: DataFrame, max_neighbourhood: int) ->
 
 
 def betweenness(spark: SparkSession, und: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, bc): unhalved dependency sums over the sources (node), by level-wise path counts."""
-    s = cut(spark, symmetric(und).toDF("a", "b"), "symmetric")
-    front = cut(spark, sources.select(F.col("node").alias("src"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")), "bc")
-    levels, seen = [front], front
+    """(node, bc): unhalved dependency sums over the sources (node), by level-wise path counts on a stored adjacency."""
+    around = Adjacency(spark, symmetric(und).toDF("source", "target"))
+    front = cut(spark, around.start(sources.select(F.col("node").alias("src"), "node", F.lit(1.0).alias("sigma"))), "bc")
+    levels, seen = [front], front.select("src", "node")
     while True:
-        step = levels[-1].join(s, F.col("node") == s.a).groupBy("src", F.col("b").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        fresh = cut(spark, step.join(seen.select("src", "node"), ["src", "node"], "left_anti").select("src", "node", F.lit(len(levels)).alias("depth"), "sigma"), "bc")
+        step = around.expand(levels[-1], "src", "sigma").groupBy("src", F.col("to").alias("node")).agg(F.sum("sigma").alias("sigma"), F.first("chunks").alias("chunks"))
+        fresh = cut(spark, step.join(seen, ["src", "node"], "left_anti").select("src", "node", "sigma", "chunks"), "bc")
         if fresh.isEmpty():
             break
         levels.append(fresh)
-        seen = seen.unionByName(fresh)
+        seen = seen.unionByName(fresh.select("src", "node"))
     delta = levels[-1].select("src", "node", "sigma", F.lit(0.0).alias("delta"))
     out = delta
     for level in reversed(levels[:-1]):
-        low = delta.select("src", F.col("node").alias("w"), F.col("sigma").alias("sw"), F.col("delta").alias("dw"))
-        back = level.join(s, F.col("node") == s.a).join(low, [level.src == low.src, s.b == low.w]).groupBy(level.src.alias("src"), "node").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta"))
+        low = delta.select("src", F.col("node").alias("to"), (F.col("delta") + 1).alias("dw"), F.col("sigma").alias("sw"))
+        back = around.expand(level, "src", F.col("node").alias("at"), "sigma").join(low, ["src", "to"]).groupBy("src", F.col("at").alias("node")).agg(F.sum(F.col("sigma") / F.col("sw") * F.col("dw")).alias("delta"))
         delta = cut(spark, level.join(back, ["src", "node"], "left").select("src", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")), "bc")
         out = out.unionByName(delta)
+    around.drop()
+    forget(spark, *levels[:-1])  # the last one is read as its own sums
     return out.where("src <> node").groupBy("node").agg(F.sum("delta").alias("bc"))
 
 
 def random_walks(spark: SparkSession, und: DataFrame, walks: int, length: int, seed: int = 0) -> DataFrame:
-    """(start, walk, step, node): every step picks a neighbour by a hash of walk, step and seed."""
-    lists = cut(spark, symmetric(und).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("around")), "around")
-    at = lists.select(F.col("u").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.lit(0).alias("step"), F.col("u").alias("node"))
-    out = at
+    """(start, walk, step, node): every step goes to the neighbour whose place, in order, is picked by md5.
+
+    The place is the first 12 hex digits of md5 of "start:walk:step:seed" modulo the node's degree. A step is a
+    join by (node, place) with a table of edges, so a hub is as many keys as it has neighbours, and no list of them exists.
+    """
+    edges = indexed(spark, symmetric(und).toDF("source", "target"))
+    digest = lambda step: F.conv(F.substring(F.md5(F.concat_ws(":", "start", "walk", F.lit(step), F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("long")
+    starts = edges.where("pos = 0").select(F.col("node").alias("start"), "node", "degree")
+    at = cut(spark, starts.select("start", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.lit(0).alias("step"), "node", "degree"), "walks")
+    steps = [at]
     for step in range(1, length):
-        pick = F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.size("around")).cast("int") + 1
-        at = cut(spark, at.join(lists, F.col("node") == F.col("u")).select("start", "walk", F.lit(step).alias("step"), F.element_at("around", pick).alias("node")), "walks")
-        out = out.unionByName(at)
-    return out
+        picked = at.withColumn("pos", digest(step) % F.col("degree")).drop("degree", "step")
+        at = cut(spark, picked.join(edges.select("node", "pos", "to", F.col("to_degree").alias("degree")), ["node", "pos"]).select("start", "walk", F.lit(step).alias("step"), F.col("to").alias("node"), "degree"), "walks")
+        steps.append(at)
+    forget(spark, edges)
+    return reduce(DataFrame.unionByName, [s.select("start", "walk", "step", "node") for s in steps])
 
 
 def normalized_product(und: DataFrame, x: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut, forget
+from .adjacency import Adjacency
 from .graphs import bfs
 
 #: The state without goals: what a finishing tactic leads to.
@@ -33,24 +36,70 @@ def preference() -> tuple[Column, ...]:
     return F.size("outputs"), -F.col("occurrences"), F.col("tactic"), F.concat_ws("|", "outputs")
 
 
-def or_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+def _turned(arcs: DataFrame) -> DataFrame:
+    return arcs.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
+class _Side:
+    """One end of a search from both ends: the levels reached so far for each key (a start or a target)."""
+
+    def __init__(self, spark: SparkSession, arcs: DataFrame, pairs: DataFrame, key: str):
+        self.spark, self.key, self.around = spark, key, Adjacency(spark, arcs)
+        self.levels = [cut(spark, self.around.start(pairs.select(key, F.col(key).alias("node")).distinct()), "ends")]
+
+    def live(self, pairs: DataFrame) -> DataFrame:
+        """The newest level, of keys that still have an open pair."""
+        return self.levels[-1].join(pairs.select(self.key).distinct(), self.key, "left_semi")
+
+    def grow(self, pairs: DataFrame) -> None:
+        step = self.around.expand(self.live(pairs), self.key).groupBy(self.key, F.col("to").alias("node")).agg(F.first("chunks").alias("chunks"))
+        seen = reduce(DataFrame.unionByName, [level.select(self.key, "node") for level in self.levels])
+        self.levels.append(cut(self.spark, step.join(seen, [self.key, "node"], "left_anti"), "ends"))
+
+    def through(self, rows: DataFrame, level: DataFrame, key: str) -> DataFrame:
+        """The pairs' nodes moved one arc on, to those that stand in ``level`` of the pair's ``key``."""
+        moved = self.around.expand(self.around.start(rows), "start", "target").withColumnRenamed("to", "node").select("start", "target", "node")
+        return moved.join(level.select(key, "node"), [key, "node"], "left_semi").distinct()
+
+
+def or_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth: int, rows: list[int] | None = None) -> DataFrame:
     """start, target, found, depth, meet of each distinct pair (start, target).
 
     depth is the length of a shortest OR path of at most ``max_depth`` steps, else -1. meet is the least
-    state in its middle: depth / 2 steps, rounded up, from the start. Forward levels are searched from
-    all starts together, backward levels from all targets, each to half the depth.
+    state in its middle: depth / 2 steps, rounded up, from the start. Levels are searched from all starts
+    and all targets together; each round grows the side whose newest level has fewer rows. A pair leaves
+    as soon as its sides meet, and a start or target without open pairs is not gone on from; the search
+    ends when no pair is open or a side has nothing left. ``rows`` collects the rows of each new level.
     """
     arcs = cut(spark, or_edges(edges), "or-edges")
     pairs = cut(spark, pairs.select("start", "target").distinct(), "or-pairs")
-    half = (max_depth + 1) // 2
-    ahead = cut(spark, bfs(spark, arcs, pairs.select("start", F.col("start").alias("node")), half), "ahead")
-    back = cut(spark, bfs(spark, arcs.select(F.col("target").alias("source"), F.col("source").alias("target")), pairs.select("target", F.col("target").alias("node")), max_depth - half, key="target"), "back")
-    near, far = ahead.select("start", F.col("node").alias("meet"), F.col("depth").alias("near")), back.select("target", F.col("node").alias("meet"), F.col("depth").alias("far"))
-    met = pairs.join(near, "start").join(far, ["target", "meet"]).withColumn("depth", F.col("near") + F.col("far"))
-    best = met.groupBy("start", "target").agg(F.min("depth").alias("depth"))
-    middle = met.join(best, ["start", "target", "depth"]).where(F.col("near") == F.ceil(F.col("depth") / 2)).groupBy("start", "target", "depth").agg(F.min("meet").alias("meet"))
-    out = pairs.join(middle, ["start", "target"], "left")
-    return out.select("start", "target", F.col("depth").isNotNull().alias("found"), F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"), "meet")
+    ahead, back = _Side(spark, arcs, pairs, "start"), _Side(spark, _turned(arcs), pairs, "target")
+    still, met = cut(spark, pairs.where("start <> target"), "open"), [pairs.where("start = target").select("start", "target", F.lit(0).cast("long").alias("depth"), F.col("start").alias("node"))]
+    for depth in range(1, max_depth + 1):
+        sizes = ahead.live(still).agg(F.count("*").alias("a")).join(back.live(still).agg(F.count("*").alias("b"))).first()  # one row each
+        if not (sizes.a and sizes.b):
+            break
+        side = ahead if sizes.a <= sizes.b else back
+        side.grow(still)
+        if rows is not None:
+            rows.append(side.levels[-1].count())
+        found = cut(spark, still.join(ahead.levels[-1].select("start", "node"), "start").join(back.levels[-1].select("target", "node"), ["target", "node"]), "met")
+        if found.isEmpty():
+            continue
+        still = cut(spark, still.join(found.select("start", "target").distinct(), ["start", "target"], "left_anti"), "open")
+        middle, at = found, len(ahead.levels) - 1
+        while at > (depth + 1) // 2:  # back along the levels ahead
+            at -= 1
+            middle = back.through(middle, ahead.levels[at], "start")
+        while at < (depth + 1) // 2:  # on along the levels back from the target
+            at += 1
+            middle = ahead.through(middle, back.levels[depth - at], "target")
+        met.append(cut(spark, middle.groupBy("start", "target").agg(F.min("node").alias("node")).select("start", "target", F.lit(depth).cast("long").alias("depth"), "node"), "middle"))
+    ahead.around.drop()
+    back.around.drop()
+    forget(spark, arcs, *ahead.levels, *back.levels)
+    out = pairs.join(reduce(DataFrame.unionByName, met), ["start", "target"], "left")
+    return out.select("start", "target", F.col("depth").isNotNull().alias("found"), F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"), F.col("node").alias("meet"))
 
 
 def path_steps(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
@@ -106,14 +155,60 @@ def discharge(spark: SparkSession, edges: DataFrame, oracles: DataFrame, max_dep
 
 def proofs(edges: DataFrame, discharged: DataFrame) -> DataFrame:
     """node, depth, tactic, outputs: the preferred step of each discharged node whose outputs were all discharged before it."""
-    levels = discharged.select("node", "depth")
-    steps = edges.select("input", "tactic", "outputs", "occurrences")
-    key = F.concat_ws("|", "outputs").alias("key")
-    latest = steps.select("input", "tactic", key, F.explode("outputs").alias("node")).join(levels, "node", "left").groupBy("input", "tactic", "key").agg(F.max("depth").alias("latest"), F.count_if(F.col("depth").isNull()).alias("open"))
-    ready = steps.withColumn("key", key).join(latest.where("open = 0"), ["input", "tactic", "key"])
-    own = ready.join(levels.select(F.col("node").alias("input"), "depth"), "input").where("depth > 0 and latest < depth")
+    return oracle_proofs(edges, discharged.select(F.lit(None).cast("string").alias("oracle"), "node", "depth")).drop("oracle")
+
+
+def oracle_proofs(edges: DataFrame, discharged: DataFrame) -> DataFrame:
+    """oracle, node, depth, tactic, outputs: of each discharged (oracle, node, depth) past depth 0 the preferred step
+    whose outputs were all discharged before it, for that oracle."""
+    levels = discharged.select(F.coalesce("oracle", F.lit("")).alias("key"), "oracle", "node", "depth")
+    steps = edges.select("input", "tactic", "outputs", "occurrences", F.concat_ws("|", "outputs").alias("text"), F.size(F.array_distinct("outputs")).alias("needed"))
+    outputs = steps.select("input", "tactic", "text", "needed", F.explode(F.array_distinct("outputs")).alias("node"))
+    have = outputs.join(levels.select("key", "node", "depth"), "node").groupBy("key", "input", "tactic", "text", "needed").agg(F.max("depth").alias("latest"), F.count("*").alias("have")).where("have = needed")
+    ready = have.join(levels.withColumnRenamed("node", "input"), ["key", "input"]).where("depth > 0 and latest < depth").join(steps.drop("needed"), ["input", "tactic", "text"])
     rank = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(preference())])
-    return own.groupBy(F.col("input").alias("node"), "depth").agg(F.min_by(F.struct("tactic", "outputs"), rank).alias("s")).select("node", "depth", "s.tactic", "s.outputs")
+    return ready.groupBy("oracle", F.col("input").alias("node"), "depth").agg(F.min_by(F.struct("tactic", "outputs"), rank).alias("s")).select("oracle", "node", "depth", "s.tactic", "s.outputs")
+
+
+def discharge_search(spark: SparkSession, edges: DataFrame, pairs: DataFrame, discharged: DataFrame, max_depth: int, max_expansions: int = 50_000) -> DataFrame:
+    """start, target, solved, depth, expansions, exhausted of each distinct pair: start discharged where target is given.
+
+    discharged: (oracle, node, depth) of ``discharge`` for the pairs' targets. A search of growing depth opens
+    the states less than ``depth`` steps from the start (``max_depth`` where it does not succeed), each once,
+    and neither the target nor what has no goals; expansions counts them. A pair that would open more than
+    ``max_expansions`` is exhausted and not solved; depth is -1 where a pair is not solved.
+    """
+    pairs = cut(spark, pairs.select("start", "target").distinct(), "search-pairs")
+    ends = F.col("node").isin(DONE) | (F.col("node") == F.col("target"))
+    opened = bfs(spark, or_edges(edges), pairs.withColumn("node", F.col("start")), max(0, max_depth - 1), key=["start", "target"], stop=ends).where(~ends)
+    got = pairs.join(discharged.select(F.col("oracle").alias("target"), F.col("node").alias("start"), F.col("depth").alias("reached")), ["start", "target"], "left").where(F.coalesce("reached", F.lit(0)) <= max_depth)
+    near = opened.select("start", "target", F.col("depth").alias("away")).join(got, ["start", "target"]).where(F.col("away") < F.coalesce("reached", F.lit(max_depth)))
+    counts = near.groupBy("start", "target").agg(F.count("*").alias("expansions"))
+    rows = got.join(counts, ["start", "target"], "left").withColumn("expansions", F.coalesce("expansions", F.lit(0).cast("long")))
+    over = F.col("expansions") > max_expansions
+    solved = F.col("reached").isNotNull() & ~over
+    return rows.select("start", "target", solved.alias("solved"), F.when(solved, F.col("reached")).otherwise(F.lit(-1)).cast("long").alias("depth"), "expansions", over.alias("exhausted"))
+
+
+def proof_steps(spark: SparkSession, steps: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """start, target, node, depth, tactic, outputs: the steps of each pair's proof, every state of it once.
+
+    steps: ``oracle_proofs``. From the start the chosen step's outputs are gone on from until all that is left
+    is given; a proof of depth d takes d rounds, each a written table. Pairs without a proof have no rows.
+    """
+    steps = cut(spark, steps.select(F.col("oracle").alias("target"), "node", "depth", "tactic", "outputs"), "proof-steps")
+    at = cut(spark, pairs.select("start", "target", F.col("start").alias("node")).distinct(), "proof")
+    found = None
+    for _ in range(max_depth):
+        taken = at.join(steps, ["target", "node"])
+        if found is not None:
+            taken = taken.join(found.select("start", "target", "node"), ["start", "target", "node"], "left_anti")
+        taken = cut(spark, taken.select("start", "target", "node", "depth", "tactic", "outputs"), "proof")
+        found = taken if found is None else found.unionByName(taken)
+        if taken.isEmpty():
+            break
+        at = taken.select("start", "target", F.explode("outputs").alias("node")).distinct()
+    return found
 
 
 def paired(names: DataFrame, rounds: int, most: int) -> DataFrame:

@@ -365,7 +365,7 @@ def bfs_shortest_path(s, d):
     e = V.succession(s, d)
     reached = G.bfs(s, e, _starts(e), 2)
     goals = reached.where("depth = 2").groupBy("start").agg(F.max("node").alias("node"))
-    return G.walk_back(reached, goals, 2)
+    return G.walk_back(s, reached, goals, 2)
 
 
 @query(f"{_BFS}, p AS (SELECT start, goal FROM (SELECT start, lead(start) OVER (ORDER BY md5(CAST(start AS VARCHAR)), start) AS goal FROM starts) x WHERE goal IS NOT NULL) SELECT p.start, p.goal, depth IS NOT NULL AS found, coalesce(depth, -1) AS depth FROM p LEFT JOIN b ON b.start = p.start AND b.node = p.goal")
@@ -636,9 +636,16 @@ def betweenness_sampled(s, d):
     return G.betweenness(s, u, src)
 
 
-@query()
+#: Walks of a node and their nodes: fixed values.
+WALKS, WALK_LENGTH = 10, 40
+
+
+@query(f"""WITH RECURSIVE {_UND}, ix AS MATERIALIZED (SELECT u AS node, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS pos, v AS next, count(*) OVER (PARTITION BY u) AS degree FROM sym),
+ w AS (SELECT node AS start, k AS walk, 0 AS step, node, degree FROM ix, range({WALKS}) r(k) WHERE pos = 0
+ UNION ALL SELECT w.start, w.walk, w.step + 1, ix.next, d.degree FROM w JOIN ix ON ix.node = w.node AND ix.pos = CAST('0x' || substr(md5(w.start || ':' || w.walk || ':' || (w.step + 1) || ':0'), 1, 12) AS BIGINT) % w.degree JOIN ix d ON d.node = ix.next AND d.pos = 0 WHERE w.step < {WALK_LENGTH - 1})
+ SELECT start, CAST(walk AS INTEGER) AS walk, step, node FROM w""")
 def random_walks(s, d):
-    return G.random_walks(s, G.undirected(V.succession(s, d)), 10, 40)
+    return G.random_walks(s, G.undirected(V.succession(s, d)), WALKS, WALK_LENGTH)
 
 
 @query()

@@ -154,6 +154,38 @@ def discharge_sweep(s, d):
     return got.agg(F.count("*").alias("pairs"), F.count("depth").alias("solved"), F.round(F.count("depth") / F.count("*"), 6).alias("solved_fraction"))
 
 
+#: States that a search may open: few, so that some pairs run out of it. The reference's default is 50,000.
+BUDGET = 40
+_OPENED = f"""opn AS (SELECT DISTINCT start, target, start AS node, 0 AS depth FROM ends UNION SELECT o.start, o.target, arc.target, o.depth + 1 FROM opn o JOIN arc ON arc.source = o.node WHERE o.node <> o.target AND o.node <> 'no goals' AND o.depth < {SWEEP_DEPTH - 1}),
+ first AS (SELECT start, target, node, min(depth) AS depth FROM opn WHERE node <> target AND node <> 'no goals' GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH RECURSIVE {_PER_ORACLE}, {_OPENED}, p AS (SELECT DISTINCT e.start, e.target, d.depth FROM ends e LEFT JOIN d{SWEEP_DEPTH} d ON d.oracle = e.target AND d.node = e.start),
+ n AS (SELECT p.start, p.target, p.depth, count(f.node) AS expansions FROM p LEFT JOIN first f ON f.start = p.start AND f.target = p.target AND f.depth < coalesce(p.depth, {SWEEP_DEPTH}) GROUP BY 1, 2, 3)
+ SELECT start, target, depth IS NOT NULL AND expansions <= {BUDGET} AS solved, CAST(CASE WHEN expansions <= {BUDGET} THEN coalesce(depth, -1) ELSE -1 END AS BIGINT) AS depth, expansions, expansions > {BUDGET} AS exhausted FROM n""")
+def discharge_budget(s, d):
+    """Searches of sampled pairs with a budget of opened states: solved, not solved, or out of budget."""
+    ends, e = _ends(s, d), _edges(s, d)
+    solved = H.discharge(s, e, ends.select(F.col("target").alias("oracle")).distinct(), SWEEP_DEPTH)
+    return H.discharge_search(s, e, ends, solved, SWEEP_DEPTH, BUDGET)
+
+
+_LEAST_STEP = "(len(outputs), -occurrences, tactic, array_to_string(outputs, '|'))"
+
+
+@query(f"""WITH RECURSIVE {_PER_ORACLE}, lev AS MATERIALIZED (SELECT oracle, node, depth FROM d{SWEEP_DEPTH}), need2 AS (SELECT input, tactic, array_to_string(outputs, '|') AS key, outputs, occurrences, len(list_distinct(outputs)) AS needed, unnest(list_distinct(outputs)) AS node FROM he),
+ rdy AS (SELECT l.oracle, n.input, n.tactic, n.outputs, n.occurrences, max(l.depth) AS latest FROM need2 n JOIN lev l USING (node) GROUP BY l.oracle, n.input, n.tactic, n.outputs, n.occurrences, n.needed HAVING count(*) = n.needed),
+ best AS MATERIALIZED (SELECT r.oracle, r.input AS node, l.depth, arg_min(tactic, {_LEAST_STEP}) AS tactic, arg_min(outputs, {_LEAST_STEP}) AS outputs FROM rdy r JOIN lev l ON l.oracle = r.oracle AND l.node = r.input WHERE l.depth > 0 AND latest < l.depth GROUP BY 1, 2, 3),
+ prf AS (SELECT DISTINCT e.start, e.target, b.node, b.depth, b.tactic, b.outputs FROM ends e JOIN best b ON b.oracle = e.target AND b.node = e.start
+ UNION SELECT p.start, p.target, b.node, b.depth, b.tactic, b.outputs FROM (SELECT start, target, unnest(outputs) AS next FROM prf) p JOIN best b ON b.oracle = p.target AND b.node = p.next)
+ SELECT start, target, node, CAST(depth AS BIGINT) AS depth, tactic, array_to_string(outputs, '|') AS outputs FROM prf""")
+def discharge_pair_proofs(s, d):
+    """The steps of a proof of each sampled pair that can be discharged with the target's state given."""
+    ends, e = _ends(s, d), _edges(s, d)
+    solved = cut(s, H.discharge(s, e, ends.select(F.col("target").alias("oracle")).distinct(), SWEEP_DEPTH), "solved")
+    return H.proof_steps(s, H.oracle_proofs(e, solved), ends, SWEEP_DEPTH).select("start", "target", "node", "depth", "tactic", F.concat_ws("|", "outputs").alias("outputs"))
+
+
 #: Dependency edges that are looked up in the state graph, at most: a sampling operator.
 DEP_PAIRS = 1000
 _CROSS = f"""{_HE}, {_DIST}, cand AS (SELECT theorem, premise, arg_min(head, ord) AS tactic_head FROM tac WHERE premise IN (SELECT name FROM init) GROUP BY 1, 2),
@@ -211,8 +243,10 @@ def dependency_paths(s, d):
     reached = cut(s, G.bfs(s, e, pairs.select("start", F.col("start").alias("node")).distinct(), PATH_EDGES), "reached")
     at, found = pairs.select("start", "goal", F.col("goal").alias("node")), None
     for _ in range(PATH_EDGES):
-        step = at.join(reached.where("depth > 0"), ["start", "node"]).select("start", "goal", F.col("depth").alias("step"), F.col("parent").alias("source"), F.col("node").alias("target"))
+        step = cut(s, at.join(reached.where("depth > 0"), ["start", "node"]).select("start", "goal", F.col("depth").alias("step"), F.col("parent").alias("source"), F.col("node").alias("target")), "path-step")
         found = step if found is None else found.unionByName(step)
+        if step.isEmpty():
+            break
         at = step.select("start", "goal", F.col("source").alias("node"))
     return found.join(e, ["source", "target"]).select("start", "goal", "step", "source", "target", "uses")
 
