@@ -91,3 +91,68 @@ def test_pairs(spark):
     rows = H.paired(names, 3, 20).collect()
     assert 40 <= len(rows) <= 60 and all(r.a != r.b for r in rows) and len({r.a for r in rows}) <= 20
     assert sorted(map(tuple, rows)) == sorted(map(tuple, H.paired(names.repartition(7), 3, 20).collect()))
+
+
+def test_pairs_retire_early(spark, graph):
+    """Fewer rows of new levels than two searches to half the depth from all starts and targets."""
+    rows, edges = graph
+    names = [f"s{k:02d}" for k in range(24)]
+    pairs = [(a, b) for a in names for b in (names[3], names[7], H.DONE)]
+    grown = []
+    got = H.or_paths(spark, edges, spark.createDataFrame(pairs, "start string, target string"), 10, rows=grown).collect()
+    dist = {a: distances(rows, a) for a in {*names, H.DONE}}
+    assert {(r.start, r.target): r.depth for r in got} == {(a, b): dist[a].get(b, -1) for a, b in pairs}
+    back = {b: {a for a in names if 0 < dist[a].get(b, 99) <= 5} for b in {b for _, b in pairs}}
+    whole = sum(len([1 for d in dist[a].values() if 0 < d <= 5]) for a in {a for a, _ in pairs}) + sum(map(len, back.values()))
+    assert 0 < sum(grown) < whole
+
+
+def test_far_pair_is_found_from_both_ends(spark):
+    """A long chain next to a bush: the smaller side grows, and the middle state is that of the plain search."""
+    rows = [(0, k, "rw", f"c{k:02d}", [f"c{k + 1:02d}"]) for k in range(9)] + [(0, 50 + k, "simp", "c00", [f"x{k:02d}"]) for k in range(30)] + [(0, 90 + k, "simp", f"x{k:02d}", [f"y{k:02d}"]) for k in range(30)]
+    edges = H.hyperedges(spark.createDataFrame(rows, "theorem long, ord long, tactic string, input string, outputs array<string>"))
+    pairs = spark.createDataFrame([("c00", "c09"), ("c00", "y07"), ("c09", "c00"), ("c04", "c04")], "start string, target string")
+    got = {(r.start, r.target): (r.depth, r.meet) for r in H.or_paths(spark, edges, pairs, 9).collect()}
+    assert got == {("c00", "c09"): (9, "c05"), ("c00", "y07"): (2, "x07"), ("c09", "c00"): (-1, None), ("c04", "c04"): (0, "c04")}
+    assert all(not r.found for r in H.or_paths(spark, edges, pairs.where("target = 'c09'"), 8).collect())
+
+
+def test_proofs_per_oracle_and_budget(spark, graph):
+    rows, edges = graph
+    names = [f"s{k:02d}" for k in range(24)]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in ("s03", "s11")], "start string, target string")
+    known = H.discharge(spark, edges, pairs.select("target").distinct().toDF("oracle"), 12)
+    known = spark.createDataFrame(known.collect(), known.schema)
+    level = {(r.oracle, r.node): r.depth for r in known.collect()}
+    steps = H.proof_steps(spark, H.oracle_proofs(edges, known), pairs, 12).collect()
+    proof = {}
+    for r in steps:
+        proof.setdefault((r.start, r.target), {})[r.node] = r
+    for a, b in [(r.start, r.target) for r in pairs.collect()]:
+        if not level.get((b, a)):
+            assert (a, b) not in proof
+            continue
+        held, seen, at = proof[a, b], set(), [a]
+        while at:
+            n = at.pop()
+            if n in (b, H.DONE) or n in seen:
+                continue
+            seen.add(n)
+            assert all(level[b, o] < level[b, n] for o in held[n].outputs) and held[n].depth == level[b, n]
+            at += held[n].outputs
+        assert seen == set(held)
+
+    def opened(a, b, depth):
+        got, at = set(), {a}
+        for _ in range(depth):
+            at = {x for x in at if x not in (b, H.DONE)} - got
+            got |= at
+            at = {o for _, _, _, i, outs in rows if i in at for o in outs}
+        return len(got)
+
+    for most in (5, 1000):
+        for r in H.discharge_search(spark, edges, pairs, known, 12, most).collect():
+            depth = level.get((r.target, r.start))
+            n = opened(r.start, r.target, 12 if depth is None else depth)
+            assert (r.expansions, r.exhausted) == (n, n > most)
+            assert (r.solved, r.depth) == ((True, depth) if depth is not None and n <= most else (False, -1))
