@@ -1,9 +1,9 @@
-"""A stored adjacency for traversals: neighbour lists in chunks, dealt by (node, chunk), so that a hub is many rows.
+"""A stored adjacency for traversals: neighbours in chunks, dealt by (node, chunk), so that a hub is many keys.
 
 The table is written once, bucketed by (node, chunk), and read by every level of a traversal: only the
 frontier moves. A frontier row knows into how many chunks its node is cut, so it is copied to that many
-keys and no key holds more than a chunk of neighbours. Tables of up to ``chunk`` neighbours a node
-are never cut, which costs nothing.
+keys and no key holds much more than a chunk of neighbours. Where no node has more than ``chunk``
+neighbours nothing is cut.
 """
 
 from __future__ import annotations
@@ -30,27 +30,32 @@ def _looked_up(rows: DataFrame, nodes: DataFrame, hot: DataFrame, column: str, *
 
 
 class Adjacency:
-    """Neighbours of distinct edges (source, target), written; ``drop`` removes what was written."""
+    """Neighbours of distinct edges (source, target), written; ``drop`` removes what was written.
+
+    Where no node has more than ``chunk`` neighbours the table is (node, to), else (node, chunk, to, chunks)
+    with the chunks of ``to``; a row an edge, bucketed by its key.
+    """
 
     def __init__(self, spark: SparkSession, edges: DataFrame, chunk: int = CHUNK):
-        self.spark, self.chunk, self.kind = spark, chunk, edges.schema["source"].dataType
-        e = edges.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct()
-        degrees = e.groupBy("node").agg(F.count("*").alias("degree"))
-        self.hubs = cut(spark, degrees.where(F.col("degree") > chunk).select("node", "degree", F.ceil(F.col("degree") / chunk).cast("int").alias("chunks")), "hubs")
-        self.split = not self.hubs.isEmpty()
+        self.spark = spark
+        e = cut(spark, edges.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct(), "edges")
+        hubs = e.groupBy("node").agg(F.count("*").alias("degree")).where(F.col("degree") > chunk)
+        self.hubs = cut(spark, hubs.select("node", "degree", F.ceil(F.col("degree") / chunk).cast("int").alias("chunks")), "hubs")
+        self.split = self.hubs.count() > 0
         if self.split:
-            e = cut(spark, e, "edges")
             hot = self.hubs.where(F.col("degree") > e.count() * HOT_SHARE)
             parts = _looked_up(_looked_up(e, self.hubs, hot, "node", chunks="own"), self.hubs, hot, "to", chunks="chunks")
-            parts = parts.select("node", "to", F.coalesce("chunks", F.lit(1)).alias("chunks"), F.pmod(F.xxhash64("to"), F.coalesce("own", F.lit(1))).cast("int").alias("chunk"))
+            self._save(parts.select("node", F.pmod(F.xxhash64("to"), F.coalesce("own", F.lit(1))).cast("int").alias("chunk"), "to", F.coalesce("chunks", F.lit(1)).alias("chunks")), "node", "chunk")
         else:
-            parts = e.withColumns({"chunk": F.lit(0), "chunks": F.lit(1)})
-        lists = parts.groupBy("node", "chunk").agg(F.collect_list(F.struct("to", "chunks")).alias("around"))
-        self.name, self.path = f"adjacency_{uuid.uuid4().hex}", f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
-        lists.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "chunk").option("path", self.path).saveAsTable(self.name)
-        self.table = spark.read.table(self.name)
-        if self.split:
-            forget(spark, e)
+            self._save(e, "node")
+        forget(spark, e)
+
+    def _save(self, rows: DataFrame, *keys: str) -> None:
+        self.name = f"adjacency_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", self.path).saveAsTable(self.name)  # dealt as bucketed: a file a bucket
+        self.table = self.spark.read.table(self.name)
 
     def start(self, nodes: DataFrame) -> DataFrame:
         """Rows with a column ``node``, plus ``chunks``: how many keys they are copied to."""
@@ -60,11 +65,13 @@ class Adjacency:
 
     def expand(self, frontier: DataFrame, *kept: Column | str) -> DataFrame:
         """``kept``, to, chunks (of ``to``): a row for each neighbour of each frontier row (node, chunks, ...)."""
-        at = frontier.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) if self.split else frontier.withColumn("chunk", F.lit(0))
-        return at.drop("chunks").join(self.table, ["node", "chunk"]).select(*kept, F.inline("around"))
+        if not self.split:
+            return frontier.drop("chunks").join(self.table, "node").select(*kept, "to", F.lit(1).alias("chunks"))
+        copies = frontier.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        return copies.join(self.table, ["node", "chunk"]).select(*kept, "to", "chunks")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(f"DROP TABLE {self.name}")
         self.table._cut_path = self.path
         forget(self.spark, self.table, self.hubs)
 

@@ -46,15 +46,14 @@ class _Side:
     def __init__(self, spark: SparkSession, arcs: DataFrame, pairs: DataFrame, key: str):
         self.spark, self.key, self.around = spark, key, Adjacency(spark, arcs)
         self.levels = [cut(spark, self.around.start(pairs.select(key, F.col(key).alias("node")).distinct()), "ends")]
-
-    def live(self, pairs: DataFrame) -> DataFrame:
-        """The newest level, of keys that still have an open pair."""
-        return self.levels[-1].join(pairs.select(self.key).distinct(), self.key, "left_semi")
+        self.rows = self.levels[0].count()
 
     def grow(self, pairs: DataFrame) -> None:
-        step = self.around.expand(self.live(pairs), self.key).groupBy(self.key, F.col("to").alias("node")).agg(F.first("chunks").alias("chunks"))
+        """One more level, from the newest one's rows of keys that still have an open pair."""
+        step = self.around.expand(self.levels[-1].join(pairs.select(self.key).distinct(), self.key, "left_semi"), self.key).groupBy(self.key, F.col("to").alias("node")).agg(F.first("chunks").alias("chunks"))
         seen = reduce(DataFrame.unionByName, [level.select(self.key, "node") for level in self.levels])
         self.levels.append(cut(self.spark, step.join(seen, [self.key, "node"], "left_anti"), "ends"))
+        self.rows = self.levels[-1].count()
 
     def through(self, rows: DataFrame, level: DataFrame, key: str) -> DataFrame:
         """The pairs' nodes moved one arc on, to those that stand in ``level`` of the pair's ``key``."""
@@ -74,17 +73,16 @@ def or_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth:
     arcs = cut(spark, or_edges(edges), "or-edges")
     pairs = cut(spark, pairs.select("start", "target").distinct(), "or-pairs")
     ahead, back = _Side(spark, arcs, pairs, "start"), _Side(spark, _turned(arcs), pairs, "target")
-    still, met = cut(spark, pairs.where("start <> target"), "open"), [pairs.where("start = target").select("start", "target", F.lit(0).cast("long").alias("depth"), F.col("start").alias("node"))]
+    still, met = pairs.where("start <> target"), [pairs.where("start = target").select("start", "target", F.lit(0).cast("long").alias("depth"), F.col("start").alias("node"))]
     for depth in range(1, max_depth + 1):
-        sizes = ahead.live(still).agg(F.count("*").alias("a")).join(back.live(still).agg(F.count("*").alias("b"))).first()  # one row each
-        if not (sizes.a and sizes.b):
-            break
-        side = ahead if sizes.a <= sizes.b else back
+        side = ahead if ahead.rows <= back.rows else back
         side.grow(still)
         if rows is not None:
-            rows.append(side.levels[-1].count())
+            rows.append(side.rows)
+        if not side.rows:  # no open pair can be gone on with
+            break
         found = cut(spark, still.join(ahead.levels[-1].select("start", "node"), "start").join(back.levels[-1].select("target", "node"), ["target", "node"]), "met")
-        if found.isEmpty():
+        if not found.count():
             continue
         still = cut(spark, still.join(found.select("start", "target").distinct(), ["start", "target"], "left_anti"), "open")
         middle, at = found, len(ahead.levels) - 1
@@ -94,11 +92,13 @@ def or_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth:
         while at < (depth + 1) // 2:  # on along the levels back from the target
             at += 1
             middle = ahead.through(middle, back.levels[depth - at], "target")
-        met.append(cut(spark, middle.groupBy("start", "target").agg(F.min("node").alias("node")).select("start", "target", F.lit(depth).cast("long").alias("depth"), "node"), "middle"))
+        met.append(middle.groupBy("start", "target").agg(F.min("node").alias("node")).select("start", "target", F.lit(depth).cast("long").alias("depth"), "node"))
+        if not still.count():
+            break
+    out = cut(spark, pairs.join(reduce(DataFrame.unionByName, met), ["start", "target"], "left"), "or-paths")
     ahead.around.drop()
     back.around.drop()
     forget(spark, arcs, *ahead.levels, *back.levels)
-    out = pairs.join(reduce(DataFrame.unionByName, met), ["start", "target"], "left")
     return out.select("start", "target", F.col("depth").isNotNull().alias("found"), F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"), F.col("node").alias("meet"))
 
 

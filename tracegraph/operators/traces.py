@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.iterate import cut
+from ..plans.iterate import cut, forget
 
 
 def tactics(traces: DataFrame) -> DataFrame:
@@ -149,12 +149,13 @@ def branch_sets(spark: SparkSession, dag: DataFrame, high: int) -> DataFrame:
     a size is one join by (theorem, edge). An edge that follows itself is not opened.
     """
     tuple_of = F.struct("in_node", "label", "out_nodes")
-    own = dag.select("theorem", "edge", "in_node", tuple_of.alias("part"))
-    follow = dag.select("theorem", F.col("edge").alias("from"), F.explode(F.array_distinct("out_nodes")).alias("in_node")).join(own.select("theorem", "in_node", "edge"), ["theorem", "in_node"]).where(F.col("from") != F.col("edge"))
+    own = cut(spark, dag.select("theorem", "edge", "in_node", tuple_of.alias("part")), "edges")
+    follow = own.select("theorem", F.col("edge").alias("from"), F.explode(F.array_distinct("part.out_nodes")).alias("in_node")).join(own.select("theorem", "in_node", "edge"), ["theorem", "in_node"]).where(F.col("from") != F.col("edge"))
     after = follow.groupBy("theorem", F.col("from").alias("edge")).agg(F.array_sort(F.collect_set("edge")).alias("after"))
     none = F.array().cast(after.schema["after"].dataType)
     table = cut(spark, own.join(after, ["theorem", "edge"], "left").select("theorem", "edge", "part", F.coalesce("after", none).alias("after")), "dag")
     at = table.where(F.size("part.out_nodes") > 1).select("theorem", F.col("part.in_node").alias("root"), F.col("edge").alias("start"), F.array("edge").alias("edges"), F.array("part").alias("parts"), F.col("after").alias("open"), F.array_append("after", F.col("edge")).alias("seen"))
+    forget(spark, own)
     step = table.withColumnRenamed("edge", "next")
     found = []
     for size in range(2, high + 1):
