@@ -34,9 +34,14 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+def either_case(word: str) -> str:
+    """A pattern for a word whose letters a-z stand in either case. Flags for that differ between engines past ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
 #: The base rules, in the order that breaks ties between spans, then added ones.
 RULES = (
-    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    Rule("assign", "(" + "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
@@ -124,6 +129,7 @@ def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger:
     kind, end; by start, then rule), from old and new ledger rows alike. Append the second frame to
     the ledger table; scan again and nothing is unseen.
 
+    Words of rules match in either case of A-Z alone: a long s or a Kelvin sign is no letter of theirs.
     Null text counts as empty. Null doc_id and repeated rows are kept, each with its findings. An
     empty table gives empty frames. Ties (spans of two kinds at one start) follow the rules' order.
     ``columns`` names the two added columns; input columns of these names are replaced, no other is touched.
