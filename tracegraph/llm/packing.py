@@ -23,8 +23,9 @@ from . import common
 
 SEQUENCE = 1024
 SEGMENTS = 64
-#: Loss-bearing tokens of a sequence in the registered query, at most; its documents' first words count as the prompt.
-LOSS, PROMPT_WORDS = 1016, 16
+#: Loss-bearing tokens of a sequence in the registered query, at most: as many as it holds, so that the limit costs no
+#: padding where documents have no prompt of their own. Their first words count as the prompt.
+LOSS, PROMPT_WORDS = SEQUENCE, 16
 WINDOW = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
