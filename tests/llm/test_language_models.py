@@ -187,3 +187,14 @@ def test_nothing_to_learn_from(spark):
     assert {r.score for r in quality.classify(spark, docs, none).collect()} == {0.5}
     assert {r.lang_pred for r in language.identify(spark, docs.limit(0)).collect()} == set()
     assert {r.lang_pred for r in language.identify(spark, docs.where("doc_id is null")).collect()} == {"und"}
+
+
+def test_rejection_of_held_out_texts(spark):
+    """Few rightly named held-out texts of the tables are rejected, in each language; texts of no learnt language are."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10_000_001 + k, "xqzw jvkq wpzx qqkj zzxv " * 20, None) for k in range(20)], docs.schema)
+    got = language.identify(spark, docs.unionByName(odd)).join(docs.select("doc_id", "lang"), "doc_id", "left").toPandas()
+    named = got[got.held_out & (got.lang == got.lang_pred)]
+    assert named.rejected.mean() < 0.02 and (named.groupby("lang").rejected.mean() < 0.06).all()
+    assert got[got.doc_id > 10_000_000].rejected.all()

@@ -22,7 +22,9 @@ from . import charlm, common, kernels
 #: Left-out training documents whose cross-entropy may lie above the rejection threshold, as a share.
 REJECT_SHARE = 0.005
 #: One in so many training rows is kept out of the counts; rejection is calibrated on these.
-CALIBRATION_FOLDS = 16
+CALIBRATION_FOLDS = 4
+#: How many left-out rows all languages' common limit counts as beside a language's own: a quantile of few rows is noise.
+COMMON_ROWS = 50
 UNKNOWN = "und"
 #: Sharpness of the score: nats of cross-entropy per symbol are multiplied by it.
 SHARPNESS = 8.0
@@ -129,8 +131,9 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Learnt from text and non-null lang of rows whose crc32(doc_id) mod 3 is not 1; lang, source
     and doc_id never enter a prediction. One in CALIBRATION_FOLDS of these rows is not counted.
-    ``rejected``: cross_entropy above the REJECT_SHARE upper quantile of the rows that were left out
-    and named right; a language without such rows rejects nothing.
+    ``rejected``: cross_entropy above a limit. Each language has the REJECT_SHARE upper quantile of the rows that were left out
+    and named right, drawn to the common one (its median plus that quantile, over all languages, of what rows have above their
+    language's median) as if that were COMMON_ROWS rows more; a language without left-out rows rejects nothing.
 
     Null text or one without letters: `und`, score 0, rejected. Null doc_id: predicted and, as the
     empty key, learnt from. Ties take the first language by name. Repeated rows are each predicted.
@@ -146,7 +149,11 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     predict = _predictor(spark.sparkContext.broadcast(fit(spark, counts)))
     raw = rows.select("doc_id", held.alias("held_out"), F.when(known & left_out, F.col("lang")).alias("checked"), predict("text").alias("p"))
     raw = common.materialize(spark, raw.select("doc_id", "held_out", "checked", "p.*"), "language-scores")
-    limits = raw.where(F.col("checked") == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - REJECT_SHARE, 10000).alias("limit"))
+    right = raw.where(F.col("checked") == F.col("lang_pred")).select("lang_pred", "cross_entropy")
+    top = lambda c: F.percentile_approx(c, 1 - REJECT_SHARE, 10000)
+    own = right.groupBy("lang_pred").agg(F.count("*").alias("n"), F.percentile_approx("cross_entropy", 0.5, 10000).alias("mid"), top("cross_entropy").alias("own"))  # a row per language
+    excess = right.join(F.broadcast(own), "lang_pred").agg(top(F.col("cross_entropy") - F.col("mid")).alias("excess"))
+    limits = own.join(F.broadcast(excess)).select("lang_pred", ((F.col("n") * F.col("own") + COMMON_ROWS * (F.col("mid") + F.col("excess"))) / (F.col("n") + COMMON_ROWS)).alias("limit"))
     joined = raw.join(F.broadcast(limits), "lang_pred", "left")  # a row per language
     rejected = F.when(F.col("lang_pred") == UNKNOWN, True).otherwise(F.coalesce(F.col("cross_entropy") > F.col("limit"), F.lit(False)))
     return joined.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))
