@@ -59,9 +59,30 @@ def test_curvature(spark):
     assert abs(kappa([(1, 2), (1, 3), (1, 4), (2, 5), (2, 6)], (1, 2)) + 2 / 3) < 1e-9
 
 
-def test_transport_cost():
+def test_transport():
+    """Plans keep to both measures and potentials prove them; equal sides against all assignments."""
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        cost = rng.integers(0, 4, (4, 4)).astype(float)
-        best = min(sum(cost[i, p[i]] for i in range(4)) for p in itertools.permutations(range(4))) / 4
-        assert abs(G.transport_cost(cost) - best) < 1e-9
+    for k in range(120):
+        m, n = (4, 4) if k < 30 else rng.integers(1, 12, 2)
+        cost = rng.integers(0, 4, (m, n))
+        flow, f, g = G.transport(cost)
+        assert (flow >= 0).all() and (flow.sum(axis=1) == n).all() and (flow.sum(axis=0) == m).all()
+        assert (f[:, None] + g <= cost).all() and (flow * cost).sum() == n * f.sum() + m * g.sum()
+        if k < 30:
+            best = min(sum(cost[i, p[i]] for i in range(4)) for p in itertools.permutations(range(4))) / 4
+            assert abs(G.transport_cost(cost) - best) < 1e-9
+
+
+def test_certificates_find_faults(spark):
+    """A moved unit and raised or lowered potentials are seen by the check."""
+    rng = np.random.default_rng(1)
+    pairs = sorted({tuple(sorted(map(int, rng.choice(14, 2, replace=False)))) for _ in range(30)})
+    und = spark.createDataFrame(pairs, "u long, v long")
+    t = G.transports(spark, und, und, 80)
+    good = G.certificates(und, t).collect()
+    assert len(good) == len(pairs) and all((r.violated, r.misplaced, r.gap) == (0, 0, 0) for r in good)
+    by = lambda side, k: t.withColumn(side, F.transform(side, lambda x: F.struct(x["node"].alias("node"), (x["potential"] + k).alias("potential"))))
+    assert all(r.violated and r.gap < 0 for r in G.certificates(und, by("left", 4)).collect())
+    assert all(r.gap > 0 for r in G.certificates(und, by("right", -1)).collect())
+    moved = t.withColumn("plan", F.transform("plan", lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["units"] + F.when(i == 0, 1).otherwise(0)).alias("units"))))
+    assert all(r.misplaced for r in G.certificates(und, moved).collect())

@@ -102,71 +102,127 @@ def weak_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood_distance(und: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(u, v, x, y, d) for x around u and y around v of each edge (of all, or of ``edges``): d is 0, 1, 2 or 3."""
+    """(u, v, x, y, d) for x around u and y around v of each edge (of all, or of ``edges``): d is 0, 1, 2 or 3.
+
+    Two-step pairs are formed once for all edges, between the nodes that stand on the left and on the right
+    of any, not once for each pair that an edge asks for.
+    """
     s = symmetric(und)
-    pairs = (und if edges is None else edges).join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v")
-    want = pairs.select("x", "y").distinct()
-    two = want.join(s.toDF("x", "m"), "x").join(s.toDF("m", "y2"), "m").where("y = y2").select("x", "y").distinct().withColumn("two", F.lit(True))
-    one = s.toDF("x", "y").withColumn("one", F.lit(True))
-    d = F.when(F.col("x") == F.col("y"), 0).when(F.col("one"), 1).when(F.col("two"), 2).otherwise(3)
-    return pairs.join(one, ["x", "y"], "left").join(two, ["x", "y"], "left").select("u", "v", "x", "y", d.cast("long").alias("d"))
+    pairs = (und if edges is None else edges).join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    left, right = pairs.select("x").distinct(), pairs.select("y").distinct()
+    two = s.toDF("x", "mid").join(left, "x", "left_semi").join(s.toDF("mid", "y").join(right, "y", "left_semi"), "mid").select("x", "y").distinct()
+    near = s.select(F.col("u").alias("x"), F.col("v").alias("y"), F.lit(1).alias("steps")).unionByName(two.withColumn("steps", F.lit(2))).groupBy("x", "y").agg(F.min("steps").alias("steps"))
+    d = F.when(F.col("x") == F.col("y"), 0).otherwise(F.coalesce("steps", F.lit(3)))
+    return pairs.join(near, ["x", "y"], "left").select("u", "v", "x", "y", d.cast("long").alias("d"))
 
 
-def transport_cost(cost: np.ndarray) -> float:
-    """Least mean cost between two uniform measures: successive shortest augmenting paths on unit masses."""
+def transport(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cheapest plan between two uniform measures, and what proves it: (units moved, row and column potentials).
+
+    Whole costs (rows x columns); each row gives as many units as there are columns and each column takes as
+    many as there are rows. Potentials sum to at most the cost everywhere and to the cost where units
+    move, so their weighted sum equals the plan's cost. Primal-dual: a breadth-first search over tight
+    cells augments along all of its tree's paths at once; where none ends, potentials give way.
+    """
+    cost = cost.astype(np.int64)
     m, n = cost.shape
-    supply, demand = np.full(m, n, np.int64), np.full(n, m, np.int64)
-    flow, pu, pv, total = np.zeros((m, n), np.int64), np.zeros(m), np.zeros(n), 0.0
-    while supply.sum():
-        dist_r, dist_c = np.where(supply > 0, 0.0, np.inf), np.full(n, np.inf)
-        from_r, from_c, done = np.full(m, -1), np.full(n, -1), np.zeros(n, bool)
-        reduced = cost - pu[:, None] - pv[None]
-        fresh = np.flatnonzero(supply > 0)
-        while True:
-            for r in fresh:
-                better = dist_r[r] + reduced[r] < dist_c - 1e-12
-                dist_c = np.where(better, dist_r[r] + reduced[r], dist_c)
-                from_c = np.where(better, r, from_c)
-            c = int(np.argmin(np.where(done, np.inf, dist_c)))
-            done[c] = True
-            if demand[c] > 0:
-                break
-            back = np.flatnonzero((flow[:, c] > 0) & (dist_r > dist_c[c] + 1e-12))
-            dist_r[back], from_r[back] = dist_c[c], c
-            fresh = back
-        end = dist_c[c]
-        pu -= np.minimum(dist_r, end) - end
-        pv += np.where(done, np.minimum(dist_c, end), end) - end
-        path, col = [], c
-        while True:
-            row = int(from_c[col])
-            path.append((row, col))
-            if from_r[row] < 0:
-                break
-            col = int(from_r[row])
-        amount = min(int(demand[c]), int(supply[path[-1][0]]), *[int(flow[path[k][0], path[k + 1][1]]) for k in range(len(path) - 1)])
-        for k, (row, col) in enumerate(path):
-            flow[row, col] += amount
-            if k + 1 < len(path):
-                flow[row, path[k + 1][1]] -= amount
-        supply[path[-1][0]] -= amount
-        demand[c] -= amount
-    total = float((flow * cost).sum()) / (m * n)
-    return total
+    give, take, flow = np.full(m, n, np.int64), np.full(n, m, np.int64), np.zeros((m, n), np.int64)
+    f = cost.min(axis=1)
+    g = (cost - f[:, None]).min(axis=0)
+    for i, j in zip(*np.nonzero(cost == f[:, None] + g), strict=True):  # a first plan on tight cells
+        units = min(give[i], take[j])
+        if units:
+            flow[i, j], give[i], take[j] = units, give[i] - units, take[j] - units
+    while give.any():
+        tight = cost == f[:, None] + g
+        rows, columns = give > 0, np.zeros(n, bool)
+        from_row, from_column = np.full(n, -1), np.full(m, -1)
+        fresh = np.flatnonzero(rows)
+        while len(fresh):
+            met = np.flatnonzero(tight[fresh].any(axis=0) & ~columns)
+            from_row[met], columns[met] = fresh[tight[np.ix_(fresh, met)].argmax(axis=0)], True
+            used = flow[:, met] > 0
+            fresh = np.flatnonzero(used.any(axis=1) & ~rows) if len(met) else met
+            from_column[fresh], rows[fresh] = met[used[fresh].argmax(axis=1)] if len(fresh) else -1, True
+        moved = False
+        for end in np.flatnonzero(columns & (take > 0)):
+            path, row = [(from_row[end], end)], from_row[end]
+            while from_column[row] >= 0:
+                path.append((row, from_column[row]))
+                row = from_row[from_column[row]]
+                path.append((row, path[-1][1]))
+            units = min(give[row], take[end], *[flow[p] for p in path[1::2]])
+            if units > 0:
+                for k, p in enumerate(path):
+                    flow[p] += -units if k % 2 else units
+                give[row], take[end], moved = give[row] - units, take[end] - units, True
+        if not moved:
+            slack = (cost - f[:, None] - g)[np.ix_(rows, ~columns)].min()
+            f[rows] += slack
+            g[columns] -= slack
+    return flow, f, g
+
+
+def transport_cost(cost: np.ndarray) -> float:
+    """Least mean cost between two uniform measures over whole costs."""
+    return float((transport(cost)[0] * cost).sum()) / cost.size
+
+
+def transports(spark: SparkSession, und: DataFrame, sample: DataFrame, max_neighbourhood: int) -> DataFrame:
+    """u, v, m, n, total, plan (x, y, units), left (x, potential), right (y, potential) of sampled edges (u, v); a written table.
+
+    The m neighbours x of u and the n neighbours y of v, at most ``max_neighbourhood`` on each side, carry uniform
+    measures; ``total`` is the plan's cost in units of 1 / (m n), with distances 0 to 3. Potentials prove it:
+    anyone can check by joins that they obey every distance and sum up to the total. Matrices are gathered per
+    edge, which ``max_neighbourhood`` bounds, and solved a batch of edges at a time.
+    """
+    ship_package(spark)
+    und = cut(spark, und, "und")
+    deg = symmetric(und).groupBy("u").agg(F.count("*").alias("deg"))
+    small = cut(spark, sample.join(deg, "u").join(deg.toDF("v", "deg_v"), "v").where(F.greatest("deg", "deg_v") <= max_neighbourhood).select("u", "v"), "small")
+    matrices = neighbourhood_distance(und, small).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("x", "y", "d"))).alias("cells"))
+    node = und.schema["u"].dataType.simpleString()
+    kind = f"u {node}, v {node}, m int, n int, total long, plan array<struct<x: {node}, y: {node}, units: long>>, left array<struct<node: {node}, potential: long>>, right array<struct<node: {node}, potential: long>>"
+
+    def solve(parts):
+        for part in parts:
+            out = []
+            for u, v, cells in zip(part.u, part.v, part.cells, strict=True):
+                xs, ys = [c["x"] for c in cells], [c["y"] for c in cells]
+                n = xs.count(xs[0])  # sorted by x, then y
+                x, y = xs[::n], ys[:n]
+                cost = np.array([c["d"] for c in cells]).reshape(-1, n)
+                flow, f, g = transport(cost)
+                plan = [{"x": x[i], "y": y[j], "units": int(flow[i, j])} for i, j in zip(*np.nonzero(flow), strict=True)]
+                out.append((u, v, len(x), n, int((flow * cost).sum()), plan, [{"node": a, "potential": int(p)} for a, p in zip(x, f, strict=True)], [{"node": a, "potential": int(p)} for a, p in zip(y, g, strict=True)]))
+            yield pd.DataFrame(out, columns=["u", "v", "m", "n", "total", "plan", "left", "right"])
+
+    return cut(spark, matrices.mapInPandas(solve, kind), "transports")
 
 
 def ollivier_ricci(und: DataFrame, sample: DataFrame, max_neighbourhood: int) -> DataFrame:
     """(u, v, kappa) of sampled edges (u, v) whose ends have few enough neighbours."""
-    ship_package(und.sparkSession)
-    deg = symmetric(und).groupBy("u").agg(F.count("*").alias("deg"))
-    small = sample.join(deg, "u").join(deg.toDF("v", "deg_v"), "v").where(F.greatest("deg", "deg_v") <= max_neighbourhood).select("u", "v")
-    rows = neighbourhood_distance(und, small).withColumn("d", F.col("d").cast("double"))
+    t = transports(und.sparkSession, und, sample, max_neighbourhood)
+    return t.select("u", "v", (1 - F.col("total") / (F.col("m") * F.col("n"))).alias("kappa"))
 
-    def kappa(part: pd.DataFrame) -> pd.DataFrame:
-        cost = part.pivot(index="x", columns="y", values="d").to_numpy()
-        return pd.DataFrame({"u": [part.u.iloc[0]], "v": [part.v.iloc[0]], "kappa": [1.0 - transport_cost(cost)]})
 
-    return rows.groupBy("u", "v").applyInPandas(kappa, "u long, v long, kappa double")
+def certificates(und: DataFrame, t: DataFrame) -> DataFrame:
+    """u, v, m, n, distances, violated, misplaced, gap: a check of ``transports`` by joins, without the solver.
+
+    distances is the sum of all distances between the two sides; violated counts pairs (x, y) whose potentials
+    exceed their distance; misplaced counts nodes of the plan that give or take another number of units than
+    their measure's; gap is the plan's cost less the potentials' weighted sum. All three are 0 for a cheapest plan.
+    """
+    left, right = t.select("u", "v", F.inline("left")).toDF("u", "v", "x", "f"), t.select("u", "v", F.inline("right")).toDF("u", "v", "y", "g")
+    d = neighbourhood_distance(und, t.select("u", "v"))
+    plan = t.select("u", "v", F.inline("plan"))
+    held = d.join(left, ["u", "v", "x"]).join(right, ["u", "v", "y"]).join(plan, ["u", "v", "x", "y"], "left")
+    pairs = held.groupBy("u", "v").agg(F.sum("d").alias("distances"), F.count_if(F.col("f") + F.col("g") > F.col("d")).alias("violated"), F.sum(F.col("d") * F.coalesce("units", F.lit(0))).alias("cost"))
+    sums = left.groupBy("u", "v").agg(F.sum("f").alias("f")).join(right.groupBy("u", "v").agg(F.sum("g").alias("g")), ["u", "v"])
+    size = t.select("u", "v", "m", "n")
+    odd = lambda side, name, units: plan.groupBy("u", "v", side).agg(F.sum("units").alias("units")).join(size, ["u", "v"]).groupBy("u", "v").agg((F.count_if(F.col("units") != F.col(units)) + F.abs(F.first("m" if units == "n" else "n") - F.count("*"))).alias(name))
+    out = size.join(pairs, ["u", "v"]).join(sums, ["u", "v"]).join(odd("x", "giving", "n"), ["u", "v"]).join(odd("y", "taking", "m"), ["u", "v"])
+    return out.select("u", "v", "m", "n", "distances", "violated", (F.col("giving") + F.col("taking")).alias("misplaced"), (F.col("cost") - F.col("n") * F.col("f") - F.col("m") * F.col("g")).alias("gap"))
 
 
 def betweenness(spark: SparkSession, und: DataFrame, sources: DataFrame) -> DataFrame:

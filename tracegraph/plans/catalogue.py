@@ -626,7 +626,7 @@ def two_hop_distance_matrix(s, d):
 @query()
 def ollivier_ricci_sample(s, d):
     u = G.undirected(V.succession(s, d))
-    return G.ollivier_ricci(u, u.orderBy(F.xxhash64("u", "v"), "u", "v").limit(500), 80)
+    return G.ollivier_ricci(u, u.orderBy(F.xxhash64("u", "v"), "u", "v").limit(5000), 80)
 
 
 @query()
