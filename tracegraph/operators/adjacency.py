@@ -8,12 +8,10 @@ neighbours nothing is cut.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut, forget, shared_dir
+from ..plans.iterate import cut, cut_by, forget
 
 #: Neighbours of a chunk, about.
 CHUNK = 1024
@@ -45,18 +43,11 @@ class Adjacency:
         if self.split:
             hot = self.hubs.where(F.col("degree") > e.count() * HOT_SHARE)
             parts = _looked_up(_looked_up(e, self.hubs, hot, "node", chunks="own"), self.hubs, hot, "to", chunks="chunks")
-            self._save(parts.select("node", F.pmod(F.xxhash64("to"), F.coalesce("own", F.lit(1))).cast("int").alias("chunk"), "to", F.coalesce("chunks", F.lit(1)).alias("chunks")), "node", "chunk")
+            self.table = cut_by(spark, parts.select("node", F.pmod(F.xxhash64("to"), F.coalesce("own", F.lit(1))).cast("int").alias("chunk"), "to", F.coalesce("chunks", F.lit(1)).alias("chunks")), ["node", "chunk"], "adjacency")
         else:
-            self._save(e, "node")
+            self.table = cut_by(spark, e, ["node"], "adjacency")
         forget(spark, e)
 
-    def _save(self, rows: DataFrame, *keys: str) -> None:
-        self.name = f"adjacency_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(self.spark)}/{self.name}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", self.path).saveAsTable(self.name)  # dealt as bucketed: a file a bucket
-        self.table = self.spark.read.table(self.name)
-
     def start(self, nodes: DataFrame) -> DataFrame:
         """Rows with a column ``node``, plus ``chunks``: how many keys they are copied to."""
         if not self.split:
@@ -71,8 +62,6 @@ class Adjacency:
         return copies.join(self.table, ["node", "chunk"]).select(*kept, "to", "chunks")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")
-        self.table._cut_path = self.path
         forget(self.spark, self.table, self.hubs)
 
 

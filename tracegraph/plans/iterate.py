@@ -36,8 +36,21 @@ def cut(spark: SparkSession, df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def cut_by(spark: SparkSession, df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
+    """``cut`` into a table bucketed by ``keys``, a file a bucket: joins and groups by them do not shuffle it."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    out = spark.read.table(table)
+    out._cut_path, out._cut_table = path, table
+    return out
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of frames that ``cut`` returned and that no later plan reads."""
+    """Delete the files of frames that ``cut`` or ``cut_by`` returned and that no later plan reads."""
     for frame in frames:
+        if getattr(frame, "_cut_table", None):
+            spark.sql(f"DROP TABLE {frame._cut_table}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._cut_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
