@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import traces as R
+from ..operators.runs import Run, proof_graph
 from ..sources import artifacts as S
 from . import views as V
 from .iterate import shared_dir
@@ -151,3 +152,16 @@ def enrich_summary(s, d):
     """What an enrichment run reports for each theorem."""
     e = R.trace_edges(typed_traces(s, d))
     return e.groupBy("theorem").agg(F.count("*").alias("edges"), F.count_distinct("head").alias("heads"), F.sum(F.size("lemmas")).alias("lemmas"))
+
+
+#: Parts of a run's edges.
+PARTS = 4
+
+
+@query(f"""WITH {V.TAC}, {_KINDS}, part AS (SELECT CAST('0x' || substr(md5('T' || theorem), 1, 8) AS BIGINT) % {PARTS} AS k FROM typed)
+ SELECT 'edges' AS stage, CAST(p AS VARCHAR) AS key, (SELECT count(*) FROM part WHERE k = p) AS rows FROM range({PARTS}) r(p) UNION ALL SELECT 'dags', 'all', count(*) FROM part""")
+def run_stage_counts(s, d):
+    """Rows of each finished stage of a run over all traces, from its ledger."""
+    run = Run(s, f"{shared_dir(s)}/run-{uuid.uuid4().hex}")
+    proof_graph(run, typed_traces(s, d), d, PARTS)
+    return run.ledger().select("stage", "key", "rows")
