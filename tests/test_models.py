@@ -84,3 +84,21 @@ def test_array_helpers(spark):
     got = rows.select(A.softmax(F.col("x")).alias("p"), A.sigmoid(F.col("x")[0]).alias("s"), A.one_hot(F.col("c"), ["a", "b"]).alias("h"), A.index_range(F.col("k")).alias("r")).collect()
     assert got[0].p == [0.0, 1.0] and got[1].p == [0.5, 0.5] and got[2].p[1] == pytest.approx(1 / (1 + np.exp(-10)))
     assert got[1].s == 0.5 and [r.h for r in got] == [[0.0, 1.0], [0.0, 0.0], [0.0, 0.0]] and [tuple(r.r) for r in got] == [(-2, 3), (-1, -1), (-1, -1)]
+
+
+def test_graph_families(spark):
+    """Every node has all families; betweenness and resistances are those of their operators."""
+    from tracegraph.operators import graphs as G
+    from tracegraph.plans import models as M
+
+    rng = np.random.default_rng(2)
+    pairs = sorted({(i, i + 1) for i in range(29)} | {tuple(sorted(map(int, rng.choice(30, 2, replace=False)))) for _ in range(40)})
+    und = spark.createDataFrame(pairs, "u long, v long")
+    got = {r.name: r for r in M.graph_families(spark, und).collect()}
+    assert set(got) == set(range(30))
+    assert all((len(r.walk), len(r.spec), len(r.resist)) == (M.WALK_SIZE, 20, M.HUBS) for r in got.values())
+    bc = {r.node: r.bc for r in G.betweenness(spark, und, spark.createDataFrame([(k,) for k in range(30)], "node long")).collect()}
+    assert all(abs(got[n].bc - bc.get(n, 0.0)) < 1e-9 for n in got)
+    degree = {n: sum(n in p for p in pairs) for n in got}
+    hubs = sorted(sorted(got, key=lambda n: (-degree[n], n))[: M.HUBS])
+    assert all(got[h].resist[k] == 0 for k, h in enumerate(hubs)) and all(x >= 0 for r in got.values() for x in r.resist)

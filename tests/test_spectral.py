@@ -68,6 +68,18 @@ def test_effective_resistance(spark):
     assert np.isclose(got["a"], np.log1p(1 / 0.5 + 4 / 2.0)) and got["b"] == 0
 
 
+def test_resistances(spark, und):
+    """Against the pseudo-inverse of the Laplacian; pairs without a path, unknown nodes and a node with itself."""
+    pairs = [(0, 5), (3, 17), (23, 1), (4, 4), (0, 100), (0, 77)]
+    apart = und.unionByName(spark.createDataFrame([(100, 101)], "u long, v long"))
+    got = {(r.a, r.b): r for r in S.resistances(spark, apart, pairs, most=60).collect()}
+    a = (_dense() > 0).astype(float)
+    inverse = np.linalg.pinv(np.diag(a.sum(1)) - a)
+    assert all(abs(got[p].r - (inverse[p[0], p[0]] + inverse[p[1], p[1]] - 2 * inverse[p])) < 1e-9 and got[p].residual <= 1e-10 for p in pairs[:3])
+    assert got[4, 4].r == 0 and got[0, 100].r is None and got[0, 77].r is None
+    assert S.resistances(spark, und, []).count() == 0
+
+
 def test_walk_embeddings(spark, und):
     got = S.walk_embeddings(spark, und, 2, 4, size=8).collect()
     assert {r.name for r in got} == {str(n) for e in RING for n in e} and all(len(r.x) == 8 for r in got)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut, cut_by, forget
+from .learning import ranked
 
 #: Neighbours of a chunk, about.
 CHUNK = 1024
@@ -72,16 +73,11 @@ def indexed(spark: SparkSession, edges: DataFrame) -> DataFrame:
     table has a row an edge, so any neighbour is found by (node, pos) without a list.
     """
     e = edges.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct()
-    ranged = cut(spark, e.repartitionByRange("node", "to").sortWithinPartitions("node", "to").withColumn("mid", F.monotonically_increasing_id()), "ranges")
-    part = F.shiftright("mid", 33)
-    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row a task
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    rank = ranged.withColumn("part", part).join(F.broadcast(before), "part").select("node", "to", (F.col("before") + F.col("mid").bitwiseAND((1 << 33) - 1)).alias("rank"))
-    ranked = cut(spark, rank, "ranked")
-    nodes = cut(spark, ranked.groupBy("node").agg(F.min("rank").alias("first"), F.count("*").alias("degree")), "degrees")
-    hot = nodes.where(F.col("degree") > ranked.count() * HOT_SHARE)
-    placed = _looked_up(ranked, nodes, hot, "node", first="first", degree="degree")
+    order = cut(spark, ranked(e, ["node", "to"], "rank"), "ranked")
+    nodes = cut(spark, order.groupBy("node").agg(F.min("rank").alias("first"), F.count("*").alias("degree")), "degrees")
+    hot = nodes.where(F.col("degree") > order.count() * HOT_SHARE)
+    placed = _looked_up(order, nodes, hot, "node", first="first", degree="degree")
     out = _looked_up(placed, nodes, hot, "to", degree="to_degree")
     out = cut(spark, out.select("node", (F.col("rank") - F.col("first")).alias("pos"), "to", "degree", F.coalesce("to_degree", F.lit(0)).alias("to_degree")), "indexed")
-    forget(spark, ranged, ranked, nodes)
+    forget(spark, order, nodes)
     return out

@@ -11,6 +11,24 @@ from pyspark.sql import functions as F
 from ..plans.iterate import cut
 
 
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """(_part, _offset): the sums of all parts before each. sizes: (_part, _sum), a row a task."""
+    until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_part", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_offset"))
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: how many rows stand before this one by ``order``, which is unique.
+
+    One shuffle, by ranges of ``order``: a row's place in its sorted range comes with the written table, and
+    the offsets of ranges, a row each, are broadcast.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    dealt = cut(rows.sparkSession, dealt, "ranges").withColumn("_part", F.shiftright("_mid", 33))
+    offsets = _offsets(dealt.groupBy("_part").agg(F.count("*").alias("_sum")))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_part", "_mid", "_offset")
+
+
 def prefix_sums(rows: DataFrame, order: str, value: Column, name: str = "before") -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows before this one by ``order``, which is unique.
 
@@ -19,8 +37,7 @@ def prefix_sums(rows: DataFrame, order: str, value: Column, name: str = "before"
     """
     spark = rows.sparkSession
     dealt = cut(spark, rows.withColumn("_value", value).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
-    until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offsets = dealt.groupBy("_part").agg(F.sum("_value").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_offset"))
+    offsets = _offsets(dealt.groupBy("_part").agg(F.sum("_value").alias("_sum")))
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("_own", F.coalesce(F.sum("_value").over(w), F.lit(0)))
     return own.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_own") + F.col("_offset")).drop("_part", "_value", "_own", "_offset")
@@ -28,7 +45,7 @@ def prefix_sums(rows: DataFrame, order: str, value: Column, name: str = "before"
 
 def dense_ids(names: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column with their places in sorted order, from 0."""
-    return prefix_sums(names.select(column).distinct(), column, F.lit(1).cast("long"), "id").select(column, "id")
+    return ranked(names.select(column).distinct(), [column], "id").select(column, "id")
 
 
 def ccdf(counts: DataFrame, x: str, n: str) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import graphs as G
 from ..operators import learning as L
+from ..operators import spectral as S
 from ..operators.traces import cut
 from . import views as V
 from .registry import query
@@ -35,7 +36,7 @@ def _log(column: str):
     return F.log1p(F.col(column).cast("double"))
 
 
-#: Columns of the wide feature vector: degrees, areas, statement length, 10 low and 10 high coordinates.
+#: Fixed values, the names of reports. Columns of the wide feature vector: degrees, areas, statement length, 10 low and 10 high coordinates.
 _DEGREE, _AREA, _TEXT, _SPECTRAL = [0, 1], list(range(2, 10)), [10], list(range(11, 31))
 SETS = {
     "mean_only": [],
@@ -87,24 +88,65 @@ def proof_length_small_sets(s, d):
 
 
 def _families(s, d):
-    """Rows that have walk and spectral coordinates (inner), with centrality where known (left, else 0)."""
+    """Rows that have vectors in both halves of the embeddings (inner), with the product of degrees where known (left, else 0)."""
     e = V.table(s, d, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("e"))
-    central = G.degrees(V.succession(s, d)).select("name", (F.col("in_degree") * F.col("out_degree")).alias("bc"))
+    product = G.degrees(V.succession(s, d)).select("name", (F.col("in_degree") * F.col("out_degree")).alias("in_out"))
     t = theorems(s, d).drop("in_degree", "out_degree")
-    return t.join(e.select("name", F.slice("e", 1, 16).alias("walk")), "name").join(e.select("name", F.slice("e", 17, 20).alias("spec")), "name").join(central, "name", "left").fillna(0, ["bc"])
+    return t.join(e.select("name", F.slice("e", 1, 16).alias("walk")), "name").join(e.select("name", F.slice("e", 17, 20).alias("spec")), "name").join(product, "name", "left").fillna(0, ["in_out"])
 
 
-@query(f"WITH {LEN} SELECT thm.name, round(CAST(embedding[1] AS DOUBLE), 5) + 0.0 AS walk_1, round(CAST(embedding[17] AS DOUBLE), 5) + 0.0 AS spec_1, thm.in_degree * thm.out_degree AS bc, train FROM thm JOIN embeddings ON vec_id = thm.name")
+@query(f"WITH {LEN} SELECT thm.name, round(CAST(embedding[1] AS DOUBLE), 5) + 0.0 AS walk_1, round(CAST(embedding[17] AS DOUBLE), 5) + 0.0 AS spec_1, thm.in_degree * thm.out_degree AS in_out, train FROM thm JOIN embeddings ON vec_id = thm.name")
 def feature_star_join(s, d):
-    return _families(s, d).select("name", (F.round(F.col("walk")[0], 5) + 0.0).alias("walk_1"), (F.round(F.col("spec")[0], 5) + 0.0).alias("spec_1"), "bc", "train")
+    return _families(s, d).select("name", (F.round(F.col("walk")[0], 5) + 0.0).alias("walk_1"), (F.round(F.col("spec")[0], 5) + 0.0).alias("spec_1"), "in_out", "train")
+
+
+#: Of the joint model: hubs, sources of betweenness (a sampling operator), and the width of walk vectors.
+HUBS, SOURCES, WALK_SIZE = 15, 200, 16
+
+
+def _hubs(und):
+    """The HUBS names of highest degree, ties by name."""
+    return G.symmetric(und).groupBy(F.col("u").alias("hub")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "hub").limit(HUBS)
+
+
+def graph_families(s, und):
+    """name, walk, spec, bc, resist of every node: skip-gram vectors of walks, coordinates of both ends of the spectrum,
+    betweenness from sampled sources, and log resistances to the hubs, in their order."""
+    und = cut(s, und, "und")
+    c, laplacian = S.coordinates(s, und)
+    c = cut(s, c.select("name", F.concat("low", "high").alias("spec")), "coordinates")
+    gaps = S.effective_resistance(c.withColumnRenamed("spec", "x"), _hubs(und).select("hub"), laplacian)
+    resist = gaps.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("hub", "r"))), lambda h: h["r"]).alias("resist"))  # a row a hub
+    nodes = c.select(F.col("name").alias("node")).orderBy(F.md5(F.col("name").cast("string").cast("binary")), "name").limit(SOURCES)
+    central = G.betweenness(s, und, cut(s, nodes, "sources")).withColumnRenamed("node", "name")
+    walk = S.walk_embeddings(s, und, 10, 40, size=WALK_SIZE).select(F.col("name").cast(und.schema["u"].dataType).alias("name"), F.col("x").alias("walk"))
+    return walk.join(c, "name").join(resist, "name").join(central, "name", "left").fillna(0.0, ["bc"])
 
 
 @query()
 def joint_regression(s, d):
     """Each family with penalty 1, and all of them together with penalty 2."""
-    rows = cut(s, _families(s, d).select("y", "train", F.concat("walk", "spec", F.array(_log("bc"))).alias("x")), "families")
-    sets = {"node2vec": list(range(16)), "spectral": list(range(16, 36)), "betweenness": [36], "node2vec+betweenness": [*range(16), 36]}
-    return _rounded(L.regression_sets(rows, sets).unionByName(L.regression_sets(rows, {"joint": list(range(37))}, 2.0)))
+    und = G.undirected(V.succession(s, d))
+    rows = graph_families(s, und).join(theorems(s, d).select("name", "y", "train"), "name")
+    rows = cut(s, rows.select("y", "train", F.concat("walk", "spec", F.array(_log("bc")), "resist").alias("x")), "families")
+    ends = [0]
+    for size in (WALK_SIZE, 20, 1, HUBS):
+        ends.append(ends[-1] + size)
+    walk, spec, bc, resist = [list(range(a, b)) for a, b in zip(ends, ends[1:])]
+    sets = {"node2vec": walk, "spectral": spec, "betweenness": bc, "resistance": resist, "node2vec+betweenness": walk + bc}
+    return _rounded(L.regression_sets(rows, sets).unionByName(L.regression_sets(rows, {"joint": list(range(ends[-1]))}, 2.0)))
+
+
+@query(f"""WITH RECURSIVE {V.SUC}, und AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM suc WHERE source <> target), sym AS MATERIALIZED (SELECT u AS a, v AS b FROM und UNION ALL SELECT v, u FROM und), g AS MATERIALIZED (SELECT a, count(*) AS n FROM sym GROUP BY 1),
+ hub AS MATERIALIZED (SELECT a AS hub, row_number() OVER (ORDER BY n DESC, a) - 1 AS j FROM g ORDER BY n DESC, a LIMIT {HUBS}), ends AS MATERIALIZED (SELECT x.hub AS a, y.hub AS b, y.j AS j FROM hub x JOIN hub y ON x.j = 0 AND y.j > 0),
+ m AS MATERIALIZED (SELECT sym.a, sym.b, 0.5 / n AS w FROM sym JOIN g USING (a) UNION ALL SELECT a, a, 0.5 FROM g), rhs AS MATERIALIZED (SELECT j, ends.a, 0.5 / n AS c FROM ends JOIN g ON g.a = ends.a UNION ALL SELECT j, ends.b, -0.5 / n FROM ends JOIN g ON g.a = ends.b),
+ it AS (SELECT j, g.a AS node, CAST(0 AS DOUBLE) AS y, 0 AS t FROM ends, g UNION ALL SELECT i.j, m.a, sum(m.w * i.y) + coalesce(any_value(r.c), 0), i.t + 1 FROM it i JOIN m ON m.b = i.node LEFT JOIN rhs r ON r.j = i.j AND r.a = m.a WHERE i.t < 90 GROUP BY i.j, m.a, i.t)
+ SELECT e.a, e.b, round(p.y - q.y, 6) AS r FROM ends e JOIN it p ON p.j = e.j AND p.node = e.a AND p.t = 90 JOIN it q ON q.j = e.j AND q.node = e.b AND q.t = 90""")
+def hub_resistances(s, d):
+    """Exact resistances between the first hub and each other one."""
+    und = cut(s, G.undirected(V.succession(s, d)), "und")
+    first, *others = [r.hub for r in _hubs(und).collect()]  # HUBS rows
+    return S.resistances(s, und, [(first, h) for h in others]).select("a", "b", F.round("r", 6).alias("r"))
 
 
 _LAB = f"lab AS (SELECT vec_id, label, embedding, {_BUCKET.format('CAST(vec_id AS VARCHAR)')} < 8 AS train, vec_id % 37 AS ns FROM embeddings), kept AS (SELECT label FROM lab WHERE train GROUP BY label HAVING count(*) >= 25), row AS (SELECT * FROM lab WHERE label IN (SELECT label FROM kept)), xl AS (SELECT vec_id, label, train, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM row)"
@@ -124,7 +166,7 @@ def standardized_by_train(s, d):
     return x.where("not train").join(F.broadcast(m), "j").select("vec_id", F.col("j").cast("long").alias("j"), (F.round((F.col("v") - F.col("mu")) / F.col("sd"), 4) + 0.0).alias("z"))  # a row a column
 
 
-#: Columns (from 1) of each set of coordinates in the category sweep.
+#: Fixed values, the names of reports: columns (from 1) of each set of coordinates in the category sweep.
 SWEEP = {"low_5": list(range(1, 6)), "low_10": list(range(1, 11)), "high_5": list(range(33, 38)), "high_10": list(range(33, 43)), "low5_high5": [*range(1, 6), *range(33, 38)], "low10_high10": [*range(1, 11), *range(33, 43)]}
 _DIMS = ", ".join(f"('{k}', {j})" for k, js in SWEEP.items() for j in js)
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.learning import prefix_sums
+from ..operators.learning import ranked
 
 PREMISE = "struct<full_name:string,def_path:string,def_pos:array<int>,def_end_pos:array<int>>"
 TACTIC = f"struct<tactic:string,state_before:string,state_after:string,annotated_tactic:struct<text:string,premises:array<{PREMISE}>>>"
@@ -96,7 +96,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_payloads(df: DataFrame, path: str, order: str, size: int, columns: list[str]) -> None:
     """The named columns in batches of ``size`` rows by ``order``, a folder a batch."""
-    placed = prefix_sums(df, order, F.lit(1).cast("long"), "_place").withColumn("batch", F.floor(F.col("_place") / size))
+    placed = ranked(df, [order], "_place").withColumn("batch", F.floor(F.col("_place") / size))
     placed.select("batch", *columns).repartition("batch").write.partitionBy("batch").json(path)
 
 
