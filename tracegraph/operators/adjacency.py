@@ -39,9 +39,9 @@ class Adjacency:
         self.spark = spark
         e = cut(spark, edges.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct(), "edges")
         hubs = e.groupBy("node").agg(F.count("*").alias("degree")).where(F.col("degree") > chunk)
-        self.hubs = cut(spark, hubs.select("node", "degree", F.ceil(F.col("degree") / chunk).cast("int").alias("chunks")), "hubs")
-        self.split = self.hubs.count() > 0
+        self.split = not hubs.isEmpty()
         if self.split:
+            self.hubs = cut(spark, hubs.select("node", "degree", F.ceil(F.col("degree") / chunk).cast("int").alias("chunks")), "hubs")
             hot = self.hubs.where(F.col("degree") > e.count() * HOT_SHARE)
             parts = _looked_up(_looked_up(e, self.hubs, hot, "node", chunks="own"), self.hubs, hot, "to", chunks="chunks")
             self.table = cut_by(spark, parts.select("node", F.pmod(F.xxhash64("to"), F.coalesce("own", F.lit(1))).cast("int").alias("chunk"), "to", F.coalesce("chunks", F.lit(1)).alias("chunks")), ["node", "chunk"], "adjacency")
@@ -63,7 +63,7 @@ class Adjacency:
         return copies.join(self.table, ["node", "chunk"]).select(*kept, "to", "chunks")
 
     def drop(self) -> None:
-        forget(self.spark, self.table, self.hubs)
+        forget(self.spark, self.table, *([self.hubs] if self.split else []))
 
 
 def indexed(spark: SparkSession, edges: DataFrame) -> DataFrame:

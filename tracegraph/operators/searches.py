@@ -73,7 +73,7 @@ def or_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth:
     arcs = cut(spark, or_edges(edges), "or-edges")
     pairs = cut(spark, pairs.select("start", "target").distinct(), "or-pairs")
     ahead, back = _Side(spark, arcs, pairs, "start"), _Side(spark, _turned(arcs), pairs, "target")
-    still, met = pairs.where("start <> target"), [pairs.where("start = target").select("start", "target", F.lit(0).cast("long").alias("depth"), F.col("start").alias("node"))]
+    still, met, rounds = pairs.where("start <> target"), [pairs.where("start = target").select("start", "target", F.lit(0).cast("long").alias("depth"), F.col("start").alias("node"))], []
     for depth in range(1, max_depth + 1):
         side = ahead if ahead.rows <= back.rows else back
         side.grow(still)
@@ -81,24 +81,26 @@ def or_paths(spark: SparkSession, edges: DataFrame, pairs: DataFrame, max_depth:
             rows.append(side.rows)
         if not side.rows:  # no open pair can be gone on with
             break
-        found = cut(spark, still.join(ahead.levels[-1].select("start", "node"), "start").join(back.levels[-1].select("target", "node"), ["target", "node"]), "met")
-        if not found.count():
-            continue
-        still = cut(spark, still.join(found.select("start", "target").distinct(), ["start", "target"], "left_anti"), "open")
-        middle, at = found, len(ahead.levels) - 1
-        while at > (depth + 1) // 2:  # back along the levels ahead
-            at -= 1
-            middle = back.through(middle, ahead.levels[at], "start")
-        while at < (depth + 1) // 2:  # on along the levels back from the target
-            at += 1
-            middle = ahead.through(middle, back.levels[depth - at], "target")
-        met.append(middle.groupBy("start", "target").agg(F.min("node").alias("node")).select("start", "target", F.lit(depth).cast("long").alias("depth"), "node"))
-        if not still.count():
+        common = still.join(ahead.levels[-1].select("start", "node"), "start").join(back.levels[-1].select("target", "node"), ["target", "node"])
+        state = cut(spark, still.join(common, ["start", "target"], "left"), "met")  # a pair that stays open has one row, without a node
+        rounds.append(state)
+        some = state.agg(F.count("node").alias("met"), F.count_if(F.col("node").isNull()).alias("open")).first()
+        still = state.where("node is null").select("start", "target")
+        if some.met:
+            middle, at = state.where("node is not null"), len(ahead.levels) - 1
+            while at > (depth + 1) // 2:  # back along the levels ahead
+                at -= 1
+                middle = back.through(middle, ahead.levels[at], "start")
+            while at < (depth + 1) // 2:  # on along the levels back from the target
+                at += 1
+                middle = ahead.through(middle, back.levels[depth - at], "target")
+            met.append(middle.groupBy("start", "target").agg(F.min("node").alias("node")).select("start", "target", F.lit(depth).cast("long").alias("depth"), "node"))
+        if not some.open:
             break
     out = cut(spark, pairs.join(reduce(DataFrame.unionByName, met), ["start", "target"], "left"), "or-paths")
     ahead.around.drop()
     back.around.drop()
-    forget(spark, arcs, *ahead.levels, *back.levels)
+    forget(spark, arcs, *ahead.levels, *back.levels, *rounds)
     return out.select("start", "target", F.col("depth").isNotNull().alias("found"), F.coalesce("depth", F.lit(-1).cast("long")).alias("depth"), F.col("node").alias("meet"))
 
 
