@@ -47,15 +47,17 @@ def jsonl_malformed_skipped(s, d):
     return S.read_jsonl(s, path, _ORDERS, strict=False)
 
 
-@query("SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders) q WHERE o_orderkey < 0")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0")
 def jsonl_missing_file(s, d):
-    return S.read_jsonl(s, _path(s, "nowhere"), _ORDERS, missing_ok=True)
+    """Two shards of an artifact, of which one was never written: what there is is read."""
+    S.append_jsonl(_orders(s, d).where("o_orderkey % 2 = 0"), path := _path(s, "shard"))
+    return S.read_jsonl(s, path, _ORDERS, missing_ok=True).unionByName(S.read_jsonl(s, _path(s, "nowhere"), _ORDERS, missing_ok=True))
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1")
 def jsonl_last_wins(s, d):
-    """One file sorted by order key: a customer's last line is that of the largest key."""
-    _orders(s, d).repartition(1).sortWithinPartitions("o_orderkey").write.json(path := _path(s, "last"))
+    """Files in ranges of the order key, sorted: a customer's last line is that of the largest key."""
+    _orders(s, d).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.json(path := _path(s, "last"))
     return S.read_last(s, path, _ORDERS, "o_custkey")
 
 
@@ -78,13 +80,14 @@ def feature_csv(s, d):
     return S.read_features(s, path).select("name", F.col("degree").cast("long").alias("degree"), total("low").alias("low"), total("high").alias("high"))
 
 
-@query("SELECT 'rows' AS key, CAST(count(*) AS DOUBLE) AS value FROM embeddings UNION ALL SELECT 'width', CAST(max(len(embedding)) AS DOUBLE) FROM embeddings UNION ALL SELECT 'lambda_' || k, 1.0 / k FROM (SELECT unnest(range(1, 4)) AS k) q")
+@query("SELECT 'rows' AS key, CAST(count(*) AS DOUBLE) AS value FROM embeddings UNION ALL SELECT 'width', CAST(max(len(embedding)) AS DOUBLE) FROM embeddings UNION ALL SELECT 'mean_' || k, round(avg(CAST(embedding[k] AS DOUBLE)), 6) + 0.0 FROM embeddings, (SELECT unnest(range(1, 4)) AS k) q GROUP BY k")
 def feature_metadata(s, d):
     """A summary written as one JSON document beside a feature table."""
-    first = V.table(s, d, "embeddings").agg(F.count("*"), F.max(F.size("embedding"))).first()
-    S.write_summary(s, {"rows": first[0], "width": first[1], "eigenvalues": [1.0, 1 / 2, 1 / 3]}, path := _path(s, "metadata"))
+    means = [F.round(F.avg(F.col("embedding")[k].cast("double")), 6) + 0.0 for k in range(3)]
+    first = V.table(s, d, "embeddings").agg(F.count("*"), F.max(F.size("embedding")), *means).first()
+    S.write_summary(s, {"rows": first[0], "width": first[1], "means": list(first[2:])}, path := _path(s, "metadata"))
     held = S.read_metadata(s, path)
-    pairs = [("rows", float(held["rows"])), ("width", float(held["width"])), *[(f"lambda_{k}", v) for k, v in enumerate(held["eigenvalues"], 1)]]
+    pairs = [("rows", float(held["rows"])), ("width", float(held["width"])), *[(f"mean_{k}", float(v)) for k, v in enumerate(held["means"], 1)]]
     return s.createDataFrame(pairs, "key string, value double")
 
 
