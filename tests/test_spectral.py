@@ -41,9 +41,13 @@ def test_subspace(spark, und):
 
 
 def test_both_ends_and_residuals(spark, und):
-    """Against NumPy: values, residual norms as they are, and a filter that leaves little of them."""
+    """Against NumPy: values, residual norms as they are, a filter that leaves little of them, and few jobs for both ends."""
     want, a = np.linalg.eigvalsh(_dense()), _dense()
+    spark.sparkContext.setJobGroup("spectrum", "")
     e = S.spectrum(spark, und, 4, 3, 30)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("spectrum"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs < 200
     assert np.allclose(e.low, want[::-1][:4], atol=1e-6) and np.allclose(e.high, want[:3], atol=1e-6)
     rows = e.rows.orderBy("node").collect()
     low, high = np.array([r.low for r in rows]), np.array([r.high for r in rows])
@@ -52,16 +56,6 @@ def test_both_ends_and_residuals(spark, und):
         assert np.allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-8)
 
 
-def test_jobs_of_an_iteration(spark, und):
-    """Both ends take few jobs: written blocks and one matrix of moments for every ten products."""
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("spectrum", "")
-    S.spectrum(spark, und, 11, 10, 30)
-    few = len(tracker.getJobIdsForGroup("spectrum"))
-    spark.sparkContext.setJobGroup("other", "")
-    assert few < 200
-
-
 def test_effective_resistance(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0, 2.0]), ("b", [0.0, 2.0, 5.0])], "name string, x array<double>")
     got = {r.name: r.r for r in S.effective_resistance(rows, spark.createDataFrame([("b",)], "hub string"), np.array([0.5, 2.0, 1e-6])).collect()}

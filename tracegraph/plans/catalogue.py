@@ -12,7 +12,7 @@ from ..operators import learning as L
 from ..operators import mining as M
 from ..operators import spectral as S
 from ..operators import traces as R
-from . import files, models, reports, searches  # noqa: F401  (they register their queries)
+from . import files, models, reports, searches, texts  # noqa: F401  (they register their queries)
 from . import views as V
 from .registry import QUERIES, SQL, query
 
