@@ -24,13 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(spark: SparkSession, df: DataFrame, name: str = "step") -> DataFrame:
+def cut(spark: SparkSession, df: DataFrame, name: str = "step", by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here.
 
-    The files outlive executors, so a lost executor never forces the work before this point.
+    ``by`` names columns whose values get a folder each. The files outlive executors, so a lost executor never forces the work before this point.
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

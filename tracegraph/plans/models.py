@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import graphs as G
 from ..operators import learning as L
+from ..operators import network as N
 from ..operators import spectral as S
 from ..operators.traces import cut
 from . import views as V
@@ -255,6 +256,44 @@ def classifier_sweep(s, d):
     return out
 
 
+# ---- a rectified network -----------------------------------------------------------------------
+
+#: Of the network: columns of the vectors, hidden units.
+WIDTH, HIDDEN = 64, 128
+
+
+def _classes(s, d):
+    """key, x, y, train of labelled rows, and the number of classes."""
+    rows = L.kept_classes(_labelled(s, d), "label", 25).select(F.col("vec_id").alias("key"), "x", "y", "train")
+    return rows, int(rows.agg(F.coalesce(F.max("y"), F.lit(-1.0))).first()[0]) + 1
+
+
+_DRAW = "sqrt(6 / {n}) * (CAST(('0x' || substr(md5('0:{layer}:' || i || ':' || {j}), 1, 8)) AS BIGINT) / 2147483648.0 - 1)"
+
+
+@query(f"""WITH {_LAB}, ys AS (SELECT label, row_number() OVER (ORDER BY label) AS y FROM kept), m AS (SELECT j, avg(CAST(v AS DOUBLE)) AS mu, CASE WHEN stddev_pop(CAST(v AS DOUBLE)) < 1e-8 THEN 1 ELSE stddev_pop(CAST(v AS DOUBLE)) END AS sd FROM xl WHERE train GROUP BY j),
+ z AS (SELECT vec_id, any_value(y) AS y, list_append(list((CAST(v AS DOUBLE) - mu) / sd ORDER BY xl.j), 1.0) AS x FROM xl JOIN m ON m.j = xl.j JOIN ys ON ys.label = xl.label WHERE train GROUP BY vec_id),
+ w1 AS (SELECT k, list_append(list({_DRAW.format(n=f"{WIDTH}.0", layer=1, j="k")} ORDER BY i), 0.0) AS w FROM range(1, {WIDTH + 1}) a(i), range(1, {HIDDEN + 1}) b(k) GROUP BY k),
+ w2 AS (SELECT c, list_append(list({_DRAW.format(n=f"{HIDDEN}.0", layer=2, j="c")} ORDER BY i), 0.0) AS w FROM range(1, {HIDDEN + 1}) a(i), (SELECT y AS c FROM ys) b GROUP BY c),
+ h AS MATERIALIZED (SELECT vec_id, y, any_value(x) AS x, list_append(list(greatest(list_dot_product(x, w), 0) ORDER BY k), 1.0) AS h FROM z, w1 GROUP BY vec_id, y), o AS (SELECT vec_id, y, c, list_dot_product(h, w) AS o FROM h, w2),
+ p AS (SELECT vec_id, y, c, exp(o - max(o) OVER (PARTITION BY vec_id)) AS p FROM o), e AS MATERIALIZED (SELECT vec_id, c, p / sum(p) OVER (PARTITION BY vec_id) - CAST(c = y AS INT) AS e FROM p), n AS (SELECT count(*) AS n FROM z),
+ hl AS (SELECT vec_id, unnest(h) AS v, generate_subscripts(h, 1) AS i FROM h), below AS (SELECT hl.vec_id, i AS k, sum(e * w[i]) AS b FROM hl JOIN e ON e.vec_id = hl.vec_id JOIN w2 ON w2.c = e.c WHERE v > 0 AND i <= {HIDDEN} GROUP BY 1, 2), zl AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM z),
+ g AS (SELECT 1 AS layer, i, k AS j, sum(v * b) AS g FROM zl JOIN below ON below.vec_id = zl.vec_id GROUP BY 2, 3 UNION ALL SELECT 2, i, c, sum(v * e) FROM hl JOIN e ON e.vec_id = hl.vec_id GROUP BY 2, 3)
+ SELECT layer, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(g / n, 6) + 0.0 AS g FROM g, n""")
+def network_gradient(s, d):
+    """Every cell of the gradient at the first weights, over all training rows."""
+    rows, classes = _classes(s, d)
+    cells = N.gradient_cells(s, N.prepared(rows, WIDTH).where("train"), N.start(WIDTH, HIDDEN, classes))
+    return cells.withColumn("g", F.round("g", 6) + 0.0)
+
+
+@query()
+def network_metrics(s, d):
+    """The trained network, judged on the test side."""
+    rows, classes = _classes(s, d)
+    return N.network_report(s, rows, WIDTH, classes, HIDDEN, epochs=30)
+
+
 # ---- numeric helpers ---------------------------------------------------------------------------
 
 
