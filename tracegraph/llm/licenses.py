@@ -91,6 +91,28 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
+#: The licence a template speaks for, where its name says another thing. The first sentence of both BSD texts names their family.
+LICENSE_OF = {
+    "Apache-2.0-notice": "Apache-2.0",
+    "Apache-2.0-header": "Apache-2.0",
+    "MIT-SPDX": "MIT",
+    "MIT-grant": "MIT",
+    "MIT-paragraph": "MIT",
+    "MIT-text": "MIT",
+    "BSD-3-Clause": "BSD",
+    "BSD-2-Clause-text": "BSD-2-Clause",
+    "BSD-3-Clause-text": "BSD-3-Clause",
+    "GPL-short": "GPL-3.0",
+    "GPL-work": "GPL-3.0",
+    "GPL-3.0-header": "GPL-3.0",
+    "MPL-2.0-header": "MPL-2.0",
+    "ISC-text": "ISC",
+    "Unlicense-text": "Unlicense",
+    "CC-BY-short": "CC-BY-4.0",
+    "CC-BY-NC-short": "CC-BY-NC-4.0",
+    "Zlib-text": "Zlib",
+}
+
 #: Paragraphs in a row that are compared as one segment, at most; the whole text is one too.
 RUN = 6
 
@@ -128,9 +150,11 @@ def paragraph_runs(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every row and column of ``docs`` plus ``licenses``: matches (license, dice, segment) by license.
+    """Every row and column of ``docs`` plus ``licenses``: matches (license, template, dice, segment) by template.
 
-    Of several segments for one licence the one of highest Dice counts, then the least by text.
+    A segment speaks for the templates of its highest Dice only (6 decimals), so the longer of two like texts is not taken for
+    both. Of several segments for one template the one of highest Dice counts, then the least by text. A family's match
+    (BSD) goes where one of its licences (BSD-2-Clause) is found in the same text.
     Null or empty texts, and texts of one word, match nothing. Null doc_id and repeated rows are
     judged like others; ties between templates are all listed. Empty table: no rows. A column named
     licenses is replaced, no other is touched. There is no shuffle.
@@ -151,19 +175,29 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         size = F.size(x["grams"])
         fits = (size >= len(own) * threshold / (2 - threshold)) & (size <= len(own) * (2 - threshold) / threshold)
         share = 2 * F.size(F.array_intersect(x["grams"], F.array(*[F.lit(g) for g in own]))) / (size + len(own))
-        return F.when(fits, share).otherwise(0.0)
+        return F.when(fits, F.round(share, 6)).otherwise(0.0)
+
+    names = sorted(grams)
+    rows = rows.withColumn("licenses", F.transform("licenses", lambda x: F.struct(x["segment"].alias("segment"), F.array(*[dice(x, grams[k]) for k in names]).alias("dice"))))
+    rows = rows.withColumn("licenses", F.transform("licenses", lambda x: F.struct(x["segment"].alias("segment"), x["dice"].alias("dice"), F.array_max(x["dice"]).alias("top"))))
+    rows = rows.withColumn("licenses", F.filter("licenses", lambda x: x["top"] >= threshold))
 
-    def best(name: str, own: list[str]) -> Column:
-        scored = F.transform("licenses", lambda x: F.struct((-dice(x, own)).alias("minus"), x["segment"].alias("segment")))
-        top = F.array_min(scored)
-        return F.struct(F.lit(name).alias("license"), F.round(-top["minus"], 6).alias("dice"), top["segment"].alias("segment"))
+    def best(place: int, name: str) -> Column:
+        own = F.filter("licenses", lambda x: x["dice"][place] == x["top"])
+        first = F.array_min(F.transform(own, lambda x: F.struct((-x["top"]).alias("minus"), x["segment"].alias("segment"))))
+        return F.when(first.isNotNull(), F.struct(F.lit(LICENSE_OF.get(name, name)).alias("license"), F.lit(name).alias("template"), (-first["minus"]).alias("dice"), first["segment"].alias("segment")))
 
-    found = F.filter(F.array(*[best(k, g) for k, g in sorted(grams.items())]), lambda m: m["dice"] >= threshold)
-    none = F.expr("cast(array() as array<struct<license:string,dice:double,segment:string>>)")
-    return rows.withColumn("licenses", F.when(F.size("licenses") > 0, found).otherwise(none))
+    found = F.filter(F.array(*[best(i, k) for i, k in enumerate(names)]), lambda m: m.isNotNull())
+    none = F.expr("cast(array() as array<struct<license:string,template:string,dice:double,segment:string>>)")
+    rows = rows.withColumn("licenses", F.when(F.size("licenses") > 0, found).otherwise(none))
+    of_family = lambda m: F.exists("licenses", lambda n: F.startswith(n["license"], F.concat(m["license"], F.lit("-"))))
+    return rows.withColumn("licenses", F.filter("licenses", lambda m: ~of_family(m)))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its licences, each once, the templates that speak for them, and the highest Dice."""
     got = scan(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = F.transform("licenses", lambda m: m["license"])
-    return got.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("licenses", lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"))
+    ids = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    templates = F.transform("licenses", lambda m: m["template"])
+    best = F.coalesce(F.array_max(F.transform("licenses", lambda m: m["dice"])), F.lit(0.0))
+    return got.select("doc_id", F.size(ids).cast("long").alias("n_licenses"), F.array_join(ids, ",").alias("licenses"), F.array_join(templates, ",").alias("templates"), best.alias("best_dice"))

@@ -74,9 +74,10 @@ SQL: dict[str, str] = {
  w AS (SELECT doc_id, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+') AS w FROM seg),
  g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
  t AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT license, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+') AS w FROM (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in kv) + ")" for kv in licenses.TEMPLATES.items())}) v(license, s)) q),
- m AS (SELECT doc_id, license, max(round(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)), 6)) AS dice FROM g, t GROUP BY 1, 2 HAVING max(round(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)), 6)) >= {licenses.THRESHOLD}),
- f AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, max(dice) AS best FROM m GROUP BY 1)
- SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(best, 0.0) AS best_dice FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id""",
+ d AS (SELECT doc_id, g, license, round(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)), 6) AS dice FROM g, t), top AS (SELECT doc_id, license AS template, dice FROM d WHERE dice >= {licenses.THRESHOLD} QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, g)),
+ i AS (SELECT doc_id, coalesce(id, template) AS id, template, dice FROM top LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in licenses.LICENSE_OF.items())}) v(name, id) ON name = template),
+ f AS (SELECT doc_id, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS names, string_agg(DISTINCT template, ',' ORDER BY template) AS templates, max(dice) AS best FROM i WHERE NOT EXISTS (SELECT 1 FROM i o WHERE o.doc_id = i.doc_id AND starts_with(o.id, i.id || '-')) GROUP BY 1)
+ SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(f.templates, '') AS templates, coalesce(best, 0.0) AS best_dice FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id""",
     "op11_spelling": f"""WITH RECURSIVE t8 AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, {_EIGHT} AS c FROM range(256) r(i)) q),
  run AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{pii.UPPER}', '{pii.LOWER}'), '{spelling.RUNS}{{{{{spelling.SHORTEST},}}}}')) AS run FROM documents),
  few AS (SELECT id, run, count(*) AS n, lower(hex(coalesce(id, '') || ':' || run)) AS b FROM run GROUP BY 1, 2), h AS (SELECT run, n, {_CRC} AS h FROM few, t8),
