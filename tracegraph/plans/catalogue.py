@@ -107,8 +107,9 @@ def both_endpoints_semi(s, d):
 @query(f"WITH {V.SUC}, e AS (SELECT DISTINCT source, target FROM suc), c AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part) SELECT a, b FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE (source = a AND target = b) OR (source = b AND target = a))")
 def non_edges_anti(s, d):
     c = V.table(s, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
-    e = V.succession(s, d)
-    both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source")).distinct()
+    gap = F.col("target") - F.col("source")  # other edges cannot be a pair (a, a + 1)
+    e = V.succession(s, d).where(gap.isin(1, -1))
+    both = e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
     return c.join(both, ["a", "b"], "left_anti")
 
 
