@@ -42,3 +42,10 @@ def test_non_edges_drop_far_edges_before_the_shuffle(spark):
     edges = {(r.source, r.target) for r in V.succession(spark, SF).collect()}
     keys = {r.p_partkey for r in V.table(spark, SF, "part").select("p_partkey").collect()}
     assert {tuple(r) for r in rows.collect()} == {(k, k + 1) for k in keys if (k, k + 1) not in edges and (k + 1, k) not in edges}
+
+
+def test_feature_sets_are_written_before_their_passes(spark, monkeypatch):
+    stop = _first_argument(monkeypatch, catalogue.L, "ridge_report", 1)
+    with pytest.raises(Seen):
+        catalogue.feature_set_comparison(spark, SF)
+    assert not any(SF in f for f in stop.seen.inputFiles()) and stop.seen.count() > 0

@@ -14,6 +14,7 @@ from ..operators import spectral as S
 from ..operators import traces as R
 from . import files, models, reports, searches, texts  # noqa: F401  (they register their queries)
 from . import views as V
+from .iterate import cut
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -520,7 +521,7 @@ def ridge_fit_metrics(s, d):
 def feature_set_comparison(s, d):
     p = V.table(s, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("y"))
     rows = p.join(G.degrees(V.succession(s, d)), "name").select("y", F.array(F.log1p(F.col("in_degree").cast("double")), F.log1p(F.col("out_degree").cast("double"))).alias("degree"), F.array("size").alias("size"), F.array(F.col("size"), F.log1p(F.col("in_degree").cast("double")), F.log1p(F.col("out_degree").cast("double"))).alias("all"))
-    out = None
+    rows, out = cut(s, rows, "feature-sets"), None  # two passes a set
     for name, k in (("degree", 2), ("size", 1), ("all", 3)):
         part = L.ridge_report(s, rows.select(F.col(name).alias("x"), "y"), k, 1.0).select(F.lit(name).alias("features"), "n", "r2", "rmse")
         out = part if out is None else out.unionByName(part)
