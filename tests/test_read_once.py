@@ -49,3 +49,17 @@ def test_feature_sets_are_written_before_their_passes(spark, monkeypatch):
     with pytest.raises(Seen):
         catalogue.feature_set_comparison(spark, SF)
     assert not any(SF in f for f in stop.seen.inputFiles()) and stop.seen.count() > 0
+
+
+def test_distances_of_few_edges(spark, monkeypatch):
+    """As over all edges, with one-step pairs looked up between the asked nodes only."""
+    rng = random.Random(2)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    und = spark.createDataFrame(pairs, "u long, v long")
+    few = spark.createDataFrame(pairs[::20], "u long, v long")
+    written = []
+    monkeypatch.setattr(G, "cut", lambda s, df, name, cut=G.cut: written.append(name) or cut(s, df, name))
+    got = {tuple(r) for r in G.neighbourhood_distance(und, few).collect()}
+    asked = set(pairs[::20])
+    assert got == {tuple(r) for r in G.neighbourhood_distance(und).collect() if (r.u, r.v) in asked}
+    assert written == ["near"] * 3
