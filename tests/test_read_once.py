@@ -63,3 +63,12 @@ def test_distances_of_few_edges(spark, monkeypatch):
     asked = set(pairs[::20])
     assert got == {tuple(r) for r in G.neighbourhood_distance(und).collect() if (r.u, r.v) in asked}
     assert written == ["near"] * 3
+
+
+def test_a_run_reads_its_traces_once(spark, monkeypatch, tmp_path):
+    stop = _first_argument(monkeypatch, runs.R, "trace_edges", 0)
+    traces = V.traces(spark, SF)
+    with pytest.raises(Seen):
+        runs.proof_graph(runs.Run(spark, str(tmp_path / "run")), traces, SF, 2)
+    assert not any(SF in f for f in stop.seen.inputFiles()) and stop.seen.columns == traces.columns
+    assert stop.seen.count() == traces.where(runs.part_of(F.col("full_name"), 2) == 0).count()

@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import cut, forget
 from . import traces as R
 
 LEDGER = "stage string, key string, version string, rows long"
@@ -66,8 +67,15 @@ def proof_graph(run: Run, traces: DataFrame, source: str, parts: int = 8, match:
     are made in ``parts`` by theorem, each finished on its own. Traces without a name have no edges.
     """
     made = version_of("edges", source, parts)
-    pick = part_of(F.col("full_name"), parts)
-    edges = run.stage("edges", made, {str(k): lambda k=k: R.trace_edges(traces.where(pick == k)) for k in range(parts)})
+    dealt = []  # written once, by the first part that is made
+
+    def part(k: int) -> DataFrame:
+        if not dealt:
+            dealt.append(cut(run.spark, traces.withColumn("_part", part_of(F.col("full_name"), parts)), "dealt", ["_part"]))
+        return R.trace_edges(dealt[0].where(F.col("_part") == k).drop("_part"))
+
+    edges = run.stage("edges", made, {str(k): lambda k=k: part(k) for k in range(parts)})
+    forget(run.spark, *dealt)
     built = version_of("dags", made, match)
     dags = run.stage("dags", built, {"all": lambda: R.dag_edges(edges, match)})
     out = {"edges": edges, "dags": dags}
