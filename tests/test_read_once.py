@@ -72,3 +72,10 @@ def test_a_run_reads_its_traces_once(spark, monkeypatch, tmp_path):
         runs.proof_graph(runs.Run(spark, str(tmp_path / "run")), traces, SF, 2)
     assert not any(SF in f for f in stop.seen.inputFiles()) and stop.seen.columns == traces.columns
     assert stop.seen.count() == traces.where(runs.part_of(F.col("full_name"), 2) == 0).count()
+
+
+def test_or_paths_need_no_theorems(spark, monkeypatch):
+    stop = _first_argument(monkeypatch, searches.H, "or_paths", 1)
+    with pytest.raises(Seen):
+        searches.state_sweep(spark, SF)
+    assert stop.seen.columns == ["input", "outputs"] and stop.seen.count() == stop.seen.distinct().count()
