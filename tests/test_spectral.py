@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracegraph.operators import learning as L
 from tracegraph.operators import spectral as S
+from tracegraph.operators import tiles
 
 RNG = np.random.default_rng(3)
 N = 24
@@ -56,6 +57,18 @@ def test_both_ends_and_residuals(spark, und):
         assert np.allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-8)
 
 
+def test_products_move_chunks_not_edges(spark, und, monkeypatch):
+    """Columns two at a time give the same residuals, and no product sends more than a row a chunk and tile."""
+    pairs = [(0, 5), (3, 17), (23, 1)]
+    want = S.resistances(spark, und, pairs, most=1).orderBy("a").collect()
+    moved, sums = [], tiles.Tiles.sums
+    monkeypatch.setattr(tiles.Tiles, "sums", lambda self, x, k: moved.append((sums(self, x, k).count(), self.side**2 * self.per, k)) or sums(self, x, k))
+    monkeypatch.setattr(tiles, "CELLS", 16)
+    got = S.resistances(spark, und, pairs, most=1).orderBy("a").collect()
+    assert np.allclose([r.residual for r in got], [r.residual for r in want], atol=1e-12)
+    assert len(moved) == 4 and all(rows <= most and k <= 2 for rows, most, k in moved)
+
+
 def test_effective_resistance(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0, 2.0]), ("b", [0.0, 2.0, 5.0])], "name string, x array<double>")
     got = {r.name: r.r for r in S.effective_resistance(rows, spark.createDataFrame([("b",)], "hub string"), np.array([0.5, 2.0, 1e-6])).collect()}
