@@ -92,6 +92,21 @@ def test_walk_embeddings(spark, und):
     assert {r.name for r in got} == {str(n) for e in RING for n in e} and all(len(r.x) == 8 for r in got)
 
 
+def test_walk_embeddings_train_on_all_cores(spark, monkeypatch):
+    """A partition a core, and nodes of one clique still lie nearer to each other than to those of the other."""
+    import pyspark.ml.feature as ml
+
+    seen, fit = [], ml.Word2Vec.fit
+    monkeypatch.setattr(ml.Word2Vec, "fit", lambda self, rows: seen.append(self.getNumPartitions()) or fit(self, rows))
+    cliques = [(a + c, b + c) for c in (0, 100) for a in range(12) for b in range(a + 1, 12)]
+    rows = S.walk_embeddings(spark, spark.createDataFrame([*cliques, (0, 100)], "u long, v long"), 10, 40, size=16).collect()
+    assert seen == [spark.sparkContext.defaultParallelism] and len(rows) == 24
+    x = np.array([r.x for r in sorted(rows, key=lambda r: int(r.name))])
+    cos = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    own = np.kron(np.eye(2), np.ones((12, 12))) > 0
+    assert cos[own & ~np.eye(24, dtype=bool)].mean() > cos[~own].mean() + 0.1
+
+
 def test_gram_and_specs(spark):
     x = RNG.normal(size=(50, 7))
     rows = spark.createDataFrame([(list(map(float, r)),) for r in x] + [(None,)], "x array<double>")
