@@ -181,29 +181,98 @@ def set_signature() -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(F.col("root"), F.array_sort(F.transform("parts", lambda p: F.to_json(p))).alias("parts"))), 256), 1, 24)
 
 
+_DIGEST = ["d0", "d1", "d2", "d3"]
+
+
+def alike(spark: SparkSession, dag: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The DAGs of one theorem of each class; (theorem, digest, theorems, places) of these; (theorem, file_path, head, digest) of all.
+
+    Theorems are of one class if their DAGs have the same (in_node, label, out_nodes), each as often. Edges' names
+    are left out, so paths and edge sets have the same signatures, as often, in all of a class: they are enumerated
+    in its least theorem and counted for all. The digest is the sums of two 64-bit hashes' halves (``_DIGEST``), so no list is made of a
+    theorem's edges. places is the number of (theorem, file_path); head is 1 in one row of each theorem.
+    """
+    named = dag.where("theorem is not null")
+    part = F.to_json(F.struct("in_node", "label", "out_nodes"))
+    hashed = named.select("theorem", "file_path", part.alias("part")).select("theorem", "file_path", F.xxhash64("part").alias("a"), F.xxhash64(F.lit(1), "part").alias("b"))
+    halves = [half(F.col(c)) for c in ("a", "b") for half in (lambda h: F.shiftright(h, 32), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    files = hashed.repartition("theorem").groupBy("theorem", "file_path").agg(*[F.sum(h).alias(d) for d, h in zip(_DIGEST, halves)])
+    w = Window.partitionBy("theorem")
+    members = cut(spark, files.select("theorem", "file_path", (F.row_number().over(w.orderBy("file_path")) == 1).cast("int").alias("head"), *[F.sum(d).over(w).alias(d) for d in _DIGEST]), "members")
+    classes = cut(spark, members.groupBy(*_DIGEST).agg(F.min("theorem").alias("theorem"), F.sum("head").alias("theorems"), F.count("*").alias("places")), "classes")
+    return named.join(classes.select("theorem"), "theorem", "left_semi"), classes, members
+
+
+def _motif_rows(spark: SparkSession, dag: DataFrame, min_edges: int, max_edges: int, max_tree_edges: int) -> DataFrame:
+    """theorem, edges, motif_kind, root, nodes, parts, labels of every path and edge set.
+
+    A path has nodes and labels; a set has its root, its parts in the order of their values, and labels in the order it grew.
+    """
+    p = dag_paths(spark, dag, min_edges, max_edges)
+    t = branch_sets(spark, dag, max_tree_edges).where(F.size("edges") >= min_edges).withColumn("labels", F.transform("parts", lambda x: x["label"]))
+    no = lambda like, c: F.lit(None).cast(like.schema[c].dataType).alias(c)
+    p = p.select("theorem", "edges", F.lit("path").alias("motif_kind"), no(t, "root"), "nodes", no(t, "parts"), "labels")
+    return p.unionByName(t.select("theorem", "edges", F.lit("subtree").alias("motif_kind"), "root", no(p, "nodes"), F.array_sort("parts").alias("parts"), "labels"))
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """Rows of ``_motif_rows`` with their signature and node_count."""
+    held = F.flatten(F.transform("parts", lambda x: F.array_append(x["out_nodes"], x["in_node"])))
+    path = F.col("motif_kind") == "path"
+    return rows.withColumn("signature", F.when(path, path_signature()).otherwise(set_signature())).withColumn("node_count", F.size(F.array_distinct(F.when(path, F.col("nodes")).otherwise(held))))
+
+
+def _distinct_files(best: DataFrame, holders: DataFrame, members: DataFrame) -> DataFrame:
+    """place, distinct_files of the best motifs: a file has a bit a motif, so it is one row however many motifs it holds."""
+    words = range(-(-max(1, best.count()) // 63))  # at most ``top`` motifs
+    bits = lambda k: F.bit_or(F.when(F.floor(F.col("place") / 63) == k, F.expr("shiftleft(1L, cast(place % 63 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}")
+    masks = holders.groupBy(*_DIGEST).agg(*[bits(k) for k in words])
+    files = members.where("file_path is not null").join(masks, _DIGEST).groupBy("file_path").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in words])
+    seen = F.flatten(F.array(*[F.expr(f"transform(filter(sequence(0, 62), b -> getbit(w{k}, b) = 1), b -> b + {63 * k})") for k in words]))
+    return files.groupBy(*[f"w{k}" for k in words]).agg(F.count("*").alias("n")).select(F.explode(seen).alias("place"), "n").groupBy("place").agg(F.sum("n").alias("distinct_files"))
+
+
 def mine(spark: SparkSession, dag: DataFrame, min_edges: int = 2, max_edges: int = 6, max_tree_edges: int = 5, min_support: int = 3, min_theorems: int = 2, min_gain: int = 6, max_examples: int = 5, top: int = 100) -> DataFrame:
     """The top motifs by gain, support, distinct theorems and signature: paths and branching edge sets.
 
-    Motifs of opaque decisions alone are left out. Examples are the first of each motif by (theorem, edges).
-    Support is counted before examples are gathered, so no list grows with a motif's support.
+    Motifs of opaque decisions alone are left out. Paths and sets are enumerated in one theorem of each class
+    (``alike``) with numbers for labels, and counted for all; only motifs, not their occurrences, are signed. Examples are the
+    first of each motif by (theorem, edges); they are enumerated in the first theorems of the motifs that are
+    returned only, and labels are those of the first example.
     """
-    p = dag_paths(spark, dag, min_edges, max_edges).select("theorem", "edges", "labels", F.lit("path").alias("motif_kind"), path_signature().alias("signature"), F.size(F.array_distinct("nodes")).alias("node_count"))
-    held = F.flatten(F.transform("parts", lambda x: F.array_append(x["out_nodes"], x["in_node"])))
-    t = branch_sets(spark, dag, max_tree_edges).where(F.size("edges") >= min_edges).select("theorem", "edges", F.transform("parts", lambda x: x["label"]).alias("labels"), F.lit("subtree").alias("motif_kind"), set_signature().alias("signature"), F.size(F.array_distinct(held)).alias("node_count"))
-    rows = p.unionByName(t).where(~F.forall("labels", lambda x: x["kind"] == "decision_opaque"))
-    files = dag.select("theorem", "file_path").distinct()
-    per = rows.groupBy("motif_kind", "signature", "theorem").agg(F.count("*").alias("n"), F.min_by(F.struct("labels", "node_count"), "edges").alias("shape"), F.min("edges").alias("edges")).join(files, "theorem")
-    m = per.groupBy("motif_kind", "signature").agg(F.sum("n").alias("support"), F.count_distinct("theorem").alias("distinct_theorems"), F.count_distinct("file_path").alias("distinct_files"), F.min_by("shape", "theorem").alias("shape"))
-    gain = T.motif_gain(F.size("shape.labels"), F.col("support"))
-    best = m.select("motif_kind", "signature", F.size("shape.labels").alias("edge_count"), F.col("shape.node_count").alias("node_count"), "support", "distinct_theorems", "distinct_files", gain.alias("complexity_gain"), F.col("shape.labels").alias("edge_labels"))
-    best = best.where((F.col("support") >= min_support) & (F.col("distinct_theorems") >= min_theorems) & (F.col("complexity_gain") >= min_gain)).orderBy(F.desc("complexity_gain"), F.desc("support"), F.desc("distinct_theorems"), "signature").limit(top)
-    best = cut(spark, best, "motifs")
-    w = Window.partitionBy("motif_kind", "signature").orderBy("theorem", "edges")
-    few = rows.join(F.broadcast(best.select("motif_kind", "signature")), ["motif_kind", "signature"], "left_semi")  # at most ``top`` rows
-    shown = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_examples).groupBy("motif_kind", "signature").agg(F.array_sort(F.collect_list(F.struct("theorem", "edges"))).alias("examples"))
-    areas = per.join(F.broadcast(best.select("motif_kind", "signature")), ["motif_kind", "signature"], "left_semi").groupBy("motif_kind", "signature", T.category(F.col("file_path"), min_parts=3).alias("category")).agg(F.sum("n").alias("n"))
-    areas = areas.groupBy("motif_kind", "signature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
-    return best.join(shown, ["motif_kind", "signature"], "left").join(areas, ["motif_kind", "signature"], "left")
+    first, classes, members = alike(spark, dag)
+    labels = cut(spark, first.select("label").distinct().withColumn("code", F.monotonically_increasing_id()), "labels")
+    coded = cut(spark, first.join(labels, "label").withColumn("label", F.col("code")).drop("code"), "coded")
+    shape = ["motif_kind", "root", "nodes", "parts", "codes"]
+    rows = _motif_rows(spark, coded, min_edges, max_edges, max_tree_edges)
+    rows = rows.withColumn("codes", F.when(F.col("motif_kind") == "path", F.col("labels")).otherwise(F.transform("parts", lambda x: x["label"])))
+    per = cut(spark, rows.groupBy(*shape, "theorem").agg(F.count("*").alias("n")), "motif-counts")
+    m = per.join(classes, "theorem").groupBy(*shape).agg(F.sum(F.col("n") * F.col("places")).alias("support"), F.sum("theorems").alias("distinct_theorems"))
+    m = m.withColumn("edge_count", F.size("codes")).withColumn("complexity_gain", T.motif_gain(F.col("edge_count"), F.col("support")))
+    m = cut(spark, m.where((F.col("support") >= min_support) & (F.col("distinct_theorems") >= min_theorems) & (F.col("complexity_gain") >= min_gain)).withColumn("id", F.monotonically_increasing_id()), "frequent")
+    meant = m.select("id", F.posexplode("codes").alias("at", "code")).join(labels, "code").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
+    whole = F.zip_with("parts", "labels", lambda p, l: F.struct(p["in_node"].alias("in_node"), l.alias("label"), p["out_nodes"].alias("out_nodes")))
+    signed = _signed(m.join(meant, "id").where(~F.forall("labels", lambda x: x["kind"] == "decision_opaque")).withColumn("parts", whole))
+    best = signed.orderBy(F.desc("complexity_gain"), F.desc("support"), F.desc("distinct_theorems"), "signature").limit(top)
+    keys = ["motif_kind", "signature"]
+    best = cut(spark, best.select("id", *keys, "edge_count", "node_count", "support", "distinct_theorems", "complexity_gain").withColumn("place", F.row_number().over(Window.orderBy(*keys)) - 1), "motifs")  # at most ``top`` rows
+    chosen = m.join(F.broadcast(best.select("id", "place")), "id").select("place", *shape)
+    same = reduce(lambda a, b: a & b, [per[c].eqNullSafe(chosen[c]) for c in shape])
+    holders = cut(spark, per.join(F.broadcast(chosen), same).select("place", "theorem", "n").join(classes.select("theorem", *_DIGEST), "theorem").drop("theorem"), "holders")
+
+    least = members.where("head = 1").select(*_DIGEST, "theorem", F.row_number().over(Window.partitionBy(*_DIGEST).orderBy("theorem")).alias("rn")).where(F.col("rn") <= max_examples).drop("rn")
+    some = holders.join(least, _DIGEST).withColumn("rn", F.row_number().over(Window.partitionBy("place").orderBy("theorem"))).where(F.col("rn") <= max_examples)
+    some = cut(spark, some.join(F.broadcast(best.select(*keys, "place")), "place").select("place", *keys, "theorem"), "shown")  # at most ``top`` times ``max_examples`` rows
+    shown = cut(spark, dag.join(F.broadcast(some.select("theorem").distinct()), "theorem", "left_semi"), "shown-dags")
+    found = _signed(_motif_rows(spark, shown, min_edges, max_edges, max_tree_edges)).join(F.broadcast(some), [*keys, "theorem"])
+    found = found.withColumn("rn", F.row_number().over(Window.partitionBy("place").orderBy("theorem", "edges"))).where(F.col("rn") <= max_examples)
+    shown = found.groupBy("place").agg(F.min_by("labels", "rn").alias("edge_labels"), F.array_sort(F.collect_list(F.struct("theorem", "edges"))).alias("examples"))
+
+    areas = members.groupBy(*_DIGEST, T.category(F.col("file_path"), min_parts=3).alias("category")).agg(F.count("*").alias("places"))
+    areas = holders.join(areas, _DIGEST).groupBy("place", "category").agg(F.sum(F.col("n") * F.col("places")).alias("n"))
+    areas = areas.groupBy("place").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+    out = best.join(shown, "place", "left").join(areas, "place", "left").join(_distinct_files(best, holders, members), "place", "left")
+    return out.select(*keys, "edge_count", "node_count", "support", "distinct_theorems", F.coalesce("distinct_files", F.lit(0).cast("long")).alias("distinct_files"), "complexity_gain", "edge_labels", "examples", "categories")
 
 
 def tree_metrics(traces: DataFrame) -> DataFrame:
