@@ -443,12 +443,14 @@ def edges_by_kind(s, d):
  m AS (SELECT theorem, root, 2 AS edges, p1 || '+' || p2 AS shape FROM p UNION ALL SELECT theorem, root, 3, p1 || '+' || p2 || '+' || p3 FROM q)
  SELECT root, CAST(edges AS BIGINT) AS edges, shape, count(*) AS support, count(DISTINCT theorem) AS theorems FROM m GROUP BY 1, 2, 3""")
 def branch_subtrees(s, d):
-    sets = R.branch_sets(s, V.tree(s, d), 3)
+    first, classes, _ = R.alike(s, V.tree(s, d))
+    sets = R.branch_sets(s, first, 3)
     part = lambda p: F.concat(p["in_node"], p["label"]["head"])
     root = F.element_at(F.col("parts"), 1)  # the branching edge a set grew from stays first
     shape = F.concat_ws("+", part(root), F.array_join(F.array_sort(F.transform(F.slice("parts", 2, 9), part)), "+"))
     per = sets.groupBy(F.col("root").cast("long").alias("root"), F.size("edges").cast("long").alias("edges"), shape.alias("shape"), "theorem").agg(F.count("*").alias("n"))
-    return per.groupBy("root", "edges", "shape").agg(F.sum("n").alias("support"), F.count("*").alias("theorems"))
+    per = per.join(classes, "theorem")
+    return per.groupBy("root", "edges", "shape").agg(F.sum(F.col("n") * F.col("theorems")).alias("support"), F.sum("theorems").alias("theorems"))
 
 
 @query()
@@ -460,8 +462,9 @@ def mined_motifs(s, d):
  SELECT labels, count(*) AS support, count(DISTINCT theorem) AS theorems FROM two GROUP BY 1""")
 def dag_path_labels(s, d):
     labels = F.array_join(F.transform("labels", lambda x: x["head"]), ">")
-    per = R.dag_paths(s, V.tree(s, d), 2, 2).groupBy(labels.alias("labels"), "theorem").agg(F.count("*").alias("n"))
-    return per.groupBy("labels").agg(F.sum("n").alias("support"), F.count("*").alias("theorems"))
+    first, classes, _ = R.alike(s, V.tree(s, d))
+    per = R.dag_paths(s, first, 2, 2).groupBy(labels.alias("labels"), "theorem").agg(F.count("*").alias("n")).join(classes, "theorem")
+    return per.groupBy("labels").agg(F.sum(F.col("n") * F.col("theorems")).alias("support"), F.sum("theorems").alias("theorems"))
 
 
 @query(f"""WITH RECURSIVE {V.TAC}, r AS (SELECT theorem, 0 AS i, [0] AS held, [0] AS layers, 0 AS leaves, 0 AS steps, 0 AS widest FROM tac WHERE idx = 0
