@@ -3,7 +3,8 @@
 from collections import defaultdict, deque
 
 from tracegraph.operators import graphs as G
-from tracegraph.plans import catalogue, searches
+from tracegraph.plans import catalogue, searches  # isort: skip
+from tracegraph.plans import audit  # isort: skip (needs the catalogue)
 from tracegraph.plans import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,13 @@ def test_succession_is_derived_once(spark, monkeypatch):
     monkeypatch.setattr(V, "succession", lambda *a: made.append(a) or succession(*a))
     assert catalogue.QUERIES["figure_points"](spark, SF).count() > 0
     assert len(made) == 1
+
+
+def test_reports_share_the_succession_graph(spark, monkeypatch):
+    hubs = {(f"name={r.name}", float(r.degree)) for r in catalogue.QUERIES["top_hubs"](spark, SF).collect()}
+    made, succession = [], V.succession
+    monkeypatch.setattr(V, "succession", lambda *a: made.append(a) or succession(*a))
+    monkeypatch.setattr(audit, "REPORTS", {k: audit.REPORTS[k] for k in ("hubs", "degree tail")})
+    rows = audit._numbers(spark, SF).collect()
+    assert len(made) == 1
+    assert {(r.case, r.value) for r in rows if r.artifact == "hubs"} == hubs

@@ -41,8 +41,13 @@ _NUMBERS = "WITH " + ", ".join(f"r{i} AS MATERIALIZED ({SQL[q]})" for i, (q, _,
 ) + ")"
 
 
+#: Reports on the succession graph: they take its arcs, written once for all of them.
+ON_ARCS = {"top_hubs", "ccdf_degree", "proof_length_small_sets", "pearson_length"}
+
+
 def _numbers(s, d):
-    return audits.gathered(s, {name: (QUERIES[q](s, d).select(*case, *metrics), case) for name, (q, case, metrics) in REPORTS.items()})
+    arcs = V.arcs(s, d)
+    return audits.gathered(s, {name: (QUERIES[q](s, d, *([arcs] if q in ON_ARCS else [])).select(*case, *metrics), case) for name, (q, case, metrics) in REPORTS.items()})
 
 
 @query(f"{_NUMBERS} SELECT * FROM numbers")

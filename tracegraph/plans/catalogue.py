@@ -84,8 +84,8 @@ def undirected_edges(s, d):
 
 
 @query(f"WITH {_UND} SELECT u AS name, count(*) AS degree FROM sym GROUP BY u ORDER BY degree DESC, name LIMIT 30")
-def top_hubs(s, d):
-    return G.symmetric(G.undirected(V.succession(s, d))).groupBy(F.col("u").alias("name")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "name").limit(30)
+def top_hubs(s, d, arcs=None):
+    return G.symmetric(G.undirected(V.succession(s, d) if arcs is None else arcs)).groupBy(F.col("u").alias("name")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "name").limit(30)
 
 
 # ---- joins ----------------------------------------------------------------------------------
@@ -185,8 +185,8 @@ def equal_width_hist20(s, d):
 
 
 @query(f"{_DEG}, h AS (SELECT in_degree + out_degree AS x, count(*) AS n FROM deg GROUP BY 1) SELECT x, round(sum(n) OVER (ORDER BY x DESC) / (SELECT sum(n) FROM h), 6) AS p FROM h")
-def ccdf_degree(s, d):
-    h = G.degrees(V.succession(s, d)).groupBy((F.col("in_degree") + F.col("out_degree")).alias("x")).agg(F.count("*").alias("n"))
+def ccdf_degree(s, d, arcs=None):
+    h = G.degrees(V.succession(s, d) if arcs is None else arcs, arcs is not None).groupBy((F.col("in_degree") + F.col("out_degree")).alias("x")).agg(F.count("*").alias("n"))
     return L.ccdf(h, "x", "n").select("x", F.round("p", 6).alias("p"))
 
 
