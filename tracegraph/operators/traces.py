@@ -123,6 +123,11 @@ def dag_edges(edges: DataFrame, match: str = "state") -> DataFrame:
     return edges.select("theorem", "file_path", "edge", key(F.col("in_state")).alias("in_node"), F.transform("out_states", key).alias("out_nodes"), edge_label().alias("label"))
 
 
+def sorted_side(table: DataFrame) -> DataFrame:
+    """A table whose join sorts both sides: written DAGs are tiny as files and large as rows, so Spark would broadcast them by their files' size."""
+    return table.hint("merge")
+
+
 def dag_paths(spark: SparkSession, dag: DataFrame, low: int, high: int) -> DataFrame:
     """theorem, edges, nodes, labels of every forward path of low to high edges that uses no edge twice.
 
@@ -133,7 +138,7 @@ def dag_paths(spark: SparkSession, dag: DataFrame, low: int, high: int) -> DataF
     found = []
     for length in range(1, high + 1):
         if length > 1:
-            grown = at.join(hops, (at.theorem == hops.theorem) & (at.end == hops.in_node)).where(~F.array_contains("edges", F.col("edge")))
+            grown = at.join(sorted_side(hops), (at.theorem == hops.theorem) & (at.end == hops.in_node)).where(~F.array_contains("edges", F.col("edge")))
             at = cut(spark, grown.select(at.theorem, F.array_append("edges", F.col("edge")).alias("edges"), F.array_append("nodes", F.col("out_node")).alias("nodes"), F.array_append("labels", F.col("label")).alias("labels"), F.col("out_node").alias("end")), "paths")
         if length >= low:
             found.append(at.drop("end"))
@@ -150,17 +155,17 @@ def branch_sets(spark: SparkSession, dag: DataFrame, high: int) -> DataFrame:
     """
     tuple_of = F.struct("in_node", "label", "out_nodes")
     own = cut(spark, dag.select("theorem", "edge", "in_node", tuple_of.alias("part")), "edges")
-    follow = own.select("theorem", F.col("edge").alias("from"), F.explode(F.array_distinct("part.out_nodes")).alias("in_node")).join(own.select("theorem", "in_node", "edge"), ["theorem", "in_node"]).where(F.col("from") != F.col("edge"))
+    follow = own.select("theorem", F.col("edge").alias("from"), F.explode(F.array_distinct("part.out_nodes")).alias("in_node")).join(sorted_side(own.select("theorem", "in_node", "edge")), ["theorem", "in_node"]).where(F.col("from") != F.col("edge"))
     after = follow.groupBy("theorem", F.col("from").alias("edge")).agg(F.array_sort(F.collect_set("edge")).alias("after"))
     none = F.array().cast(after.schema["after"].dataType)
-    table = cut(spark, own.join(after, ["theorem", "edge"], "left").select("theorem", "edge", "part", F.coalesce("after", none).alias("after")), "dag")
+    table = cut(spark, own.join(sorted_side(after), ["theorem", "edge"], "left").select("theorem", "edge", "part", F.coalesce("after", none).alias("after")), "dag")
     at = table.where(F.size("part.out_nodes") > 1).select("theorem", F.col("part.in_node").alias("root"), F.col("edge").alias("start"), F.array("edge").alias("edges"), F.array("part").alias("parts"), F.col("after").alias("open"), F.array_append("after", F.col("edge")).alias("seen"))
     forget(spark, own)
     step = table.withColumnRenamed("edge", "next")
     found = []
     for size in range(2, high + 1):
         taken = at.select("*", F.posexplode("open").alias("at", "next")).withColumn("open", F.slice("open", F.col("at") + 2, F.size("open")))
-        grown = taken.join(step, ["theorem", "next"]).withColumn("fresh", F.array_except("after", "seen"))
+        grown = taken.join(sorted_side(step), ["theorem", "next"]).withColumn("fresh", F.array_except("after", "seen"))
         kept = [F.array_append("edges", F.col("next")).alias("edges"), F.array_append("parts", F.col("part")).alias("parts")]
         wider = [F.concat("open", "fresh").alias("open"), F.concat("seen", "fresh").alias("seen")] if size < high else []
         at = cut(spark, grown.select("theorem", "root", "start", *kept, *wider), "sets")
@@ -200,7 +205,7 @@ def alike(spark: SparkSession, dag: DataFrame) -> tuple[DataFrame, DataFrame, Da
     w = Window.partitionBy("theorem")
     members = cut(spark, files.select("theorem", "file_path", (F.row_number().over(w.orderBy("file_path")) == 1).cast("int").alias("head"), *[F.sum(d).over(w).alias(d) for d in _DIGEST]), "members")
     classes = cut(spark, members.groupBy(*_DIGEST).agg(F.min("theorem").alias("theorem"), F.sum("head").alias("theorems"), F.count("*").alias("places")), "classes")
-    return named.join(classes.select("theorem"), "theorem", "left_semi"), classes, members
+    return named.join(sorted_side(classes.select("theorem")), "theorem", "left_semi"), classes, members
 
 
 def _motif_rows(spark: SparkSession, dag: DataFrame, min_edges: int, max_edges: int, max_tree_edges: int) -> DataFrame:
@@ -247,7 +252,7 @@ def mine(spark: SparkSession, dag: DataFrame, min_edges: int = 2, max_edges: int
     rows = _motif_rows(spark, coded, min_edges, max_edges, max_tree_edges)
     rows = rows.withColumn("codes", F.when(F.col("motif_kind") == "path", F.col("labels")).otherwise(F.transform("parts", lambda x: x["label"])))
     per = cut(spark, rows.groupBy(*shape, "theorem").agg(F.count("*").alias("n")), "motif-counts")
-    m = per.join(classes, "theorem").groupBy(*shape).agg(F.sum(F.col("n") * F.col("places")).alias("support"), F.sum("theorems").alias("distinct_theorems"))
+    m = per.join(sorted_side(classes), "theorem").groupBy(*shape).agg(F.sum(F.col("n") * F.col("places")).alias("support"), F.sum("theorems").alias("distinct_theorems"))
     m = m.withColumn("edge_count", F.size("codes")).withColumn("complexity_gain", T.motif_gain(F.col("edge_count"), F.col("support")))
     m = cut(spark, m.where((F.col("support") >= min_support) & (F.col("distinct_theorems") >= min_theorems) & (F.col("complexity_gain") >= min_gain)).withColumn("id", F.monotonically_increasing_id()), "frequent")
     meant = m.select("id", F.posexplode("codes").alias("at", "code")).join(labels, "code").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
@@ -258,7 +263,7 @@ def mine(spark: SparkSession, dag: DataFrame, min_edges: int = 2, max_edges: int
     best = cut(spark, best.select("id", *keys, "edge_count", "node_count", "support", "distinct_theorems", "complexity_gain").withColumn("place", F.row_number().over(Window.orderBy(*keys)) - 1), "motifs")  # at most ``top`` rows
     chosen = m.join(F.broadcast(best.select("id", "place")), "id").select("place", *shape)
     same = reduce(lambda a, b: a & b, [per[c].eqNullSafe(chosen[c]) for c in shape])
-    holders = cut(spark, per.join(F.broadcast(chosen), same).select("place", "theorem", "n").join(classes.select("theorem", *_DIGEST), "theorem").drop("theorem"), "holders")
+    holders = cut(spark, per.join(F.broadcast(chosen), same).select("place", "theorem", "n").join(sorted_side(classes.select("theorem", *_DIGEST)), "theorem").drop("theorem"), "holders")
 
     least = members.where("head = 1").select(*_DIGEST, "theorem", F.row_number().over(Window.partitionBy(*_DIGEST).orderBy("theorem")).alias("rn")).where(F.col("rn") <= max_examples).drop("rn")
     some = holders.join(least, _DIGEST).withColumn("rn", F.row_number().over(Window.partitionBy("place").orderBy("theorem"))).where(F.col("rn") <= max_examples)

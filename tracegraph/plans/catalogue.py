@@ -449,7 +449,7 @@ def branch_subtrees(s, d):
     root = F.element_at(F.col("parts"), 1)  # the branching edge a set grew from stays first
     shape = F.concat_ws("+", part(root), F.array_join(F.array_sort(F.transform(F.slice("parts", 2, 9), part)), "+"))
     per = sets.groupBy(F.col("root").cast("long").alias("root"), F.size("edges").cast("long").alias("edges"), shape.alias("shape"), "theorem").agg(F.count("*").alias("n"))
-    per = per.join(classes, "theorem")
+    per = per.join(R.sorted_side(classes), "theorem")
     return per.groupBy("root", "edges", "shape").agg(F.sum(F.col("n") * F.col("theorems")).alias("support"), F.sum("theorems").alias("theorems"))
 
 
@@ -463,7 +463,7 @@ def mined_motifs(s, d):
 def dag_path_labels(s, d):
     labels = F.array_join(F.transform("labels", lambda x: x["head"]), ">")
     first, classes, _ = R.alike(s, V.tree(s, d))
-    per = R.dag_paths(s, first, 2, 2).groupBy(labels.alias("labels"), "theorem").agg(F.count("*").alias("n")).join(classes, "theorem")
+    per = R.dag_paths(s, first, 2, 2).groupBy(labels.alias("labels"), "theorem").agg(F.count("*").alias("n")).join(R.sorted_side(classes), "theorem")
     return per.groupBy("labels").agg(F.sum(F.col("n") * F.col("theorems")).alias("support"), F.sum("theorems").alias("theorems"))
 
 
